@@ -166,7 +166,8 @@ def questions(t: Tables) -> DataFrame:
 
 
 # BM25 scores of every benchmark passage against every document, and the top 20
-BM25 = rf"""tok AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents),
+QSRC = "qsrc AS (SELECT item_id AS query_id, text FROM benchmark)"
+BM25_ON_QSRC = rf"""tok AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents),
 post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_id, sum(tf)::BIGINT AS dl FROM post GROUP BY doc_id),
 stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM post)::DOUBLE
@@ -175,7 +176,7 @@ raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5)
         FROM post, stats GROUP BY term, n),
 idf AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (
-       SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+       SELECT query_id, unnest({sql_tokens('text')}) AS term FROM qsrc) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id), stats GROUP BY ALL),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
@@ -191,13 +192,15 @@ cosine AS (SELECT query_id, doc_id, round(sum(hv.w * hq.w)::DOUBLE / (any_value(
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM cosine) WHERE rank <= 20)"""
 
-LEGS = (BM25 + ",\n" + DENSE + ",\nlegs AS (SELECT query_id, doc_id, score, rank, 'bm25' AS leg FROM bm25 "
+BM25 = QSRC + ",\n" + BM25_ON_QSRC
+LEGS_ON_QSRC = (BM25_ON_QSRC + ",\n" + DENSE + ",\nlegs AS (SELECT query_id, doc_id, score, rank, 'bm25' AS leg FROM bm25 "
         "UNION ALL SELECT query_id, doc_id, score, rank, 'embedding' FROM dense)")
+LEGS = QSRC + ",\n" + LEGS_ON_QSRC
 
 
-def bm25_leg(t: Tables, k: int = 20) -> DataFrame:
+def bm25_leg(t: Tables, k: int = 20, q=None) -> DataFrame:
     from ..operators.lexical import bm25_search, lexical_index
-    return bm25_search(lexical_index(corpus(t)), questions(t), k)
+    return bm25_search(lexical_index(corpus(t)), questions(t) if q is None else q, k)
 
 
 def hashed_vectors(t: Tables) -> DataFrame:
@@ -205,31 +208,30 @@ def hashed_vectors(t: Tables) -> DataFrame:
     return hashed_term_vectors(build_postings(corpus(t)), "chunk_id")
 
 
-def question_vectors(t: Tables) -> DataFrame:
+def question_vectors(t: Tables, q=None) -> DataFrame:
     from ..operators.index import build_postings, hashed_term_vectors
-    return hashed_term_vectors(build_postings(questions(t), "query_id", "query"), "chunk_id").select(
+    q = questions(t) if q is None else q
+    return hashed_term_vectors(build_postings(q, "query_id", "query"), "chunk_id").select(
         F.col("chunk_id").alias("query_id"), "embedding")
 
 
-def dense_leg(t: Tables, k: int = 20) -> DataFrame:
+def dense_leg(t: Tables, k: int = 20, q=None) -> DataFrame:
     from ..operators.dense import dense_search
-    return dense_search(hashed_vectors(t), question_vectors(t), k)
+    return dense_search(hashed_vectors(t), question_vectors(t, q), k)
 
 
-def both_legs(t: Tables) -> DataFrame:
+def both_legs(t: Tables, q=None) -> DataFrame:
     from ..operators.fusion import legs
-    return legs(bm25=bm25_leg(t), embedding=dense_leg(t))
+    return legs(bm25=bm25_leg(t, q=q), embedding=dense_leg(t, q=q))
 
 
-# graded labels: documents containing the passage verbatim. The passage is looked for in the
-# documents its BM25 list names, never in all pairs.
-def qrels(t: Tables, ranked: DataFrame) -> DataFrame:
-    pairs = ranked.select("query_id", "doc_id").distinct()
-    docs = t.documents.select("doc_id", "text")
-    return pairs.join(questions(t), "query_id").join(docs, "doc_id").filter(
-        F.contains("text", "query")).select("query_id", "doc_id", F.lit(1.0).alias("grade"))
+# labels: every document that contains the passage verbatim
+def qrels(t: Tables) -> DataFrame:
+    from ..operators.index import build_postings
+    from ..plans.search import containing_documents
+    return containing_documents(questions(t), t.documents.select("doc_id", "text"),
+                                build_postings(corpus(t))).withColumn("grade", F.lit(1.0))
 
 
-QRELS = ("qrels AS (SELECT DISTINCT l.query_id, l.doc_id, 1.0::DOUBLE AS grade FROM legs l "
-         "JOIN benchmark b ON b.item_id = l.query_id JOIN documents d ON d.doc_id = l.doc_id "
-         "WHERE contains(d.text, b.text))")
+QRELS = ("qrels AS (SELECT item_id AS query_id, doc_id, 1.0::DOUBLE AS grade FROM benchmark b "
+         "JOIN documents d ON contains(d.text, b.text))")

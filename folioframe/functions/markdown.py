@@ -103,14 +103,23 @@ def rtrim_lines(text) -> Column:
 def clean_link_label(text) -> Column:
     """Replace links and images by their label until none is left, then squash whitespace.
 
-    Each pass removes at least one ``](``, so their number bounds the passes exactly.
+    Each pass that changes the text removes at least one ``](``, so their number bounds the passes
+    exactly; once a pass changed nothing the rest of the fold only hands the text on.
     """
-    def one_pass(t, _):
+    def one_pass(t):
         return F.regexp_replace(F.regexp_replace(t, "(?d)!" + _LINK, "$1"), "(?d)" + _LINK, "$1")
-    text = F.coalesce(col(text), F.lit(""))
-    passes = F.sequence(F.lit(0), F.size(F.split(text, r"\]\(")))
-    body = F.when(text.contains("]("), F.aggregate(passes, text, one_pass)).otherwise(text)
-    return F.trim(F.regexp_replace(body, rf"{WS}+", " "))
+
+    def step(acc, _):
+        return F.when(acc["open"], let(one_pass(acc["t"]), lambda n: F.struct(
+            n.alias("t"), (n != acc["t"]).alias("open")))).otherwise(acc)
+
+    def body(t):
+        passes = F.sequence(F.lit(0), F.size(F.split(t, r"\]\(")))
+        zero = F.struct(t.alias("t"), F.lit(True).alias("open"))
+        flat = F.when(t.contains("]("), F.aggregate(passes, zero, step, lambda a: a["t"])).otherwise(t)
+        return F.trim(F.regexp_replace(flat, rf"{WS}+", " "))
+
+    return let(F.coalesce(col(text), F.lit("")), body)
 
 
 def normalize_heading_links(text) -> Column:

@@ -43,15 +43,15 @@ def normalize_strings(values, exclude=None) -> Column:
         lambda r: r["v"] != ""))
     banned = F.transform(exclude, casefold) if exclude is not None else F.array().cast("array<string>")
 
-    def first_of_each(rows):
+    def first_of_each(rows, bad):
         # rows are sorted by folded value and place: keep those whose predecessor differs
         before = F.concat(F.array(F.lit(None).cast("string")), F.transform(rows, lambda r: r["f"]))
         kept = F.array_compact(F.zip_with(rows, before, lambda r, f: F.when(
-            r.isNotNull() & ~r["f"].eqNullSafe(f) & ~F.array_contains(banned, r["f"]),
+            r.isNotNull() & ~r["f"].eqNullSafe(f) & ~F.array_contains(bad, r["f"]),
             F.struct(r["i"].alias("i"), r["v"].alias("v")))))
         return F.transform(F.array_sort(kept), lambda r: r["v"])
 
-    return let(keyed, first_of_each)
+    return let(banned, lambda bad: let(keyed, lambda rows: first_of_each(rows, bad)))
 
 
 def conversation_title(text, limit: int = 80, default: str | None = "新对话") -> Column:
