@@ -177,7 +177,7 @@ raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5)
 idf AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (
        SELECT query_id, unnest({sql_tokens('text')}) AS term FROM qsrc) GROUP BY ALL),
-scored AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+scored AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id), stats GROUP BY ALL),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM scored WHERE score > 0) WHERE rank <= 20)"""
@@ -187,7 +187,7 @@ DENSE = rf"""hv AS (SELECT doc_id, CAST('0x' || md5(term)[1:8] AS BIGINT) % 64 A
 hq AS (SELECT query_id, CAST('0x' || md5(term)[1:8] AS BIGINT) % 64 AS slot, sum(qtf)::BIGINT AS w FROM qt GROUP BY ALL),
 nv AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS n FROM hv GROUP BY doc_id),
 nq AS (SELECT query_id, sqrt(sum(w * w)::DOUBLE) AS n FROM hq GROUP BY query_id),
-cosine AS (SELECT query_id, doc_id, round(sum(hv.w * hq.w)::DOUBLE / (any_value(nq.n) * any_value(nv.n)), 9) AS score
+cosine AS (SELECT query_id, doc_id, round(sum(hv.w * hq.w)::DOUBLE / (any_value(nq.n) * any_value(nv.n)), 6) AS score
   FROM hq JOIN hv USING (slot) JOIN nv USING (doc_id) JOIN nq USING (query_id) GROUP BY query_id, doc_id),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM cosine) WHERE rank <= 20)"""

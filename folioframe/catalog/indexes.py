@@ -17,7 +17,8 @@ def ix1(t):
 
 @query("ix2_okapi_idf", f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def ix2(t):
-    return lexical_index(corpus(t))["term_stats"].select("term", "df", F.round("idf", 9).alias("idf"))
+    index = lexical_index(corpus(t))
+    return I.okapi_idf(index["term_df"], index["stats"]).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("ix3_index_stats", f"WITH {BM25} SELECT n AS document_count, round(avgdl, 9) AS average_tokens, 1.5::DOUBLE AS k1, 0.75::DOUBLE AS b FROM stats")
@@ -32,11 +33,11 @@ def stored(t):
 
 def batch(t):
     return t.documents.join(t.labels, "doc_id", "left").filter("quality IS NULL OR quality = 1").select(
-        F.col("doc_id").alias("chunk_id"), F.upper(F.substring("text", 1, 50)).alias("text"), "lang", "quality")
+        F.col("doc_id").alias("chunk_id"), F.lower(F.substring("text", 1, 50)).alias("text"), "lang", "quality")
 
 
 STORED = "stored AS (SELECT doc_id AS chunk_id, text, lang, quality FROM documents JOIN labels USING (doc_id))"
-BATCH = ("batch AS (SELECT doc_id AS chunk_id, upper(text[1:50]) AS text, lang, quality FROM documents LEFT JOIN labels USING (doc_id) "
+BATCH = ("batch AS (SELECT doc_id AS chunk_id, lower(text[1:50]) AS text, lang, quality FROM documents LEFT JOIN labels USING (doc_id) "
          "WHERE quality IS NULL OR quality = 1)")
 
 

@@ -37,7 +37,7 @@ CENTROIDS = """cen AS (SELECT label AS query_id, i, avg(x::DOUBLE) AS x FROM (
   SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
 vec AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
 vn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM vec GROUP BY vec_id), cn AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM cen GROUP BY query_id),
-cs AS (SELECT query_id::BIGINT AS query_id, vec_id AS doc_id, label, round(sum(cen.x * vec.x) / (any_value(cn.n) * any_value(vn.n)), 9) AS score
+cs AS (SELECT query_id::BIGINT AS query_id, vec_id AS doc_id, label, round(sum(cen.x * vec.x) / (any_value(cn.n) * any_value(vn.n)), 6) AS score
   FROM cen JOIN vec USING (i) JOIN vn USING (vec_id) JOIN cn USING (query_id) GROUP BY query_id, vec_id, label)"""
 
 
@@ -73,7 +73,7 @@ def rt5(t):
 
 @query("rt3_lsh_search")
 def rt3l(t):
-    return D.lsh_search(t.embeddings, D.label_centroids(t.embeddings), 20, id_col="vec_id")
+    return D.lsh_search(t.embeddings, D.label_centroids(t.embeddings), 20, id_col="vec_id", threshold=1.4)
 
 
 @query("rt6_recall_many", f"WITH {LEGS} SELECT * FROM legs")
@@ -140,9 +140,9 @@ def rt12(t):
     return d.withColumns({c: F.round(c, 9) for c in ("bm25_contribution", "embedding_contribution", "rrf_score")})
 
 
-@query("rt13_single_leg_fallback", f"""WITH {LEGS}, some AS (SELECT * FROM legs WHERE leg = 'embedding' OR score >= 100), n AS (SELECT query_id, count(DISTINCT leg) AS n FROM some GROUP BY ALL),
-m AS (SELECT some.* FROM some JOIN n USING (query_id) WHERE n = 2), {fused_sql('m')}
-SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fused UNION ALL SELECT query_id, doc_id, score, rank FROM some JOIN n USING (query_id) WHERE n = 1""")
+@query("rt13_single_leg_fallback", f"""WITH {LEGS}, part AS (SELECT * FROM legs WHERE leg = 'embedding' OR score >= 100), n AS (SELECT query_id, count(DISTINCT leg) AS n FROM part GROUP BY ALL),
+m AS (SELECT part.* FROM part JOIN n USING (query_id) WHERE n = 2), {fused_sql('m')}
+SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fused UNION ALL SELECT query_id, doc_id, score, rank FROM part JOIN n USING (query_id) WHERE n = 1""")
 def rt13(t):
     some = both_legs(t).filter("leg = 'embedding' OR score >= 100")
     return U.single_leg_fallback(some).withColumn("score", F.round("score", 9))

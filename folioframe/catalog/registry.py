@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
+# tables whose rows are costly to work on
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -37,4 +42,9 @@ class Tables:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = spread(df) if name in TEXT_TABLES else df
+        setattr(self, name, df)      # read the footer once per query
+        return df

@@ -76,10 +76,10 @@ def blocked(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: st
     nd = max(1, math.ceil(vectors.count() / block_docs))
     q = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("qv"),
                        F.pmod(F.xxhash64(q_id), F.lit(nq)).alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).cast("long").alias("db"))
+                       F.explode(F.sequence(F.lit(0), F.lit(nd - 1)).cast("array<bigint>")).alias("db"))
     d = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec).alias("dv"),
                        F.pmod(F.xxhash64(id_col), F.lit(nd)).alias("db"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"))
+                       F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")).alias("qb"))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

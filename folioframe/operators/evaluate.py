@@ -372,7 +372,7 @@ def assemble_gold(selections: DataFrame, spans: DataFrame, questions: DataFrame)
     judged = state.withColumn("reason", reason)
     ok = judged.filter("reason IS NULL").withColumn("query_id", stable_id("q", "path", strip("query")))
     rows = known.join(ok.select("question_key", "query_id"), "question_key")
-    w = Window.partitionBy("query_id").orderBy("pos")
+    w = Window.partitionBy("query_id").orderBy("pos", "span_id")
     return {
         "questions": ok.select("query_id", "path", "query", "question_type", F.col("answer").alias("reference_answer")),
         "qrels": rows.select("query_id", F.col("chunk_id").alias("doc_id")).distinct().withColumn("grade", F.lit(3.0)),

@@ -16,14 +16,17 @@ def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text: str = "tex
                    mode: str = "search") -> DataFrame:
     """postings(chunk_id, term, tf, dl), hash-partitioned by ``chunk_id``.
 
-    Only ids and tokens are shuffled, once. Because the partitioning key is the document, the term
-    count and every later per-(query, document) sum run inside that partitioning without another
-    shuffle, and a frequent term is spread over all documents instead of filling one task.
+    The texts are shuffled once, by document, which is smaller than their exploded tokens. The term
+    counts and every later per-(query, document) sum then run inside that partitioning without
+    another shuffle, and a frequent term is spread over all documents instead of filling one task.
     """
-    tokens = tokenize(text) if mode == "search" else tokenize_eval(text)
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens.alias("_t"))
-    words = rows.select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return words.repartition("chunk_id").groupBy("chunk_id", "dl", "term").agg(
+    placed = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text).alias("_x")).repartition("chunk_id")
+    rows = placed.select("chunk_id", (tokenize("_x") if mode == "search" else tokenize_eval("_x")).alias("_t"))
+    # the outer form with its own filter: a plain explode would have the optimizer add a size test
+    # on the token expression and tokenize every text twice
+    words = rows.select("chunk_id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term")).filter(
+        "term IS NOT NULL")
+    return words.groupBy("chunk_id", "dl", "term").agg(
         F.count("*").cast("int").alias("tf")).select("chunk_id", "term", "tf", "dl")
 
 
@@ -44,16 +47,28 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def raw_idf(df="df", n_docs="n_docs"):
+    return F.log(F.col(n_docs) - F.col(df) + 0.5) - F.log(F.col(df) + 0.5)
+
+
+def mean_idf(term_df: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """One row ``mean_idf`` over the vocabulary, negative values included.
+
+    The vocabulary is first counted per distinct document frequency, a small table.
+    """
+    per_df = term_df.groupBy("df").agg(F.count("*").alias("_n"))
+    return per_df.join(F.broadcast(n_docs.select("n_docs"))).agg(      # one row
+        (F.sum(raw_idf() * F.col("_n")) / F.sum("_n")).alias("mean_idf"))
+
+
+def floored_idf(epsilon: float = S.BM25_EPSILON):
+    """idf column from df, n_docs and mean_idf: negative idf becomes ``epsilon`` times the mean."""
+    return F.when(raw_idf() < 0, F.col("mean_idf") * epsilon).otherwise(raw_idf())
+
+
 def okapi_idf(term_df: DataFrame, stats: DataFrame, epsilon: float = S.BM25_EPSILON) -> DataFrame:
-    """term_stats(term, df, idf): negative idf becomes ``epsilon`` times the mean idf."""
-    raw = term_df.join(F.broadcast(stats.select("n_docs"))).withColumn(   # stats is one row
-        "_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    # the mean over the few thousand distinct df values, so the vocabulary is aggregated once
-    mean = raw.groupBy("_idf").agg(F.count("*").alias("n")).agg(
-        (F.sum(F.col("_idf") * F.col("n")) / F.sum("n")).alias("_mean"))
-    return raw.join(F.broadcast(mean)).select(
-        "term", "df", F.when(F.col("_idf") < 0, F.col("_mean") * epsilon)
-        .otherwise(F.col("_idf")).alias("idf"))
+    """term_stats(term, df, idf); ``stats`` is the one-row table with n_docs and mean_idf."""
+    return term_df.join(F.broadcast(stats)).select("term", "df", floored_idf(epsilon).alias("idf"))
 
 
 def index_stats(doc_stats: DataFrame, k1: float = S.BM25_K1, b: float = S.BM25_B) -> DataFrame:

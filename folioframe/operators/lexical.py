@@ -26,7 +26,7 @@ def rank_top(scored: DataFrame, k: int, by: str = "score", keys=("query_id",), t
     return scored.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def bm25_scores(postings: DataFrame, term_stats: DataFrame, stats: DataFrame, terms: DataFrame,
+def bm25_scores(postings: DataFrame, term_df: DataFrame, stats: DataFrame, terms: DataFrame,
                 k1: float = S.BM25_K1, b: float = S.BM25_B, broadcast_rows: int = 500_000,
                 salts: int = 16) -> DataFrame:
     """(query_id, doc_id, score) of every document sharing a term with the question.
@@ -36,8 +36,8 @@ def bm25_scores(postings: DataFrame, term_stats: DataFrame, stats: DataFrame, te
     being taken from the document, so a term found in a third of all documents fills ``salts``
     tasks and not one.
     """
-    # the few question terms pick their statistics first; the vocabulary is never broadcast
-    weighted = terms.join(term_stats.select("term", "idf"), "term").join(F.broadcast(stats))
+    # the question terms pick their statistics; the vocabulary is never broadcast
+    weighted = terms.join(term_df, "term").join(F.broadcast(stats)).withColumn("idf", ix.floored_idf())
     small = fits(terms, broadcast_rows)
     if small:
         joined = postings.join(F.broadcast(weighted), "term")
@@ -55,7 +55,7 @@ def bm25_search(index: dict, queries: DataFrame, k: int = S.LEXICAL_TOP_K, id_co
                 text: str = "query", mode: str = "search", **kw) -> DataFrame:
     """rankings(query_id, doc_id, score, rank) with positive scores only."""
     terms = query_terms(queries, id_col, text, mode)
-    scores = bm25_scores(index["postings"], index["term_stats"], index["stats"], terms, **kw)
+    scores = bm25_scores(index["postings"], index["term_df"], index["stats"], terms, **kw)
     return rank_top(scores.filter("score > 0"), k)
 
 
@@ -68,7 +68,7 @@ def bm25_search_eval(index: dict, queries: DataFrame, k: int, id_col: str = "que
     ``k + scored`` ids, so the filler is taken from the ``2k`` lowest ids: exact and small.
     """
     terms = query_terms(queries, id_col, text, "eval")
-    top = rank_top(bm25_scores(index["postings"], index["term_stats"], index["stats"], terms), k)
+    top = rank_top(bm25_scores(index["postings"], index["term_df"], index["stats"], terms), k)
     counts = top.groupBy("query_id").agg(F.count("*").alias("_n"))
     short = queries.select(F.col(id_col).alias("query_id")).distinct().join(
         counts, "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < k)
@@ -83,10 +83,12 @@ def lexical_index(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text
                   mode: str = "search") -> dict:
     """The index tables as lazy DataFrames."""
     postings = ix.build_postings(chunks, id_col, text, mode)
+    term_df = ix.document_frequencies(postings)
     ids = chunks.select(F.col(id_col).alias("chunk_id"))
-    # the total length is the sum of the term counts, so the text is tokenized once only
-    stats = ids.agg(F.count("*").alias("n_docs")).join(
-        F.broadcast(postings.agg(F.sum("tf").alias("_len")))).select(
-        "n_docs", F.coalesce(F.col("_len") / F.col("n_docs"), F.lit(0.0)).alias("avgdl"))
-    return {"postings": postings, "doc_ids": ids, "stats": stats,
-            "term_stats": ix.okapi_idf(ix.document_frequencies(postings), stats)}
+    # one row of constants; the total length is the sum of the term counts, so the text is
+    # tokenized only for the postings (their exchange is shared by every use)
+    n_docs = ids.agg(F.count("*").alias("n_docs"))
+    stats = n_docs.join(F.broadcast(postings.agg(F.sum("tf").alias("_len")))).join(
+        F.broadcast(ix.mean_idf(term_df, n_docs))).select(
+        "n_docs", F.coalesce(F.col("_len") / F.col("n_docs"), F.lit(0.0)).alias("avgdl"), "mean_idf")
+    return {"postings": postings, "doc_ids": ids, "stats": stats, "term_df": term_df}

@@ -47,6 +47,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    A large table has many more splits than that and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` is proven to hold at most ``max_rows`` rows (scans no further)."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -58,4 +58,4 @@ RUN_TIMEOUT_SECONDS = 180
 PENDING_ACTION_HOURS = 1
 
 # decimals at which scores are compared, so that ties break on the id
-SCORE_DECIMALS = 9
+SCORE_DECIMALS = 6
