@@ -261,13 +261,15 @@ def multi(t):
     return ranked, groups, X.search_multi(ranked, groups, chunk_table(t).select("chunk_id", "text", "section_path"), scorer)
 
 
-MULTI = f"""{REWRITES}, {LEGS_ON_QSRC}, grp AS (SELECT query_id // 2 AS query_id, doc_id, rank FROM legs), {fused_sql('grp', top=12)}, {CAND},
-{RERANK.replace('qsrc b', '(SELECT item_id AS query_id, text FROM benchmark) b')}, {KEEP},
+# collapsing to parents works on text ids, so ties are broken by the id as text
+AS_TEXT = ("ORDER BY score DESC, doc_id)", "ORDER BY score DESC, doc_id::VARCHAR)")
+MULTI = f"""{REWRITES}, {LEGS_ON_QSRC}, grp AS (SELECT query_id // 2 AS query_id, doc_id, rank FROM legs), {fused_sql('grp', top=12).replace(*AS_TEXT)}, {CAND},
+{RERANK.replace('qsrc b', '(SELECT item_id AS query_id, text FROM benchmark) b').replace(*AS_TEXT)}, {KEEP},
 bud AS (SELECT *, {sql_estimate('content')} AS c, 3000 - coalesce(sum({sql_estimate('content')}) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS room FROM best),
 sel AS (SELECT *, c > room AS cut FROM bud WHERE room > 0)"""
 
 
-@query("rt21_search_multi", f"WITH {MULTI} SELECT query_id, doc_id AS id, score AS rerank_score, rank, cut AS context_truncated FROM sel")
+@query("rt21_search_multi", f"WITH {MULTI} SELECT query_id, doc_id::VARCHAR AS id, score AS rerank_score, rank, cut AS context_truncated FROM sel")
 def rt21(t):
     return multi(t)[2]["selected"].select("query_id", "id", "rerank_score", "rank", "context_truncated")
 

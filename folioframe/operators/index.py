@@ -185,6 +185,8 @@ def hashed_term_vectors(postings: DataFrame, id_col: str, dims: int = 64) -> Dat
     Runs inside the per-document partitioning of the postings.
     """
     slot = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dims
-    sums = [F.sum(F.when(F.col("_slot") == i, F.col("tf")).otherwise(0)).cast("double") for i in range(dims)]
-    return postings.withColumn("_slot", slot).groupBy(id_col).agg(
-        F.array(*sums).alias("embedding"))
+    folded = postings.groupBy(id_col, slot.alias("_slot")).agg(F.sum("tf").cast("double").alias("_w")).groupBy(
+        id_col).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_w"))).alias("_m"))   # at most dims entries
+    return folded.select(id_col, F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")),
+        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("embedding"))
