@@ -5,6 +5,7 @@ A write returns the rows to append and the rows it refused; nothing is changed i
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,8 +188,6 @@ def revision_pairs(revisions: DataFrame) -> DataFrame:
 
 def diff_revisions(pairs: DataFrame) -> DataFrame:
     """Unified line diff of (page_id, revision, old, new), one small text helper per row."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def unified(old: pd.Series, new: pd.Series) -> pd.Series:
         import difflib
