@@ -52,12 +52,12 @@ def ob4(t):
 
 USAGE = f"""{NORMAL}, us AS (SELECT request_id, count(*) AS call_count, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(total_tokens)::BIGINT AS total_tokens,
   sum(token_budget)::BIGINT AS output_token_budget, sum(token_remaining)::BIGINT AS output_token_remaining, sum(input_budget)::BIGINT AS input_token_budget, sum(input_remaining)::BIGINT AS input_token_remaining,
-  sum(context_window_tokens)::BIGINT AS context_window_tokens, round(sum(round(({COST})::DOUBLE, 8)), 6) AS estimated_cost, bool_or(fallback_used) AS fallback_used, bool_or(truncated) AS truncated FROM nc GROUP BY 1)"""
+  sum(context_window_tokens)::BIGINT AS context_window_tokens, round(sum(round(({COST})::DOUBLE, 8)), 8) AS estimated_cost, bool_or(fallback_used) AS fallback_used, bool_or(truncated) AS truncated FROM nc GROUP BY 1)"""
 
 
 def usage(t):
     calls = normal(t).withColumn("estimated_cost", F.round(O.call_cost("prompt_tokens", "completion_tokens", "fallback_used", RATES), 8))
-    return O.model_usage(calls).withColumn("estimated_cost", F.round("estimated_cost", 6))
+    return O.model_usage(calls).withColumn("estimated_cost", F.round("estimated_cost", 8))
 
 
 @query("ob3_model_usage", f"WITH {USAGE} SELECT * FROM us")
