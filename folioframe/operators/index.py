@@ -44,21 +44,23 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, cf): documents holding a term and its occurrences."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def raw_idf(df="df", n_docs="n_docs"):
     return F.log(F.col(n_docs) - F.col(df) + 0.5) - F.log(F.col(df) + 0.5)
 
 
-def mean_idf(term_df: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """One row ``mean_idf`` over the vocabulary, negative values included.
+def index_constants(term_df: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """One row n_docs, avgdl, mean_idf (over the vocabulary, negative values included).
 
     The vocabulary is first counted per distinct document frequency, a small table.
     """
-    per_df = term_df.groupBy("df").agg(F.count("*").alias("_n"))
-    return per_df.join(F.broadcast(n_docs.select("n_docs"))).agg(      # one row
-        (F.sum(raw_idf() * F.col("_n")) / F.sum("_n")).alias("mean_idf"))
+    per_df = term_df.groupBy("df").agg(F.count("*").alias("_n"), F.sum("cf").alias("_len"))
+    return per_df.join(F.broadcast(n_docs.select("n_docs"))).groupBy("n_docs").agg(      # n_docs is one row
+        (F.sum(raw_idf() * F.col("_n")) / F.sum("_n")).alias("mean_idf"),
+        (F.sum("_len") / F.col("n_docs")).alias("avgdl"))
 
 
 def floored_idf(epsilon: float = S.BM25_EPSILON):

@@ -88,7 +88,5 @@ def lexical_index(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text
     # one row of constants; the total length is the sum of the term counts, so the text is
     # tokenized only for the postings (their exchange is shared by every use)
     n_docs = ids.agg(F.count("*").alias("n_docs"))
-    stats = n_docs.join(F.broadcast(postings.agg(F.sum("tf").alias("_len")))).join(
-        F.broadcast(ix.mean_idf(term_df, n_docs))).select(
-        "n_docs", F.coalesce(F.col("_len") / F.col("n_docs"), F.lit(0.0)).alias("avgdl"), "mean_idf")
+    stats = ix.index_constants(term_df, n_docs)
     return {"postings": postings, "doc_ids": ids, "stats": stats, "term_df": term_df}
