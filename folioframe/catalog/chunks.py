@@ -152,15 +152,18 @@ CORPUS_ID = ("'parent-' || sha256(source || '/' || doc_id || '.md' || chr(31) ||
              "CASE WHEN child_index >= 0 THEN ':child:' || child_index ELSE '' END")
 
 
-@query("ch10_build_corpus", f"""WITH RECURSIVE {UNITS} SELECT {CORPUS_ID} AS id, md5(text) AS text, true AS rereads,
+FLAT = rf"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
+
+
+@query("ch10_build_corpus", f"""WITH RECURSIVE {UNITS} SELECT {CORPUS_ID} AS id, md5(text) AS text, contains(flat, {FLAT}) AS rereads,
   CASE WHEN child_index >= 0 THEN 'child' ELSE 'parent' END AS chunk_level, CASE WHEN path = '' THEN 'T' || doc_id ELSE path END AS section_path
-FROM (SELECT unit.*, source, par.text AS par_text FROM unit JOIN par USING (doc_id, chunk_index) JOIN documents USING (doc_id))""")
+FROM (SELECT unit.*, source, par.text AS par_text, flat FROM unit JOIN par USING (doc_id, chunk_index) JOIN documents USING (doc_id) JOIN (SELECT doc_id, {FLAT.replace("text", "t")} AS flat FROM src) USING (doc_id))""")
 def ch10(t):
     src = sources(t)
     corpus = C.build_corpus(src).join(src.select(F.col("path").alias("source_path"), "normalized_text"), "source_path")
     span = F.substring("normalized_text", F.col("source_start_char") + 1, F.col("source_end_char") - F.col("source_start_char"))
     flat = lambda c: F.trim(F.regexp_replace(c, rf"{WS}+", " "))
-    return corpus.select("id", F.md5("text").alias("text"), (flat(span) == flat("text")).alias("rereads"), "chunk_level", "section_path")
+    return corpus.select("id", F.md5("text").alias("text"), F.coalesce(flat(span) == flat("text"), F.lit(False)).alias("rereads"), "chunk_level", "section_path")
 
 
 @query("ch11_locate_span", """SELECT doc_id, (strpos(text, s) - 1)::BIGINT AS "start", (strpos(text, s) - 1 + length(s))::BIGINT AS "end"

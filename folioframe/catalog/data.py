@@ -208,10 +208,10 @@ def hashed_vectors(t: Tables) -> DataFrame:
     return hashed_term_vectors(build_postings(corpus(t)), "chunk_id")
 
 
-def question_vectors(t: Tables, q=None) -> DataFrame:
+def question_vectors(t: Tables, q=None, mode: str = "search") -> DataFrame:
     from ..operators.index import build_postings, hashed_term_vectors
     q = questions(t) if q is None else q
-    return hashed_term_vectors(build_postings(q, "query_id", "query"), "chunk_id").select(
+    return hashed_term_vectors(build_postings(q, "query_id", "query", mode), "chunk_id").select(
         F.col("chunk_id").alias("query_id"), "embedding")
 
 
@@ -227,10 +227,8 @@ def both_legs(t: Tables, q=None) -> DataFrame:
 
 # labels: every document that contains the passage verbatim
 def qrels(t: Tables) -> DataFrame:
-    from ..operators.index import build_postings
     from ..plans.search import containing_documents
-    return containing_documents(questions(t), t.documents.select("doc_id", "text"),
-                                build_postings(corpus(t))).withColumn("grade", F.lit(1.0))
+    return containing_documents(questions(t), t.documents.select("doc_id", "text")).withColumn("grade", F.lit(1.0))
 
 
 QRELS = ("qrels AS (SELECT item_id AS query_id, doc_id, 1.0::DOUBLE AS grade FROM benchmark b "

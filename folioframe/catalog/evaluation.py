@@ -194,9 +194,7 @@ def ev13(t):
 
 
 ABLATION_BM25 = BM25_ON_QSRC.replace(sql_tokens("text"), EVAL_TOK)
-ABLATION = f"""{QSRC}, {ABLATION_BM25.replace('WHERE score > 0', '')}, tok2 AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents),
-post2 AS (SELECT doc_id, term, count(*) AS tf FROM tok2 GROUP BY ALL), qt2 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({sql_tokens('text')}) AS term FROM qsrc) GROUP BY ALL),
-{DENSE.replace(' post ', ' post2 ').replace(' qt ', ' qt2 ')},
+ABLATION = f"""{QSRC}, {ABLATION_BM25.replace('WHERE score > 0', '')}, {DENSE},
 legs AS (SELECT query_id, doc_id::VARCHAR AS doc_id, score, rank, 'bm25' AS leg FROM bm25 UNION ALL SELECT query_id, doc_id::VARCHAR, score, rank, 'embedding' FROM dense),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT query_id, doc_id, round(sum(1.0 / (60.0 + rank)), 12) AS score FROM legs GROUP BY ALL)) WHERE rank <= 30),
@@ -209,8 +207,8 @@ meth AS (SELECT query_id, doc_id, rank, leg FROM legs WHERE rank <= 5 UNION ALL
 def ablation_rankings(t):
     docs = corpus(t)
     index = lexical_index(docs, mode="eval")
-    vectors = I.hashed_term_vectors(I.build_postings(docs, mode="search"), "chunk_id")
-    return A.ablation_rankings(index, vectors, questions(t), question_vectors(t), docs.select("chunk_id", "text"), scorer)
+    vectors = I.hashed_term_vectors(index["postings"], "chunk_id")
+    return A.ablation_rankings(index, vectors, questions(t), question_vectors(t, mode="eval"), docs.select("chunk_id", "text"), scorer)
 
 
 @query("ev14_run_ablation", f"""WITH {ABLATION}, {QRELS}, {EQ}, {metrics_sql('meth')} SELECT method, category, {', '.join(f'round(avg({c}), 6) AS {c}' for c in metric_names())},

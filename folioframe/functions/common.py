@@ -15,6 +15,10 @@ WS = rf"[\t-\r{_WS_CHARS}]"            # any whitespace
 HS = rf"[\t\x0b-\r{_WS_CHARS}]"        # whitespace inside a line (no \n)
 NWS = rf"[^\t-\r{_WS_CHARS}]"          # anything else
 
+# trailing whitespace; the look-behind lets a match begin only where a run begins, so that long inner
+# runs stay linear, and comes second, so that other characters fail at once
+TAIL = rf"{WS}(?<!{WS}{{2}}){WS}*+\z"
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -26,8 +30,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c) -> Column:
-    """Trim Unicode whitespace at both ends (look-behind keeps long inner runs linear)."""
-    return F.regexp_replace(col(c), rf"\A{WS}+|(?<!{WS}){WS}+\z", "")
+    """Trim Unicode whitespace at both ends."""
+    return F.regexp_replace(col(c), rf"\A{WS}+|{TAIL}", "")
 
 
 def lstrip(c) -> Column:
@@ -35,7 +39,7 @@ def lstrip(c) -> Column:
 
 
 def rstrip(c) -> Column:
-    return F.regexp_replace(col(c), rf"(?<!{WS}){WS}+\z", "")
+    return F.regexp_replace(col(c), TAIL, "")
 
 
 def squash(c) -> Column:

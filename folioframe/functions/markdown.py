@@ -97,7 +97,7 @@ def squeeze_blank_lines(text) -> Column:
 
 
 def rtrim_lines(text) -> Column:
-    return F.regexp_replace(col(text), rf"(?<!{HS}){HS}+(?=\n|\z)", "")
+    return F.regexp_replace(col(text), rf"{HS}(?<!{HS}{{2}}){HS}*+(?=\n|\z)", "")
 
 
 def clean_link_label(text) -> Column:

@@ -180,7 +180,7 @@ def guard_url(url) -> Column:
 def clean_external_text(text) -> Column:
     out = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\x00", "")
     out = F.regexp_replace(out, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "\n")
-    out = F.regexp_replace(out, rf"(?<!{HS}){HS}+(?=\n|\z)", "")
+    out = F.regexp_replace(out, rf"{HS}(?<!{HS}{{2}}){HS}*+(?=\n|\z)", "")
     return strip(out)
 
 

@@ -45,7 +45,8 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
     """(term, df, cf): documents holding a term and its occurrences."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    # the test on cf keeps both columns in every use, so that all uses share one exchange
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("cf > 0")
 
 
 def raw_idf(df="df", n_docs="n_docs"):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..functions.tokens import tokenize
 from ..operators import fusion as U
 from ..operators import select as P
 from ..operators.dense import dense_search
@@ -13,21 +14,23 @@ from ..operators.lexical import bm25_search, rank_top
 from ..session import broadcast_if_small
 
 
-def containing_documents(queries: DataFrame, docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of the documents that contain a passage verbatim.
+def containing_documents(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the documents (doc_id, text) that contain a passage verbatim.
 
     A document holding the passage holds its inner words as whole tokens, so the passage is looked
     up by its rarest inner word and only those documents are compared. Needs three words or more.
     """
-    from ..functions.tokens import tokenize
+    q_tokens = tokenize("query")
     inner = queries.select("query_id", F.explode(F.array_distinct(F.slice(
-        tokenize("query"), F.lit(2), F.greatest(F.size(tokenize("query")) - 2, F.lit(0))))).alias("term"))
-    df = postings.join(
-        broadcast_if_small(inner.select("term").distinct()), "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("df"))
+        q_tokens, F.lit(2), F.greatest(F.size(q_tokens) - 2, F.lit(0))))).alias("term"))
+    wanted = broadcast_if_small(inner.select("term").distinct())
+    # words of a document that occur in some passage; nothing but these pairs leaves the map stage
+    words = docs.select("doc_id", tokenize("text").alias("_t")).select(
+        "doc_id", F.explode_outer(F.array_distinct("_t")).alias("term")).join(wanted, "term", "left_semi")
+    df = words.groupBy("term").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "term", "left").groupBy("query_id").agg(
         F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    pairs = postings.select(F.col("chunk_id").alias("doc_id"), "term").join(rarest, "term").select("query_id", "doc_id")
+    pairs = words.join(rarest, "term").select("query_id", "doc_id")
     return pairs.join(queries, "query_id").join(docs, "doc_id").filter(F.contains("text", "query")).select(
         "query_id", "doc_id")
 
