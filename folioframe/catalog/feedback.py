@@ -162,9 +162,7 @@ def fb13(t):
     return t.documents.select("doc_id", q.alias("q")).select("doc_id", F.md5(F.col("q")[0]).alias("first"), F.size("q").alias("n"))
 
 
-@query("fb14_research_runs", "SELECT s_suppkey AS run_id, count(l.l_partkey) AS n_sources, sum(l_partkey)::BIGINT AS parts, min(l_partkey) AS first_source FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l ON l_suppkey = s_suppkey GROUP BY 1")
+@query("fb14_research_runs", "SELECT s_suppkey AS run_id, s_nationkey::BIGINT AS nation, l_partkey AS source_id, created_at FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_partkey, l_shipdate AS created_at FROM lineitem) ON l_suppkey = s_suppkey")
 def fb14(t):
-    sources = t.lineitem.select(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("created_at"), F.col("l_partkey").alias("source_id")).distinct()
-    out = B.research_runs(t.supplier.select(F.col("s_suppkey").alias("run_id")), sources)
-    return out.select("run_id", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"),
-                      F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["source_id"]).alias("parts"), F.col("sources")[0]["source_id"].alias("first_source"))
+    sources = t.lineitem.select(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("source_id"), F.col("l_shipdate").alias("created_at")).distinct()
+    return B.research_runs(t.supplier.select(F.col("s_suppkey").alias("run_id"), F.col("s_nationkey").alias("nation")), sources)

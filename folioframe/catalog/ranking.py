@@ -357,11 +357,10 @@ def rt29(t):
 
 
 @query("rt30_filter_for_summary", """WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice / 500000 AS s FROM orders),
-m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS top FROM r) SELECT query_id, string_agg(doc_id, chr(10) || chr(10) ORDER BY doc_id) AS text FROM m WHERE s >= 0.35 OR top < 0.35 GROUP BY 1""")
+m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS top FROM r) SELECT query_id, doc_id FROM m WHERE s >= 0.35 OR top < 0.35""")
 def rt30(t):
-    rows = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rank"),
-                           F.col("o_orderkey").cast("string").alias("content"), (F.col("o_totalprice") / 500000).alias("rerank_score"))
-    return P.summary_text(P.filter_for_summary(rows))
+    rows = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), (F.col("o_totalprice") / 500000).alias("rerank_score"))
+    return P.filter_for_summary(rows).select("query_id", "doc_id")
 
 
 GATE_ROWS = """SELECT l_orderkey AS query_id, CASE WHEN l_returnflag = 'N' THEN '  ' ELSE 'x' END AS content, l_partkey AS page_id,

@@ -105,32 +105,30 @@ def evidence_metrics(retrieved: DataFrame, evidence: DataFrame, queries: DataFra
 
 # --- latency ------------------------------------------------------------------------------
 
-def nearest_rank(df: DataFrame, key: str, value: str, percentiles: dict, bins: int = 4096) -> DataFrame:
+def nearest_rank(df: DataFrame, key: str, value: str, percentiles: dict, accuracy: int = 10_000) -> DataFrame:
     """Exact nearest-rank percentiles without bringing a group to one task.
 
-    First pass: counts per (key, equal-width bin), which says in which bin each rank lies. Second
-    pass: only the rows of those bins, counted per distinct value before they are ordered.
+    An approximate pass brackets each wanted rank between two values (its rank error is at most one
+    part in ``accuracy``, the bracket is twice as wide). The rows below a bracket are only counted,
+    those inside are counted per distinct value, and only these counts are put in order.
     """
-    bounds = df.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                 F.count(value).alias("_n"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / bins, F.lit(1e-12))
-    binned = df.filter(F.col(value).isNotNull()).join(bounds, key).withColumn(
-        "_bin", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)))
-    counts = binned.groupBy(key, "_bin").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(key).orderBy("_bin")
-    upto = counts.withColumn("_end", F.sum("_c").over(w)).withColumn("_begin", F.col("_end") - F.col("_c"))
-    wanted = bounds.select(key, "_n", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n"))).alias("pos"))
-        for n, p in percentiles.items()])).alias("q")).select(key, "q.name", "q.pos")
-    at = wanted.join(upto, key).filter((F.col("pos") > F.col("_begin")) & (F.col("pos") <= F.col("_end")))
-    values = binned.select(key, "_bin", value).join(at.select(key, "_bin").distinct(), [key, "_bin"],
-                                                    "left_semi").groupBy(key, "_bin", value).agg(
+    names, slack = list(percentiles), 2.0 / accuracy
+    edges = [min(1.0, max(0.0, p + d)) for p in percentiles.values() for d in (-slack, slack)]
+    rows = df.filter(F.col(value).isNotNull())
+    approx = rows.groupBy(key).agg(F.count("*").alias("_n"), F.percentile_approx(
+        value, edges, accuracy).alias("_e"))
+    brackets = approx.select(key, F.explode(F.array(*[F.struct(
+        F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(percentiles[n]) * F.col("_n"))).alias("pos"),
+        F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")) for i, n in enumerate(names)])).alias("q")).select(
+        key, "q.*")
+    placed = rows.select(key, value).join(brackets, key).filter(F.col(value) <= F.col("hi"))
+    # everything below the bracket becomes one entry, so at most the bracket's values are ordered
+    inside = placed.groupBy(key, "name", "pos", F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v")).agg(
         F.count("*").alias("_c"))
-    inside = values.withColumn("_e", F.sum("_c").over(
-        Window.partitionBy(key, "_bin").orderBy(value)))
-    picked = inside.join(at.select(key, "_bin", "name", "pos", "_begin"), [key, "_bin"]).filter(
-        (F.col("_begin") + F.col("_e") >= F.col("pos"))).groupBy(key, "name").agg(F.min(value).alias("v"))
-    return picked.groupBy(key).pivot("name", list(percentiles)).agg(F.first("v"))
+    w = Window.partitionBy(key, "name").orderBy(F.col("v").asc_nulls_first())
+    reached = inside.withColumn("_upto", F.sum("_c").over(w)).filter(F.col("v").isNotNull() & (F.col("_upto") >= F.col("pos")))
+    picked = reached.groupBy(key, "name").agg(F.min("v").alias("v"))
+    return picked.groupBy(key).pivot("name", names).agg(F.first("v"))
 
 
 def latency_summary(runs: DataFrame, key: str = "method", value: str = "latency_ms") -> DataFrame:

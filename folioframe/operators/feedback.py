@@ -196,7 +196,6 @@ def clean_queries(values, question, limit: int = S.RESEARCH_MAX_QUERIES) -> Colu
 
 
 def research_runs(runs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Runs with their sources (a handful per run) nested in creation order."""
-    rest = [c for c in sources.columns if c not in ("run_id", "created_at")]
-    nested = sources.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("created_at", *rest))).alias("sources"))
-    return runs.join(nested, "run_id", "left")
+    """Runs with their sources, one row per source (one row without source fields for a run that has
+    none); ``created_at`` gives the order. Kept as rows, so a run may have any number of sources."""
+    return runs.join(sources, "run_id", "left")

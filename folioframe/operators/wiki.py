@@ -6,12 +6,13 @@ A write returns the rows to append and the rows it refused; nothing is changed i
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import casefold, strip
 from ..functions.markdown import clean_link_label, file_stem, validate_content, validate_title
 from ..functions.text import normalize_strings, search_snippet
+from .skew import ordinal
 
 PAGE_COLUMNS = ["page_id", "title", "notebook", "tags", "aliases", "status", "source_type", "source_uri",
                 "revision", "content", "content_hash", "updated_at"]
@@ -156,8 +157,8 @@ def apply_write(pages: DataFrame, written: DataFrame) -> DataFrame:
 def list_revisions(revisions: DataFrame, page_ids: DataFrame | None = None) -> DataFrame:
     """History without bodies and its order, newest first."""
     rows = revisions if page_ids is None else revisions.join(page_ids, "page_id", "left_semi")
-    w = Window.partitionBy("page_id").orderBy(F.col("revision").desc())
-    return rows.drop("content").withColumn("position", F.row_number().over(w))
+    back = rows.drop("content").withColumn("_back", -F.col("revision"))
+    return ordinal(back, ["page_id"], "_back", "position").drop("_back")
 
 
 def get_revisions(revisions: DataFrame, wanted: DataFrame) -> DataFrame:
