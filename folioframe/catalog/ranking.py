@@ -13,7 +13,7 @@ from ..plans import search as X
 from .data import (BM25, LEGS, LEGS_ON_QSRC, WS, bm25_leg, both_legs, corpus, dense_leg, hashed_vectors, question_vectors,
                    questions, sql_estimate, sql_strip, sql_tokens)
 from .registry import query
-from .texts import EVAL_TOK, SENS  # noqa: F401
+from .texts import EVAL_TOK
 
 
 @query("rt1_bm25_search", f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm25")
