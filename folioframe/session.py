@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,38 @@ def build_session(master: str = "local[8]", app: str = "folioframe",
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, one master process (local mode, tests) gets a temporary folder that its only executor sees
+    too; on a cluster the setting is required, as executors do not see each other's local folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession, root: str) -> None:
+    """Send this package to the Python workers once per application; they need no path to the repository."""
+    context = spark.sparkContext
+    if getattr(context, "_folioframe_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-")      # read by this driver only, which serves it to the executors
+    target = os.path.join(folder, "folioframe_package.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for base, _, names in os.walk(os.path.join(root, "folioframe")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+    context._folioframe_shipped = True
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a parquet copy in the shared folder; survives a lost executor."""
     spark = df.sparkSession
