@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, quality, simhash
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -28,3 +28,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     return bpe.round_trip(read_documents(spark, sf_dir))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality.rate(read_documents(spark, sf_dir))
