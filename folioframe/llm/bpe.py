@@ -32,8 +32,8 @@ from tokenizers import Regex, pre_tokenizers
 from .common import map_texts
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-# encoded chunks and words that a worker remembers before it starts anew
-REMEMBERED = 1_000_000
+# encoded chunks and words in each of the two generations that a worker remembers
+REMEMBERED = 250_000
 # white space of the vocabulary's patterns; str.split() also cuts at these four controls
 CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -55,9 +55,7 @@ class Vocabulary:
             spec = json.load(f)
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
-        self.names = {i: s for s, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names.update({i: s for s, i in self.special.items()})
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         byte_of = {c: b for b, c in enumerate(byte_letters())}
 
@@ -121,6 +119,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.lru_cache(maxsize=4)
+def token_names(path: str) -> np.ndarray:
+    """The string of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return np.array([names.get(i, "") for i in range(max(names) + 1)], dtype=object)
+
+
 def build_trie(words: list[str]) -> dict:
     """Nested dictionaries from symbol to child; a word of symbols ends at an empty one, or one marked by ''."""
     root: dict = {}
@@ -193,6 +200,7 @@ class Encoder:
         self.vocab, self.remembered = vocabulary(path), remembered
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = ({}, {})
         # the library's own rule decides where a chunk is cut, as classes of letters differ between Unicode versions
         self.cut = pre_tokenizers.Split(Regex(self.vocab.pattern), "removed", invert=True).pre_tokenize_str
         special = sorted(self.vocab.special, key=len, reverse=True)
@@ -218,7 +226,11 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode new chunks: those of their words that are new go through one trie."""
-        words_of = {c: self._words(c) for c in chunks}
+        for chunk in chunks & self.older[0].keys():
+            self.chunks[chunk] = self.older[0][chunk]
+        words_of = {c: self._words(c) for c in chunks.difference(self.chunks)}
+        for word in {w for words in words_of.values() for w in words} & self.older[1].keys():
+            self.words[word] = self.older[1][word]
         new = {w for words in words_of.values() for w in words}.difference(self.words)
         form = {word_symbols(w, self.vocab.marks_end): w for w in new}
         for symbols, ids in encode_trie(build_trie(list(form)), self.vocab).items():
@@ -240,7 +252,7 @@ class Encoder:
                              for k, part in enumerate(self.specials.split(text))])
         asked = set().union(*[chunks for row in rows for _, chunks in row])
         if len(self.chunks) + len(self.words) + len(asked) > self.remembered:
-            self.chunks, self.words = {}, {}
+            self.older, self.chunks, self.words = (self.chunks, self.words), {}, {}
         self._learn(asked.difference(self.chunks))
         known, join = self.chunks.__getitem__, b"".join
         return [join([join(map(known, chunks)) if one is None else struct.pack("<I", one) for one, chunks in row]) for row in rows]
@@ -277,9 +289,15 @@ def decode(df: DataFrame, keep: list[str], ids_col: str = "ids", path: str | Non
     schema = StructType([StructField("decoded", StringType())])
 
     def make():
-        vocab = vocabulary(where)
-        names = [vocab.names.get(i, "") for i in range(max(vocab.names) + 1)]
-        return lambda lists: [[" ".join([names[i] for i in ids]) if ids else "" for ids in lists]]
+        names = token_names(where)
+
+        def run(lists: pa.ListArray) -> list:
+            offsets = lists.offsets.to_numpy()
+            strings = names[lists.values.to_numpy()[offsets[0]:offsets[-1]]].tolist()
+            at = (offsets - offsets[0]).tolist()
+            return [[" ".join(strings[a:b]) for a, b in zip(at, at[1:])]]
+
+        return run
 
     return map_texts(df, ids_col, keep, schema, make)
 

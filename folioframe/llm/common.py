@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..session import materialize
 
-# characters of text that a Python worker turns into arrays at a time
+# bytes of text that a Python worker turns into arrays at a time
 PIECE_CHARS = 1_500_000
 
 
@@ -20,25 +21,25 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-def pieces(texts: list, limit: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive slices of ``texts`` with about ``limit`` characters each; a longer text is a slice of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text is not None else 0
-        if size and size + n > limit:
+def pieces(sizes: list[int], limit: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
+    """Consecutive slices of rows with a total size of about ``limit`` each; a larger row is a slice of its own."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: StructType,
               make: Callable[[], Callable[[list], list]], limit: int = PIECE_CHARS) -> DataFrame:
     """The columns ``keep`` and those of ``schema``, computed from the whole texts in an Arrow map stage.
 
-    ``make`` is called once per task and returns a function from a list of texts (or bytes, or None) to the list of
-    the new columns' values (one list or array per field). Texts go through it in pieces of about ``limit`` characters.
+    ``make`` is called once per task and returns a function from a list of texts (or bytes, or None; for array columns
+    the Arrow array) to the list of the new columns' values, one list or array per field. Rows go through it in pieces of
+    about ``limit`` bytes or items, so a worker holds one piece as Python objects and not a whole Arrow batch.
     """
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     kept = StructType(rows.schema.fields[:-1])
@@ -49,13 +50,16 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: StructType,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in pieces(texts, limit):
-                values = fn(texts[lo:hi])
+            values = batch.column(batch.num_columns - 1)
+            nested = pa.types.is_list(values.type) or pa.types.is_large_list(values.type)
+            sizes = pc.fill_null(pc.list_value_length(values) if nested else pc.binary_length(values), 0).to_pylist()
+            for lo, hi in pieces(sizes, limit):
                 part = batch.slice(lo, hi - lo)
+                texts = values.slice(lo, hi - lo)
+                new = fn(texts if nested else texts.to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i).cast(arrow.field(i).type) for i in range(len(kept.fields))]
-                    + [pa.array(v, type=f.type) for v, f in zip(values, added)],
+                    + [pa.array(v, type=f.type) for v, f in zip(new, added)],
                     schema=arrow)
 
     return rows.mapInArrow(run, out_schema)
