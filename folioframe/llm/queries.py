@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash
+from . import bpe, langid, quality, simhash
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -34,3 +34,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     return quality.rate(read_documents(spark, sf_dir))
+
+
+@query
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(read_documents(spark, sf_dir))
