@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, simhash
+from . import bpe, langid, quality, secrets, simhash
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -40,3 +40,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return langid.identify(read_documents(spark, sf_dir))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.report(read_documents(spark, sf_dir))
