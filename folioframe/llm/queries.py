@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secrets, simhash
+from . import bpe, langid, mixing, quality, secrets, sharding, simhash
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -46,3 +46,21 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.report(read_documents(spark, sf_dir))
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document."""
+    return sharding.assign(read_documents(spark, sf_dir))
+
+
+ORACLES["op5_sharding"] = sharding.oracle()
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a document that the mixture takes."""
+    return mixing.select(read_documents(spark, sf_dir))
+
+
+ORACLES["op2_mixing"] = mixing.oracle()
