@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, secrets, sharding, simhash
+from . import bpe, langid, mixing, pii, quality, secrets, sharding, simhash
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -64,3 +64,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_mixing"] = mixing.oracle()
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(read_documents(spark, sf_dir))
