@@ -33,6 +33,12 @@ def pieces(sizes: list[int], limit: int = PIECE_CHARS) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def text_sizes(values: pa.Array) -> list[int]:
+    """Bytes of each text, or items of each list; 0 for null."""
+    nested = pa.types.is_list(values.type) or pa.types.is_large_list(values.type)
+    return pc.fill_null(pc.list_value_length(values) if nested else pc.binary_length(values), 0).to_pylist()
+
+
 def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: StructType,
               make: Callable[[], Callable[[list], list]], limit: int = PIECE_CHARS) -> DataFrame:
     """The columns ``keep`` and those of ``schema``, computed from the whole texts in an Arrow map stage.
@@ -51,12 +57,10 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: StructType,
         fn = make()
         for batch in batches:
             values = batch.column(batch.num_columns - 1)
-            nested = pa.types.is_list(values.type) or pa.types.is_large_list(values.type)
-            sizes = pc.fill_null(pc.list_value_length(values) if nested else pc.binary_length(values), 0).to_pylist()
-            for lo, hi in pieces(sizes, limit):
+            for lo, hi in pieces(text_sizes(values), limit):
                 part = batch.slice(lo, hi - lo)
                 texts = values.slice(lo, hi - lo)
-                new = fn(texts if nested else texts.to_pylist())
+                new = fn(texts if pa.types.is_nested(values.type) else texts.to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i).cast(arrow.field(i).type) for i in range(len(kept.fields))]
                     + [pa.array(v, type=f.type) for v, f in zip(new, added)],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, quality, secrets, sharding, simhash
+from . import bpe, langid, linedup, mixing, pii, quality, secrets, sharding, simhash
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -70,3 +70,13 @@ ORACLES["op2_mixing"] = mixing.oracle()
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(read_documents(spark, sf_dir))
+
+
+@query
+def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that match an earlier one: counts and digest of the text that is left."""
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return linedup.dedupe(docs, counts=True).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.md5("text").alias("text_md5"))
+
+
+ORACLES["op4_linedup"] = linedup.oracle()
