@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, mixing, pii, quality, secrets, sharding, simhash
+import corpus_pipeline
+
+from . import bpe, langid, linedup, media, mixing, pii, quality, secrets, sharding, simhash
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -80,3 +82,19 @@ def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_linedup"] = linedup.oracle()
+
+
+@query
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a progressive JPEG file, read back."""
+    return media.digests(read_documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

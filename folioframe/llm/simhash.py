@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 from .common import components, map_texts
 
 SHINGLE_WORDS = 4
@@ -170,9 +170,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), text_key.bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
     rows = df.withColumn("__key", ids)
     classes = near_duplicates(rows, "__key", text_col, max_bits, words, label)
-    stay = classes.groupBy("component_id").agg(F.count("*").alias("n"), F.sum((F.col("__key") == F.col("component_id")).cast("int")).alias("copies"))
-    stay = stay.select(F.col("component_id").alias("__key"), (F.col("copies") > 1).alias("__many"))
-    kept = rows.join(stay, "__key")
-    plain = kept.where("not __many").drop("__many", "__key")
-    once = kept.where("__many").dropDuplicates(["__key"]).drop("__many", "__key")
+    by_key = materialize(classes.groupBy("__key").agg(F.count("*").alias("__n"), F.min("component_id").alias("__c")), f"{label}-keys")
+    go = by_key.where("__key <> __c or __n > 1").select("__key")
+    again = by_key.where("__key = __c and __n > 1").select("__key")
+    # only ids that go are joined: few where most documents stay, and then no text is shuffled
+    plain = rows.join(broadcast_if_small(go), "__key", "left_anti")
+    once = rows.join(broadcast_if_small(again), "__key", "left_semi").dropDuplicates(["__key"])
     return plain.union(once).select(*[F.col(f"`{c}`") for c in df.columns])
