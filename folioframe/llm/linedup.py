@@ -6,14 +6,14 @@ by (id, hash of the text, line number), matches it. Lines with fewer than ``MIN_
 
 - A first pass counts all tokens in a table of fixed size (2 ** SKETCH_BITS hashed counters). The counters give a global
   order of tokens, rarest first; any global order is right for the filters, a rough one only costs candidates.
-- A second pass gives each line its class (the token set) and writes each class's tokens in that order.
+- A second pass gives each line its class (the token set) and its prefix tokens in that order.
 - Classes meet in the lists of their prefix tokens only: matching sets of n tokens share one of the first
-  n - ceil(t n) + 1. Lists are joined with the length filter and the positional filter, candidates are verified on the
-  whole sets.
+  n - ceil(t n) + 1. Lists are joined with the length filter, the positional filter and a filter on 64 parity marks of the
+  sets, all of which keep every match. Candidates are verified on the whole sets, which are read from the texts again.
 - Equal lines are never compared with each other: a class keeps its first line, and what counts for all its lines is the
   earliest first line of the classes that match it.
 
-Words stand as 64-bit hashes and classes as 64-bit hashes of these. Removed lines are joined to the documents by id and
+Words stand as 64-bit hashes (32 bits in the lists) and classes as 64-bit hashes of these. Removed lines are joined to the documents by id and
 hash of the text; they are broadcast if they are few, so texts are shuffled only where much is removed.
 
 Defined results: null and empty texts stay as they are; a text whose lines all go becomes empty; rows that repeat an id
@@ -23,6 +23,7 @@ result; other columns are passed on unread.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,26 +39,28 @@ NUMERATOR, DENOMINATOR = 4, 5
 MIN_TOKENS = 3
 SKETCH_BITS = 20
 CHUNK_BITS = 14
-# classes that a task remembers so as to write their tokens once
+# classes that a task remembers so as to write their prefix once
 REMEMBERED = 300_000
 
 
 def _numbered(texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
     """Distinct words, number of each word, its line, and (text, line number) of each line, over some texts."""
-    number: dict[bytes, int] = {}
-    ids: list[int] = []
+    words: list[bytes] = []
     sizes: list[int] = []
     places: list = []
     for t, text in enumerate(texts):
         if not text:
             continue
         for k, line in enumerate(text.encode().lower().split(b"\n")):
-            words = line.split()
-            if len(words) >= MIN_TOKENS:
-                ids.extend([number.setdefault(w, len(number)) for w in words])
-                sizes.append(len(words))
+            found = line.split()
+            if len(found) >= MIN_TOKENS:
+                words += found
+                sizes.append(len(found))
                 places.append((t, k))
-    return list(number), np.array(ids, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes), places
+    distinct = list(dict.fromkeys(words))
+    number = dict(zip(distinct, range(len(distinct))))
+    ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    return distinct, ids, np.repeat(np.arange(len(sizes)), sizes), places
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -78,10 +81,13 @@ def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS)
         for batch in batches:
             texts = batch.column(0)
             for lo, hi in pieces(text_sizes(texts)):
-                words, ids, _, _ = _numbered(texts.slice(lo, hi - lo).to_pylist())
-                if words:
-                    bucket = (_hashes(words) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                    total += np.bincount(bucket, np.bincount(ids, minlength=len(words)), len(total)).astype(np.int64)
+                seen: Counter = Counter()
+                for text in texts.slice(lo, hi - lo).to_pylist():
+                    if text:
+                        seen.update(text.encode().lower().split())
+                if seen:
+                    bucket = (_hashes(list(seen)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    np.add.at(total, bucket, np.fromiter(seen.values(), dtype=np.int64, count=len(seen)))
         parts = total.reshape(-1, chunk)
         used = [i for i in range(len(parts)) if parts[i].any()]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in used], pa.binary())})
@@ -101,76 +107,119 @@ def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS)
     return out.ravel()
 
 
+def _sorted_lines(texts: list, count: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Places of lines, the tokens of all lines one after another, rarest first, and where each line's tokens end."""
+    words, ids, line_of, places = _numbered(texts)
+    if not words:
+        return [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    hashes = _hashes(words)
+    order = np.lexsort((hashes, count[(hashes & np.uint64(len(count) - 1)).astype(np.int64)]))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    pair = np.unique(line_of * len(words) + rank[ids])       # distinct words of each line in order
+    return places, hashes[order][pair % len(words)], np.cumsum(np.bincount(pair // len(words), minlength=len(places)))
+
+
+def prefix_length(n: int) -> int:
+    """Tokens of a set of n in one of which any matching set shares: n - ceil(t n) + 1."""
+    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+
+
 def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of enough tokens: (id, body, line, class, n, tokens), tokens rarest first, null where the task has given them before."""
+    """One row per line of enough tokens: (id, body, line, class, n, marks, prefix).
+
+    ``marks`` has a bit for each token, flipped by each that falls on it, so two sets differ in at least as many tokens as
+    bits. ``prefix`` has 32 bits of each prefix token, or is null where the task has given this class before.
+    """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("body"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, body long, line int, class long, n int, tokens array<long>"
+    schema = f"id {kind}, body long, line int, class long, n int, marks long, prefix array<int>"
     shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
-        mask = np.uint64(len(count) - 1)
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(2)
             for lo, hi in pieces(text_sizes(texts)):
                 part = batch.slice(lo, hi - lo)
-                words, ids, line_of, places = _numbered(texts.slice(lo, hi - lo).to_pylist())
-                if not words:
+                places, token, ends = _sorted_lines(texts.slice(lo, hi - lo).to_pylist(), count)
+                sizes = np.diff(ends, prepend=0)
+                chosen = np.flatnonzero(sizes >= MIN_TOKENS).tolist()
+                if not chosen:
                     continue
-                hashes = _hashes(words)
-                order = np.lexsort((hashes, count[(hashes & mask).astype(np.int64)]))
-                rank = np.empty(len(order), dtype=np.int64)
-                rank[order] = np.arange(len(order))
-                pair = np.unique(line_of * len(words) + rank[ids])       # distinct words of each line, rarest first
-                line = pair // len(words)
-                token = hashes[order][pair % len(words)]
-                ends = np.cumsum(np.bincount(line, minlength=len(places)))
-                raw, at = token.tobytes(), 0
-                chosen, classes, sizes, new = [], [], [], []
-                for k, end in enumerate(ends.tolist()):
-                    if end - at >= MIN_TOKENS:
-                        c = xxhash.xxh64_intdigest(raw[8 * at:8 * end])
-                        chosen.append(k)
-                        classes.append(c)
-                        sizes.append(end - at)
-                        new.append((at, end) if c not in seen else None)
+                marks = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), (ends - sizes)[sizes > 0])
+                marks = marks[np.cumsum(sizes > 0)[chosen] - 1].view(np.int64)
+                raw, classes, taken, offsets = token.tobytes(), [], [], [0]
+                for end, n in zip(ends[chosen].tolist(), sizes[chosen].tolist()):
+                    c = xxhash.xxh64_intdigest(raw[8 * (end - n):8 * end])
+                    classes.append(c)
+                    k = 0
+                    if c not in seen:
                         seen.add(c)
-                    at = end
+                        k = prefix_length(n)
+                        taken.append(np.arange(end - n, end - n + k))
+                    offsets.append(offsets[-1] + k)
                 if len(seen) > REMEMBERED:
                     seen = set()
-                signed = token.view(np.int64)
+                short = (token[np.concatenate(taken)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if taken else np.zeros(0, dtype=np.int32)
+                blank = np.diff(offsets) == 0
+                prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short, pa.int32()), mask=pa.array(blank))
                 doc = pa.array([places[k][0] for k in chosen], pa.int32())
-                offsets = np.cumsum([0] + [b - a for a, b in (x or (0, 0) for x in new)]).astype(np.int32)
-                values = np.concatenate([signed[x[0]:x[1]] for x in new if x] or [signed[:0]])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()), mask=pa.array([x is None for x in new], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(doc), part.column(1).take(doc), pa.array([places[k][1] for k in chosen], pa.int32()),
-                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), tokens],
-                    names=["id", "body", "line", "class", "n", "tokens"])
+                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes[chosen].astype(np.int32)), pa.array(marks), prefix],
+                    names=["id", "body", "line", "class", "n", "marks", "prefix"])
 
     return rows.mapInArrow(run, schema)
 
 
-def matches(table: DataFrame, label: str = "linedup") -> DataFrame:
-    """Pairs (a, b) of classes whose token sets match, each pair once."""
+def token_sets(df: DataFrame, needed: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(class, tokens) of the lines named in ``needed`` (id, body, lines), read from the texts once more."""
+    body = F.xxhash64(F.col(f"`{text_col}`"))
+    asked = needed.withColumnsRenamed({"id": "__id", "body": "__b", "lines": "__lines"})
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(broadcast_if_small(asked), F.col("id").eqNullSafe(F.col("__id")) & (F.col("body") == F.col("__b"))).select("text", "__lines")
+    shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0)
+            for lo, hi in pieces(text_sizes(texts)):
+                wanted = [set(x) for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                places, token, ends = _sorted_lines(texts.slice(lo, hi - lo).to_pylist(), shared.value)
+                begin = np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else []
+                spans = [(a, b) for (t, k), a, b in zip(places, begin, ends.tolist()) if k in wanted[t]]
+                raw, signed = token.tobytes(), token.view(np.int64)
+                classes = np.array([xxhash.xxh64_intdigest(raw[8 * a:8 * b]) for a, b in spans], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array([signed[a:b] for a, b in spans], pa.list_(pa.int64()))], names=["class", "tokens"])
+
+    return rows.mapInArrow(run, "class long, tokens array<long>")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that meet in a list and pass the length, positional and mark filters."""
     t, d = NUMERATOR, DENOMINATOR
-    prefix = F.expr(f"n - cast(ceil({t} * n / {d}) as int) + 1")
-    full = table.where("tokens is not null")
-    posted = full.select("class", "n", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
-    posted = posted.groupBy("token", "class").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    posted = classes.select("class", "n", "marks", F.posexplode("prefix").alias("pos", "token"))
     a, b = posted.alias("a"), posted.alias("b")
     least = F.least(F.col("a.n"), F.col("b.n"))
     most = F.greatest(F.col("a.n"), F.col("b.n"))
     both = F.col("a.n") + F.col("b.n")
+    # a match leaves at most (d - t) / (d + t) of both sizes outside the intersection
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
                    & (d * least >= t * most)
+                   & ((t + d) * F.bit_count(F.col("a.marks").bitwiseXOR(F.col("b.marks"))) <= (d - t) * both)
                    & ((t + d) * F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= t * both))
-    pairs = materialize(pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct(), f"{label}-candidates")
+    return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+
+
+def matches(df: DataFrame, classes: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label: str = "linedup") -> DataFrame:
+    """Pairs (a, b) of classes whose token sets match, each pair once."""
+    t, d = NUMERATOR, DENOMINATOR
+    pairs = materialize(candidates(classes), f"{label}-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = full.join(broadcast_if_small(materialize(asked, f"{label}-asked")), "class", "left_semi").groupBy("class").agg(F.max("tokens").alias("tokens"))
-    sets = materialize(sets, f"{label}-sets")
+    needed = asked.join(classes.select("class", "first.*"), "class").groupBy("id", "body").agg(F.collect_list("line").alias("lines"))
+    sets = materialize(token_sets(df, materialize(needed, f"{label}-needed"), counts, id_col, text_col).dropDuplicates(["class"]), f"{label}-sets")
     both = pairs.join(sets.withColumnsRenamed({"class": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "tokens": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where((t + d) * shared >= t * (F.size("x") + F.size("y"))).select("a", "b")
@@ -181,8 +230,9 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     counts = token_counts(df, text_col)
     table = materialize(lines(df, counts, id_col, text_col), f"{label}-lines")
     place = F.struct("id", "body", "line")
-    classes = materialize(table.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("many")), f"{label}-classes")
-    pairs = materialize(matches(table, label), f"{label}-matches")
+    classes = materialize(table.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("many"), F.max("n").alias("n"),
+                                                     F.max("marks").alias("marks"), F.max("prefix").alias("prefix")), f"{label}-classes")
+    pairs = materialize(matches(df, classes, counts, id_col, text_col, label), f"{label}-matches")
     links = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     earlier = links.join(classes.select(F.col("class").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("class")).agg(F.min("other").alias("other"))
     limit = classes.join(earlier, "class", "left").where((F.col("many") > 1) | F.col("other").isNotNull()) \
