@@ -39,6 +39,8 @@ MIN_SUPPORT = 3
 CONFIDENT = 0.5
 ACCEPT = 0.6
 SCORE_DECIMALS = 9
+MIN_CHARS = 4
+REACH = 80          # symbols before a mention in which its context is looked for
 
 
 def located(df: DataFrame, text: str, pattern: str, gate: str, out: str) -> DataFrame:
@@ -97,23 +99,32 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("base", F.array_sort(F.concat(*found))).drop(*KINDS)
 
 
+def context(before: Column) -> Column:
+    """The last two words of what stands before a mention, in lower case and with 0 for digits."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(before), "[0-9]", "0"), SPACE + "+"), lambda w: w != "")
+    return F.array_join(F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), words), -2, 2), " ")
+
+
 def mentions(df: DataFrame, text: str) -> DataFrame:
-    """Add ``mentions``: array of (start, end, instance, pattern) of all identifier-like tokens of four or more symbols."""
+    """Add ``mentions``: array of (start, end, instance, pattern, kind): the seeds in ``base``, and all other identifier-like
+    tokens of four or more symbols, with null kind."""
     token = rf"(?<!{WORD})(?:[^0-9@\x20\x09-\x0D]*+[0-9@]){WORD}*+"
     df = located(df, text, token, "[0-9@]", "mention")
     inner = r"[\p{L}\p{N}+](?:.*[\p{L}\p{N}])?"
     core = lambda v: F.regexp_extract(v, inner, 0)
     # the last words of the gap before; a mention right before stands as its shape
-    tail = lambda i: F.concat(F.when(i > 0, F.lower(F.right(F.get(F.col("mention.value"), i - 1), F.lit(40)))).otherwise(F.lit("")),
-                              F.lower(F.right(F.get(F.col("mention_s"), i), F.lit(80))))
-    words = lambda i: F.filter(F.split(F.regexp_replace(tail(i), "[0-9]", "0"), SPACE + "+"), lambda w: w != "")
-    context = lambda i: F.array_join(F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), words(i)), -2, 2), " ")
+    tail = lambda i: F.concat(F.when(i > 0, F.right(F.get(F.col("mention.value"), i - 1), F.lit(REACH))).otherwise(F.lit("")),
+                              F.right(F.get(F.col("mention_s"), i), F.lit(REACH)))
     all_of = F.transform(F.col("mention"), lambda m, i: F.struct(
-        (m["start"] + F.instr(m["value"], core(m["value"])) - 1).alias("start"), F.lower(core(m["value"])).alias("instance"), context(i).alias("pattern"),
+        (m["start"] + F.instr(m["value"], core(m["value"])) - 1).alias("start"), F.lower(core(m["value"])).alias("instance"), context(tail(i)).alias("pattern"),
         F.length(core(m["value"])).alias("n")))
-    kept = F.filter(all_of, lambda m: m["n"] >= 4)
-    return df.withColumn("mentions", F.transform(kept, lambda m: F.struct(
-        m["start"].alias("start"), (m["start"] + m["n"]).alias("end"), m["instance"].alias("instance"), m["pattern"].alias("pattern")))).drop("mention", "mention_s")
+    apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["start"] + m["n"]) & (m["start"] < b["end"]))
+    free = F.transform(F.filter(all_of, lambda m: (m["n"] >= MIN_CHARS) & apart(m)), lambda m: F.struct(
+        m["start"].alias("start"), (m["start"] + m["n"]).alias("end"), m["instance"].alias("instance"), m["pattern"].alias("pattern"), F.lit(None).cast("int").alias("kind")))
+    before = lambda b: F.substring(F.col(text), F.greatest(b["start"] - REACH, F.lit(0)) + 1, F.least(b["start"], F.lit(REACH)))
+    seeds = F.transform(F.col("base"), lambda b: F.struct(
+        b["start"].alias("start"), b["end"].alias("end"), F.lower(b["value"]).alias("instance"), context(before(b)).alias("pattern"), b["kind"].alias("kind")))
+    return df.withColumn("mentions", F.concat(free, seeds)).drop("mention", "mention_s")
 
 
 def score(seen: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confident: float = CONFIDENT, label: str = "pii") -> DataFrame:
@@ -139,9 +150,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept:
     rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__body"))
     rows = mentions(base_spans(rows, "__body"), "__body").select("__id", "base", "mentions")
     table = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), f"{label}-rows")      # numbered once, as it is written
-    overlap = lambda m: F.filter("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    exploded = table.where(F.size("mentions") > 0).select("__row", "base", F.explode("mentions").alias("m"))
-    seen = exploded.select("__row", "m.*", F.get(overlap(F.col("m")), F.lit(0))["kind"].alias("kind"))
+    seen = table.where(F.size("mentions") > 0).select("__row", F.explode("mentions").alias("m")).select("__row", "m.*")
     scores = score(seen.select("pattern", "instance", "kind"), label=label, **options)
     hits = seen.where("kind is null").drop("kind").join(scores.where(F.col("score") >= accept), "instance")
     spans = hits.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", F.col("instance").alias("value")))).alias("found"))

@@ -1,8 +1,13 @@
 from datetime import date
 
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()),
                    StructField("source", StringType()), StructField("n_chars", LongType())])
 
