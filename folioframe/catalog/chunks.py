@@ -174,9 +174,21 @@ def ch11(t):
     return t.documents.select("doc_id", F.inline(F.array(C.locate_span(F.col("text"), piece, F.lit(0)))))
 
 
-@query("ch12_evidence_spans")
+# pieces of parents as an independent walk; the source span is compared without its whitespace
+EVIDENCE = PARENTS.replace("WITH RECURSIVE", "") + rf""",
+pg AS (SELECT doc_id, chunk_index, i, {sql_strip('p')} AS p FROM (SELECT doc_id, chunk_index, unnest({PARAGRAPHS}) AS p, unnest(range(len({PARAGRAPHS}))) AS i FROM par)),
+cw AS (SELECT doc_id, chunk_index, i, p, 0 AS a, 0 AS b FROM pg WHERE p <> '' UNION ALL
+  SELECT doc_id, chunk_index, i, p, b, CASE WHEN length(p) <= 420 THEN length(p) WHEN s < length(p) AND length(m) > 0 THEN b + 210 + length(m) ELSE s END FROM (
+    SELECT *, least(b + 420, length(p)) AS s, regexp_extract(p[b + 211:least(b + 420, length(p)) + 1], '(?s)^(.*[。！？.!?
+])', 1) AS m FROM cw WHERE b < length(p)))"""
+
+
+@query("ch12_evidence_spans", rf"""WITH RECURSIVE {EVIDENCE} SELECT source || '/' || doc_id || '.md' AS source_path, chunk_index::BIGINT AS chunk_index,
+  row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY i, a) - 1 AS span_index, md5(regexp_replace(x, '{WS}+', ' ', 'g')) AS text
+FROM (SELECT doc_id, chunk_index, i, a, {sql_strip('p[a + 1:b]')} AS x FROM cw WHERE b > 0) JOIN documents USING (doc_id) WHERE length(x) >= 8""")
 def ch12(t):
-    return C.evidence_spans(C.with_parents(sources(t)))
+    spans = C.evidence_spans(C.with_parents(sources(t)))
+    return spans.select("source_path", "chunk_index", "span_index", F.md5(F.regexp_replace("text", rf"{WS}+", " ")).alias("text"))
 
 
 @query("ch13_select_spread_chunks")

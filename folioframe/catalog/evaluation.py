@@ -328,18 +328,6 @@ def ev20(t):
     return E.dedupe_negatives(rows).withColumn("query", F.md5("query"))
 
 
-@query("ev21_allocate_types")
-def ev21(t):
-    # labelled good documents get one or two questions; quotas are dealt out in a fixed proportion
-    docs = t.documents.join(t.labels.filter("quality = 1"), "doc_id").select(
-        F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("domain"), (F.col("n_chars") % 2 + 1).alias("target"), F.col("doc_id").alias("ord"), "n_chars")
-    total = docs.groupBy("domain").agg(F.sum("target").alias("s"))
-    quotas = total.select("domain", F.explode(F.array(*[F.struct(F.lit(n).alias("question_type"), F.lit(i).alias("i")) for i, n in enumerate(E.ANSWERABLE_TYPES)])).alias("q"), "s").select(
-        "domain", "q.question_type", (F.floor(F.col("s") / 4) + (F.col("s") % 4 > F.col("q.i")).cast("int")).alias("n"))
-    parents = docs.select("path", (F.floor(F.col("n_chars") / 1200) + 1).alias("n_parents"))
-    return E.allocate_types(docs.drop("n_chars"), quotas, parents)
-
-
 GOLD = """sel AS (SELECT l_orderkey AS qk, l_linenumber AS pos, CASE WHEN l_returnflag = 'R' AND l_quantity > 48 THEN -1 ELSE l_partkey END AS span FROM lineitem),
 fs AS (SELECT qk, span, min(pos) AS pos FROM sel GROUP BY ALL), kn AS (SELECT fs.*, p_partkey % 100 AS chunk FROM fs JOIN part ON p_partkey = span),
 j AS (SELECT o_orderkey AS qk, o_orderpriority AS pr, (SELECT count(*) FROM fs WHERE fs.qk = o_orderkey AND span NOT IN (SELECT p_partkey FROM part)) AS unk,

@@ -26,18 +26,18 @@ def ix3(t):
     return I.index_stats(I.doc_lengths(corpus(t))).withColumn("average_tokens", F.round("average_tokens", 9))
 
 
-# the stored index: labelled documents; the batch: documents of good quality plus the unlabelled ones, in upper case
+# the stored index: labelled documents; the batch: documents of good quality plus the unlabelled ones, in lower case
 def stored(t):
     return t.documents.join(t.labels, "doc_id").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "quality")
 
 
 def batch(t):
     return t.documents.join(t.labels, "doc_id", "left").filter("quality IS NULL OR quality = 1").select(
-        F.col("doc_id").alias("chunk_id"), F.lower(F.substring("text", 1, 50)).alias("text"), "lang", "quality")
+        F.col("doc_id").alias("chunk_id"), F.lower("text").alias("text"), "lang", "quality")
 
 
 STORED = "stored AS (SELECT doc_id AS chunk_id, text, lang, quality FROM documents JOIN labels USING (doc_id))"
-BATCH = ("batch AS (SELECT doc_id AS chunk_id, lower(text[1:50]) AS text, lang, quality FROM documents LEFT JOIN labels USING (doc_id) "
+BATCH = ("batch AS (SELECT doc_id AS chunk_id, lower(text) AS text, lang, quality FROM documents LEFT JOIN labels USING (doc_id) "
          "WHERE quality IS NULL OR quality = 1)")
 
 
@@ -69,15 +69,15 @@ def ix6(t):
 @query("ix7_replace_page_chunks", """SELECT page_id, chunk_id, revision FROM (
   SELECT conv_id AS page_id, conv_id * 100 + turn AS chunk_id, 1::BIGINT AS revision, max(turn) OVER (PARTITION BY conv_id) AS n FROM conversations)
   WHERE n < 4 UNION ALL SELECT conv_id, conv_id * 100 + turn + 50, 2 FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS n FROM conversations)
-  WHERE n >= 4 AND role = 'user'""")
+  WHERE n >= 4 AND role = 'user' AND length(text) > 200""")
 def ix7(t):
-    # conversations are pages; those of five turns or more are re-indexed with their user turns
+    # conversations are pages; those of five turns or more are re-indexed with their long user turns, some with none
     current = t.conversations.select(F.col("conv_id").alias("page_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"),
                                      F.lit(1).alias("revision"))
     long_ = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("n")).filter("n >= 4")
-    fresh = t.conversations.join(long_, "conv_id").filter("role = 'user'").select(
+    fresh = t.conversations.join(long_, "conv_id").filter("role = 'user' AND length(text) > 200").select(
         F.col("conv_id").alias("page_id"), (F.col("conv_id") * 100 + F.col("turn") + 50).alias("chunk_id"), F.lit(2).alias("revision"))
-    return I.replace_page_chunks(current, fresh)
+    return I.replace_page_chunks(current, fresh, long_.select(F.col("conv_id").alias("page_id")))
 
 
 def file_chunks(t):

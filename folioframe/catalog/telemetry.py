@@ -143,19 +143,48 @@ def ob10(t):
         "request_id", "status", "status_code", "call_count", "total_tokens", "evidence_status", "last_error")
 
 
-@query("ob11_enrich_timeline", f"""WITH {USAGE}, {RUNS}, {QUALITY}, l AS (SELECT request_id, sequence, row_number() OVER (PARTITION BY request_id ORDER BY sequence) AS n FROM tl WHERE stage LIKE 'llm.%'),
-c AS (SELECT request_id, total_tokens, row_number() OVER (PARTITION BY request_id ORDER BY sequence) AS n FROM nc)
-SELECT tl.sequence, stage, CASE WHEN k % 10 = 0 THEN NULL WHEN stage = 'agent.plan' THEN 'search' WHEN stage = 'retrieval.bm25' THEN rn.n::VARCHAR WHEN stage LIKE 'llm.%' THEN c.total_tokens::VARCHAR
-  WHEN stage = 'agent.evidence' THEN evidence_status WHEN stage = 'retrieval.rerank' THEN '旧记录仅保存了阶段耗时' END AS fact
-FROM tl JOIN rn USING (request_id) JOIN ql USING (request_id) LEFT JOIN l ON l.sequence = tl.sequence LEFT JOIN c ON c.request_id = tl.request_id AND c.n = l.n""")
+STAGE_LIST = ["agent.plan", "agent.fast_path", "agent.query_rewrite", "retrieval.embedding", "retrieval.bm25", "retrieval.recall", "retrieval.fusion",
+              "retrieval.fetch_chunks", "retrieval.rerank", "agent.crag_grade", "agent.evidence", "agent.generation", "llm.answer", "agent.total", "other"]
+
+
+def facts_sql(**facts):
+    """Facts of a map as ``name=value`` in the order of the names; null values are left out."""
+    return "concat_ws(';', " + ", ".join(f"'{k}=' || ({v})::VARCHAR" for k, v in sorted(facts.items())) + ")"
+
+
+@query("ob11_enrich_timeline", f"""WITH {USAGE}, {RUNS}, {QUALITY}, st AS (SELECT *, [{', '.join(repr(s) for s in STAGE_LIST)}][k % {len(STAGE_LIST)} + 1] AS st FROM tl),
+l AS (SELECT request_id, sequence, row_number() OVER (PARTITION BY request_id ORDER BY sequence) AS n FROM st WHERE st = 'llm.answer'),
+c AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sequence) AS i FROM nc)
+SELECT st.sequence, st AS stage, CASE WHEN k % 10 = 0 THEN NULL WHEN st = 'agent.plan' THEN {facts_sql(intent="'search'", recording_note="'旧记录未保存计划步骤'")}
+  WHEN st = 'agent.fast_path' THEN {facts_sql(mode="'fast_path'", planner_skipped="'true'")}
+  WHEN st = 'agent.query_rewrite' THEN {facts_sql(retrieval_query="'q' || rn.n", query_count="2", rewritten_queries="CASE WHEN rn.n % 3 = 0 THEN 'a,b' END", recording_note="CASE WHEN rn.n % 3 <> 0 THEN '旧记录未保存改写文本' END")}
+  WHEN st = 'retrieval.embedding' THEN {facts_sql(hits="rn.n + 1")} WHEN st = 'retrieval.bm25' THEN {facts_sql(hits="rn.n")}
+  WHEN st = 'retrieval.recall' THEN {facts_sql(query_count="2", bm25_hits="rn.n", embedding_hits="rn.n + 1", fused_candidates="rn.n + 2", reranked_candidates="rn.n + 3", selected_results="rn.n + 4")}
+  WHEN st = 'retrieval.fusion' THEN {facts_sql(fused_candidates="rn.n + 2")} WHEN st = 'retrieval.fetch_chunks' THEN {facts_sql(fetched_candidates="rn.n + 3")}
+  WHEN st = 'retrieval.rerank' THEN {facts_sql(candidates="rn.n + 3", selected="CASE WHEN rn.n % 2 = 0 THEN rn.n + 5 ELSE rn.n + 4 END", recording_note="'旧记录未保存保留文档明细'")}
+  WHEN st = 'agent.crag_grade' THEN {facts_sql(action="'refine'", kept="rn.n")}
+  WHEN st = 'agent.evidence' AND evidence_status = 'not_applicable' THEN {facts_sql(recording_note="'旧记录未保存证据门禁结果'")}
+  WHEN st = 'agent.evidence' THEN {facts_sql(evidence_status="evidence_status", evidence_source_count="evidence_source_count")}
+  WHEN st = 'agent.generation' THEN {facts_sql(answer_generated="CASE WHEN rn.n % 2 = 0 THEN 'true' ELSE 'false' END", source_count="CASE WHEN rn.n % 3 = 0 THEN rn.n END", recording_note="'旧记录未保存引用明细'")}
+  WHEN st LIKE 'llm.%' AND c.i IS NOT NULL THEN {facts_sql(operation="c.operation", total_tokens="c.total_tokens", prompt_tokens="c.prompt_tokens", completion_tokens="c.completion_tokens", token_budget="c.token_budget", token_remaining="c.token_remaining", input_budget="c.input_budget", input_remaining="c.input_remaining", model="'m' || c.prompt_tokens", success="CASE WHEN c.truncated THEN 'false' ELSE 'true' END", finish_reason="CASE WHEN c.truncated THEN 'length' END")}
+  WHEN st = 'agent.total' THEN {facts_sql(total_ms="rn.n")} ELSE {facts_sql(recording_note="'旧记录仅保存了阶段耗时'")} END AS facts
+FROM st JOIN rn USING (request_id) JOIN ql USING (request_id) LEFT JOIN l ON l.sequence = st.sequence LEFT JOIN c ON c.request_id = st.request_id AND c.i = l.n""")
 def ob11(t):
-    q = O.answer_quality(quality_runs(t)).select("request_id", "evidence_status", "evidence_score")
-    r = runs(t).select("request_id", F.lit("search").alias("intent"), "execution_time_ms", F.create_map(F.lit("bm25_hits"), F.col("n").cast("string")).alias("stats")).join(q, "request_id")
-    rows = timeline(t).select("request_id", "sequence", "stage", (F.col("k") % 10 == 0).alias("has_result"))
-    m = F.col("result")
-    fact = F.coalesce(F.try_element_at(m, F.lit("intent")), F.try_element_at(m, F.lit("hits")), F.try_element_at(m, F.lit("total_tokens")),
-                      F.try_element_at(m, F.lit("evidence_status")), F.try_element_at(m, F.lit("recording_note")))
-    return O.enrich_timeline(rows, r, normal(t)).select("sequence", "stage", fact.alias("fact"))
+    text = lambda c: c.cast("string")
+    n = F.col("n")
+    stats = {"query_count": F.lit(2), "bm25_hits": n, "embedding_hits": n + 1, "fused_candidates": n + 2, "reranked_candidates": n + 3, "selected_results": n + 4,
+             "quality_filtered_candidates": F.when(n % 2 == 0, n + 5), "retrieval_query": F.concat(F.lit("q"), text(n)), "rewritten_queries": F.when(n % 3 == 0, F.lit("a,b"))}
+    q = O.answer_quality(quality_runs(t)).select("request_id", F.map_filter(F.create_map(
+        F.lit("evidence_status"), F.col("evidence_status"), F.lit("evidence_source_count"), text(F.col("evidence_source_count"))), lambda _, v: v.isNotNull()).alias("quality"))
+    r = runs(t).select("request_id", F.lit("search").alias("intent"), text(n).alias("execution_time_ms"),
+                       F.map_filter(F.create_map(*[x for k, v in stats.items() for x in (F.lit(k), text(v))]), lambda _, v: v.isNotNull()).alias("stats"),
+                       F.create_map(F.lit("action"), F.lit("refine"), F.lit("kept"), text(n)).alias("crag"), (n % 2 == 0).alias("answered"),
+                       F.when(n % 3 == 0, n).alias("source_count")).join(q, "request_id")
+    stage = F.element_at(F.array(*[F.lit(s) for s in STAGE_LIST]), (F.col("k") % len(STAGE_LIST) + 1).cast("int"))
+    rows = timeline(t).select("request_id", "sequence", stage.alias("stage"), (F.col("k") % 10 == 0).alias("has_result"))
+    calls = normal(t).drop("duration_ms").withColumns({"model": F.concat(F.lit("m"), text(F.col("prompt_tokens"))), "success": ~F.col("truncated"), "finish_reason": F.when(F.col("truncated"), "length")})
+    facts = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("result", lambda _, v: v.isNotNull()))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return O.enrich_timeline(rows, r, calls).select("sequence", "stage", facts.alias("facts"))
 
 
 @query("ob12_trace_error", f"WITH {TIMELINE}, {ERRORS} SELECT * FROM er")

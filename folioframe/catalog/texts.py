@@ -368,20 +368,20 @@ def tx33(t):
 
 
 # a query log built from the texts: first words plus a command that depends on the language and source
-LOG_WORDS = [("en", "总结"), ("fr", "有哪些"), ("de", "删除笔记"), ("es", "今天的笔记 标签是")]
+LOG_WORDS = [("en", "总结"), ("fr", "有哪些"), ("de", "删除笔记"), ("es", "今天的笔记\u3000标签是")]
 
 
 def query_log(t):
     lead = F
     for lang, word in LOG_WORDS:
         lead = lead.when(F.col("lang") == lang, word)
-    tail = F.when(F.col("source").endswith("1"), " #t1 这个？").when(F.col("source").endswith("2"), " 以及上周").otherwise("")
-    return t.documents.select("doc_id", F.concat(lead.otherwise(""), F.regexp_extract("text", r"^\S+", 0), tail).alias("q"))
+    tail = F.when(F.col("source").endswith("1"), " #t1\u3000这个？").when(F.col("source").endswith("2"), " 以及上周").otherwise("")
+    return t.documents.select("doc_id", F.concat(lead.otherwise(""), F.col("text"), tail).alias("q"))
 
 
 QLOG = r"""qlog AS (SELECT doc_id, lang, source, CASE lang WHEN 'en' THEN '总结' WHEN 'fr' THEN '有哪些' WHEN 'de' THEN '删除笔记'
-  WHEN 'es' THEN '今天的笔记 标签是' ELSE '' END || regexp_extract(text, '^\S+') ||
-  CASE WHEN source LIKE '%1' THEN ' #t1 这个？' WHEN source LIKE '%2' THEN ' 以及上周' ELSE '' END AS q FROM documents)"""
+  WHEN 'es' THEN '今天的笔记' || chr(12288) || '标签是' ELSE '' END || text ||
+  CASE WHEN source LIKE '%1' THEN ' #t1' || chr(12288) || '这个？' WHEN source LIKE '%2' THEN ' 以及上周' ELSE '' END AS q FROM documents)"""
 
 
 @query("tx34_classify_intent", f"""WITH {QLOG} SELECT doc_id, CASE lang WHEN 'en' THEN 'summarize' WHEN 'de' THEN 'delete_note'
@@ -390,7 +390,7 @@ def tx34(t):
     return query_log(t).select("doc_id", Q.classify_intent("q").alias("intent"))
 
 
-@query("tx35_is_fast_path", f"""WITH {QLOG} SELECT doc_id, lang NOT IN ('en', 'de') AND source NOT LIKE '%2' AND length(regexp_replace(q, '\\s', '', 'g')) <= 160
+@query("tx35_is_fast_path", f"""WITH {QLOG} SELECT doc_id, lang NOT IN ('en', 'de') AND source NOT LIKE '%2' AND length(regexp_replace(q, '{WS}', '', 'g')) <= 160
   AND (lang = 'fr' OR source LIKE '%1' OR regexp_matches(q, '[?？]$')) AS fast FROM qlog""")
 def tx35(t):
     return query_log(t).select("doc_id", Q.is_fast_path("q").alias("fast"))
@@ -414,17 +414,17 @@ def tx37(t):
 
 
 @query("tx38_extract_tags_filename", rf"""WITH {QLOG} SELECT doc_id,
-  coalesce(CASE WHEN lang = 'es' THEN regexp_extract(q, '标签[是为]\s*["“]?([^"“\s]+)["”]?', 1) END,
-    CASE WHEN regexp_matches(q, '#([^\s#，。,.]+)') THEN regexp_extract(q, '#([^\s#，。,.]+)', 1) END) AS tag_filter,
-  len(list_distinct(regexp_extract_all(q, '#([^\s#，。,.]+)', 1)))::BIGINT AS n_tags,
-  CASE WHEN lang = 'es' THEN regexp_extract(q, '笔记 (\S+)', 1) END AS filename FROM qlog""")
+  coalesce(CASE WHEN lang = 'es' THEN regexp_extract(q, '标签[是为]{WS}*["“]?([^"“{WS[1:-1]}]+)["”]?', 1) END,
+    CASE WHEN regexp_matches(q, '#([^{WS[1:-1]}#，。,.]+)') THEN regexp_extract(q, '#([^{WS[1:-1]}#，。,.]+)', 1) END) AS tag_filter,
+  len(list_distinct(regexp_extract_all(q, '#([^{WS[1:-1]}#，。,.]+)', 1)))::BIGINT AS n_tags,
+  CASE WHEN lang = 'es' THEN regexp_extract(q, '笔记{WS}([^{WS[1:-1]}]+)', 1) END AS filename FROM qlog""")
 def tx38(t):
     return query_log(t).select("doc_id", Q.extract_tag_filter("q").alias("tag_filter"),
                                F.size(Q.extract_tags("q")).alias("n_tags"), Q.extract_filename("q").alias("filename"))
 
 
 @query("tx39_parse_search_params", rf"""WITH {QLOG}, p AS (SELECT doc_id, q, lang = 'es' OR source LIKE '%2' AS dated,
-  CASE WHEN lang = 'es' THEN regexp_extract(q, '标签是([^"“\s]+)', 1) WHEN regexp_matches(q, '#([^\s#，。,.]+)') THEN regexp_extract(q, '#([^\s#，。,.]+)', 1) END AS tag FROM qlog),
+  CASE WHEN lang = 'es' THEN regexp_extract(q, '标签是([^"“{WS[1:-1]}]+)', 1) WHEN regexp_matches(q, '#([^{WS[1:-1]}#，。,.]+)') THEN regexp_extract(q, '#([^{WS[1:-1]}#，。,.]+)', 1) END AS tag FROM qlog),
 d AS (SELECT *, CASE WHEN dated THEN regexp_replace(regexp_replace(q, '(上|本|这|下)?(周|月|年)\d{{0,2}}', '', 'g'), '\d{{4}}[-/]\d{{1,2}}[-/]\d{{0,2}}', '', 'g') ELSE q END AS s FROM p)
 SELECT doc_id, coalesce(nullif({sql_strip("CASE WHEN tag IS NULL THEN s ELSE replace(replace(s, '标签是' || tag, ''), '标签' || tag, '') END")}, ''), q) AS search, tag AS tag_filter FROM d""")
 def tx39(t):

@@ -144,11 +144,6 @@ def wk8i(t):
     return W.identity_violations(files, pages)
 
 
-@query("wk9_diff_revisions")
-def wk9(t):
-    return W.diff_revisions(W.revision_pairs(revisions(t)))
-
-
 @query("wk9_diff_counts", f"""WITH {REVISIONS}, l AS (SELECT DISTINCT page_id, revision, unnest(string_split(content, chr(10))) AS line FROM revs)
 SELECT r.page_id, r.revision, (SELECT count(*) FROM l a WHERE a.page_id = r.page_id AND a.revision = r.revision AND NOT EXISTS (SELECT 1 FROM l b WHERE b.page_id = r.page_id AND b.revision = r.revision - 1 AND b.line = a.line)) AS added,
   (SELECT count(*) FROM l a WHERE a.page_id = r.page_id AND a.revision = r.revision - 1 AND NOT EXISTS (SELECT 1 FROM l b WHERE b.page_id = r.page_id AND b.revision = r.revision AND b.line = a.line)) AS removed
@@ -276,9 +271,3 @@ def wk20r(t):
     rows = t.lineitem.select(F.col("l_orderkey").alias("page_id"), F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("run_id"), "l_returnflag")
     runs = t.part.select(F.col("p_partkey").alias("run_id"), F.lit("open").alias("status"))
     return W.link_sources(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag <> 'R'"), runs)["runs"]
-
-
-@query("wk21_legacy_files")
-def wk21(t):
-    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(t.dir)
-    return W.legacy_files(files)

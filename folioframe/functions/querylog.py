@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import WS, col, strip
+from .common import NWS, WS, col, strip
 
 # Intent families in the order they are tried.
 INTENT_PATTERNS = [
@@ -28,11 +28,11 @@ MUTATION_PATTERNS = [
 ]
 COMPLEX_MARKERS = "比较|对比|分别|同时|以及|并且|结合|如果|然后|优缺点|差异|完整流程|详细说明"
 CONTEXT_MARKERS = ["它", "这个", "那个", "上面", "刚才", "前者", "后者", "该问题"]
-TAG_PHRASE = r'标签[是为]\s*["“]?([^"“\s]+)["”]?'
-HASH_TAG = r"#([^\s#，。,.]+)"
+TAG_PHRASE = rf'标签[是为]{WS}*["“]?((?:(?!["“]){NWS})+)["”]?'
+HASH_TAG = rf"#((?:(?![#，。,.]){NWS})+)"
 FILE_NAME_PATTERNS = [
-    r'(?:笔记|文件)\s*[名叫是为：:]\s*[「"“]?([^」"”，。,.]+)',
-    r"(?:笔记|文件)\s+(.+?)(?:\s|$)",
+    rf'(?:笔记|文件){WS}*[名叫是为：:]{WS}*[「"“]?([^」"”，。,.]+)',
+    rf"(?:笔记|文件){WS}+(.+?)(?:{WS}|$)",
 ]
 FILE_NAME_PARTICLES = ["的", "了", "吗", "吧", "呢"]
 

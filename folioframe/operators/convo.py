@@ -121,15 +121,15 @@ def summary_selection(messages: DataFrame, sessions: DataFrame, budget: int = S.
                       summary_budget: int = S.MEMORY_SUMMARY_BUDGET, keep: int = 5) -> DataFrame:
     """Oldest messages that fit the summary input, without the last ``keep``; stops at the first miss.
 
-    Every line costs a token at least, so no more than ``budget`` lines can be taken: the rank
-    limits in front (the last ``keep``, the first ``budget``) are exact.
+    Every line costs a token at least and the room is 64 tokens or the budget at most, so no more lines
+    than that can be taken: the rank limits in front (the last ``keep``, the first lines) are exact.
     """
     pend = _pending(messages, sessions)
     last = pend.select("session_id", "id").withColumn("_n", F.row_number().over(_by_id(True))).filter(
         F.col("_n") <= keep).groupBy("session_id").agg(F.min("id").alias("_cut"))
     head = pend.join(last, "session_id").filter(F.col("id") < F.col("_cut")).select(
         "session_id", "id", _line().alias("line")).withColumn("_n", F.row_number().over(_by_id())).filter(
-        F.col("_n") <= budget)
+        F.col("_n") <= max(budget, 64))
     prior = truncate_text(F.coalesce(F.nullif("summary", F.lit("")), F.lit("（无）")),
                           F.lit(min(summary_budget, max(128, budget // 4))))
     room = sessions.select("session_id", F.greatest(F.lit(64), F.lit(budget) - estimate_tokens(prior) - 180).alias("room"))

@@ -316,43 +316,6 @@ def dedupe_negatives(candidates: DataFrame, order: str = "pos") -> DataFrame:
                                    .alias("r")).select("r.*")
 
 
-def allocate_types(sources: DataFrame, quotas: DataFrame, parents: DataFrame) -> DataFrame:
-    """(path, position, question_type): round-robin over the documents of a domain, each slot taking
-    an unseen type with the largest remaining quota.
-
-    sources: (path, domain, target, ord); quotas: (domain, question_type, n); parents: (path, n_parents).
-    Each choice depends on the ones before it, so a domain is one group; a group is a question plan
-    (as many rows as questions to be written), not corpus data.
-    """
-    slots = sources.join(parents, "path", "left").select(
-        "domain", "path", "ord", (F.coalesce("n_parents", F.lit(2)) >= 2).alias("multi"),
-        F.explode(F.sequence(F.lit(1), F.col("target").cast("int"))).alias("round"))
-    wide = quotas.groupBy("domain").pivot("question_type", ANSWERABLE_TYPES).agg(F.sum("n"))
-    plan = slots.join(wide, "domain")
-
-    def assign(pdf):
-        pdf = pdf.sort_values(["round", "ord"], kind="stable")
-        left = {name: int(pdf[name].iloc[0] or 0) for name in ANSWERABLE_TYPES}
-        used: dict = {}
-        picks = []
-        for path, multi in zip(pdf["path"], pdf["multi"]):
-            mine = used.setdefault(path, [])
-            options = [n for n in ANSWERABLE_TYPES if left[n] > 0 and (multi or n != "multi_evidence")]
-            fresh = [n for n in options if n not in mine] or options
-            pick = max(fresh, key=lambda n: left[n]) if fresh else None
-            if pick is not None:
-                left[pick] -= 1
-                mine.append(pick)
-            picks.append((len(mine), pick))
-        out = pdf[["domain", "path"]].copy()
-        out["position"] = [p for p, _ in picks]
-        out["question_type"] = [t for _, t in picks]
-        return out
-
-    return plan.groupBy("domain").applyInPandas(
-        assign, "domain string, path string, position int, question_type string")
-
-
 def assemble_gold(selections: DataFrame, spans: DataFrame, questions: DataFrame) -> dict:
     """Gold tables from selected spans (question_key, pos, span_id), spans (span_id, chunk_id, source_id,
     start_char, end_char, quote) and questions (question_key, path, query, question_type, answer):

@@ -14,20 +14,19 @@ from ..functions.tokens import tokenize, tokenize_eval
 
 def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text",
                    mode: str = "search") -> DataFrame:
-    """postings(chunk_id, term, tf, dl), hash-partitioned by ``chunk_id``.
+    """postings(chunk_id, term, tf, dl).
 
-    The texts are shuffled once, by document, which is smaller than their exploded tokens. The term
-    counts and every later per-(query, document) sum then run inside that partitioning without
-    another shuffle, and a frequent term is spread over all documents instead of filling one task.
+    Terms are counted inside the row: the sorted tokens are cut at their changes, and the length of a
+    run is the term's count. Texts and tokens stay in their map stage, nothing is shuffled.
     """
-    placed = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text).alias("_x")).repartition("chunk_id")
-    rows = placed.select("chunk_id", (tokenize("_x") if mode == "search" else tokenize_eval("_x")).alias("_t"))
-    # the outer form with its own filter: a plain explode would have the optimizer add a size test
-    # on the token expression and tokenize every text twice
-    words = rows.select("chunk_id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term")).filter(
-        "term IS NOT NULL")
-    return words.groupBy("chunk_id", "dl", "term").agg(
-        F.count("*").cast("int").alias("tf")).select("chunk_id", "term", "tf", "dl")
+    rows = chunks.select(F.col(id_col).alias("chunk_id"),
+                         F.array_sort(tokenize(text) if mode == "search" else tokenize_eval(text)).alias("_t"))
+    # where a run begins; the place after the last one closes the list
+    heads = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    rows = rows.filter(F.size("_t") > 0).select("chunk_id", "_t", F.size("_t").alias("dl"), F.concat(heads, F.array(F.size("_t"))).alias("_h"))
+    runs = F.transform(F.slice("_h", F.lit(1), F.size("_h") - 1), lambda at, i: F.struct(
+        F.get("_t", at).alias("term"), (F.get("_h", i + 1) - at).alias("tf")))
+    return rows.select("chunk_id", "dl", F.inline(runs)).select("chunk_id", "term", "tf", "dl")
 
 
 def doc_lengths(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text",
@@ -106,9 +105,13 @@ def delete_where(current: DataFrame, predicate: Column) -> DataFrame:
     return current.filter(~F.coalesce(predicate, F.lit(False)))
 
 
-def replace_page_chunks(current: DataFrame, fresh: DataFrame) -> DataFrame:
-    """All chunks of a re-indexed page are replaced by those of its new revision."""
-    return current.join(fresh.select("page_id").distinct(), "page_id", "left_anti").unionByName(
+def replace_page_chunks(current: DataFrame, fresh: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """All chunks of a re-indexed page are replaced by those of its new revision.
+
+    ``pages`` (page_id) names the re-indexed pages; one that yields no chunk loses those it had.
+    """
+    done = fresh.select("page_id") if pages is None else pages.select("page_id").unionByName(fresh.select("page_id"))
+    return current.join(done.distinct(), "page_id", "left_anti").unionByName(
         fresh, allowMissingColumns=True)
 
 

@@ -15,6 +15,23 @@ NON_TERMINAL = ["pending", "running", "cancelling"]
 NOTE_DURATION_ONLY = "旧记录仅保存了阶段耗时"
 NOTE_NO_PLAN = "旧记录未保存计划步骤"
 NOTE_NO_EVIDENCE = "旧记录未保存证据门禁结果"
+NOTE_NO_REWRITES = "旧记录未保存改写文本"
+NOTE_NO_DOCUMENTS = "旧记录未保存保留文档明细"
+NOTE_NO_CITATIONS = "旧记录未保存引用明细"
+# What a stage shows of the run's retrieval figures, as shown name and stored name.
+STAGE_FIGURES = {
+    "agent.query_rewrite": [("retrieval_query", "retrieval_query"), ("rewritten_queries", "rewritten_queries"), ("query_count", "query_count")],
+    "retrieval.embedding": [("hits", "embedding_hits")],
+    "retrieval.bm25": [("hits", "bm25_hits")],
+    "retrieval.fusion": [("fused_candidates", "fused_candidates")],
+    "retrieval.fetch_chunks": [("fetched_candidates", "reranked_candidates")],
+    "retrieval.rerank": [("candidates", "reranked_candidates")],
+}
+RECALL_STAGES = ["retrieval.recall", "agent.retrieve"]
+RECALL_FIGURES = ["query_count", "bm25_hits", "embedding_hits", "fused_candidates", "reranked_candidates",
+                  "selected_results", "context_tokens", "token_budget"]
+CALL_FIELDS = ["operation", "model", "total_tokens", "prompt_tokens", "completion_tokens", "duration_ms", "success",
+               "finish_reason", "token_budget", "token_remaining", "input_budget", "input_remaining"]
 
 
 def stage_timings(timeline: DataFrame) -> DataFrame:
@@ -196,50 +213,39 @@ def error_counts(errors: DataFrame) -> DataFrame:
 def enrich_timeline(timeline: DataFrame, runs: DataFrame, calls: DataFrame) -> DataFrame:
     """Add ``result`` (map) to timeline items (request_id, sequence, stage, has_result) without one.
 
-    The n-th ``llm.*`` item of a request goes with its n-th model call. runs: (request_id, intent,
-    execution_time_ms, stats map<string,string>, evidence_status, evidence_score).
+    The n-th ``llm.*`` item of a request goes with its n-th model call. runs: (request_id, intent, execution_time_ms,
+    stats map<string,string>, quality map<string,string>, crag map<string,string>, answered boolean, source_count).
+    Of the calls' fields those are shown that the table has and that are not null.
     """
-    llm = ordinal(timeline.filter(F.col("stage").startswith("llm.")).select("request_id", "sequence"),
-                  ["request_id"], "sequence", "n")
-    fields = ["operation", "total_tokens", "prompt_tokens", "completion_tokens", "duration_ms", "token_budget",
-              "token_remaining", "input_budget", "input_remaining"]
+    none = F.create_map().cast("map<string,string>")
+    entry = lambda k, v: F.create_map(F.lit(k), v.cast("string"))
+    note = lambda text: entry("recording_note", F.lit(text))
+    known = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+    llm = ordinal(timeline.filter(F.col("stage").startswith("llm.")).select("request_id", "sequence"), ["request_id"], "sequence", "n")
+    fields = [f for f in CALL_FIELDS if f in calls.columns]
     numbered = ordinal(calls, ["request_id"], "sequence", "n").select(
-        "request_id", "n", F.map_filter(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]),
-                                        lambda _, v: v.isNotNull()).alias("call"))
+        "request_id", "n", known(F.map_concat(*[entry(f, F.col(f)) for f in fields])).alias("call"))
     paired = llm.join(numbered, ["request_id", "n"], "left").select("request_id", "sequence", "call")
     rows = timeline.join(runs, "request_id", "left").join(paired, ["request_id", "sequence"], "left")
-    stats, none = F.col("stats"), F.create_map().cast("map<string,string>")
-
-    def picked(*names):
-        wanted = F.array(*[F.lit(n) for n in names])
-        return F.map_filter(stats, lambda k, v: F.array_contains(wanted, k))
-
-    def renamed(source, target):
-        return F.when(F.try_element_at(stats, F.lit(source)).isNotNull(), F.create_map(F.lit(target), stats[source])).otherwise(none)
-
-    def note(text):
-        return F.create_map(F.lit("recording_note"), F.lit(text))
-
-    recall = picked("query_count", "bm25_hits", "embedding_hits", "fused_candidates", "reranked_candidates",
-                    "selected_results", "context_tokens", "token_budget")
-    stage = F.col("stage")
-    result = (F.when(stage == "agent.plan", F.map_concat(F.create_map(F.lit("intent"), F.col("intent")), note(NOTE_NO_PLAN)))
-              .when(stage == "agent.fast_path", F.create_map(F.lit("mode"), F.lit("fast_path"), F.lit("planner_skipped"), F.lit("true")))
-              .when(stage == "retrieval.embedding", renamed("embedding_hits", "hits"))
-              .when(stage == "retrieval.bm25", renamed("bm25_hits", "hits"))
-              .when(stage.isin("retrieval.recall", "agent.retrieve"), recall)
-              .when(stage == "retrieval.fusion", picked("fused_candidates"))
-              .when(stage == "retrieval.fetch_chunks", renamed("reranked_candidates", "fetched_candidates"))
-              .when(stage == "retrieval.rerank", F.map_concat(renamed("reranked_candidates", "candidates"),
-                                                              renamed("selected_results", "selected")))
-              .when(stage == "agent.evidence", F.when(
-                  (F.col("evidence_status") != "not_applicable") | F.col("evidence_score").isNotNull(),
-                  F.create_map(F.lit("evidence_status"), F.col("evidence_status"),
-                               F.lit("evidence_score"), F.col("evidence_score").cast("string"))).otherwise(note(NOTE_NO_EVIDENCE)))
-              .when(stage.startswith("llm."), F.coalesce("call", none))
-              .when(stage == "agent.total", F.create_map(F.lit("total_ms"), F.coalesce("execution_time_ms", F.lit(0.0)).cast("string")))
-              .otherwise(none))
-    result = F.coalesce(result, none)
+    stage, stat = F.col("stage"), lambda k: F.try_element_at("stats", F.lit(k))
+    figures = lambda pairs: known(F.map_concat(*[entry(shown, stat(stored)) for shown, stored in pairs]))
+    quality, selected = F.coalesce("quality", none), F.coalesce(stat("quality_filtered_candidates"), stat("selected_results"))
+    judged = (F.coalesce(F.try_element_at(quality, F.lit("evidence_status")), F.lit("")) != "not_applicable") | F.try_element_at(
+        quality, F.lit("evidence_score")).isNotNull()
+    # what a stage shows besides its figures
+    more = (F.when(stage == "agent.plan", F.map_concat(entry("intent", F.col("intent")), note(NOTE_NO_PLAN)))
+            .when(stage == "agent.fast_path", F.map_concat(entry("mode", F.lit("fast_path")), entry("planner_skipped", F.lit(True))))
+            .when((stage == "agent.query_rewrite") & stat("rewritten_queries").isNull(), note(NOTE_NO_REWRITES))
+            .when((stage == "retrieval.rerank") & selected.isNotNull(), F.map_concat(entry("selected", selected), note(NOTE_NO_DOCUMENTS)))
+            .when(stage == "agent.crag_grade", F.coalesce("crag", none))
+            .when(stage == "agent.evidence", F.when(judged, quality).otherwise(note(NOTE_NO_EVIDENCE)))
+            .when(stage == "agent.generation", F.map_concat(entry("answer_generated", F.col("answered")), entry("source_count", F.col("source_count")), note(NOTE_NO_CITATIONS)))
+            .when(stage.startswith("llm."), F.coalesce("call", none))
+            .when(stage == "agent.total", entry("total_ms", F.coalesce(F.col("execution_time_ms").cast("string"), F.lit("0")))))
+    own = F.when(stage.isin(RECALL_STAGES), figures([(f, f) for f in RECALL_FIGURES]))
+    for name, pairs in STAGE_FIGURES.items():
+        own = own.when(stage == name, figures(pairs))
+    result = F.map_concat(F.coalesce(own, none), F.coalesce(more, none))
     filled = F.when(F.size(result) > 0, result).otherwise(note(NOTE_DURATION_ONLY))
     return rows.select("request_id", "sequence", "stage", F.when(~F.col("has_result"), filled).alias("result"))
 

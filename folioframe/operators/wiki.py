@@ -5,7 +5,6 @@ A write returns the rows to append and the rows it refused; nothing is changed i
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,17 +186,6 @@ def revision_pairs(revisions: DataFrame) -> DataFrame:
     return revisions.select("page_id", "revision", F.col("content").alias("new")).join(old, ["page_id", "revision"])
 
 
-def diff_revisions(pairs: DataFrame) -> DataFrame:
-    """Unified line diff of (page_id, revision, old, new), one small text helper per row."""
-    @F.pandas_udf("string")
-    def unified(old: pd.Series, new: pd.Series) -> pd.Series:
-        import difflib
-        return pd.Series(["\n".join(difflib.unified_diff(
-            (a or "").splitlines(), (b or "").splitlines(), "old", "new", lineterm="")) for a, b in zip(old, new)])
-
-    return pairs.select("page_id", "revision", unified("old", "new").alias("diff"))
-
-
 def diff_counts(pairs: DataFrame) -> DataFrame:
     """Distinct lines added and removed per pair."""
     old, new = F.split("old", "\n"), F.split("new", "\n")

@@ -18,8 +18,10 @@ def containing_documents(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id) of the documents (doc_id, text) that contain a passage verbatim.
 
     A document holding the passage holds its inner words as whole tokens, so the passage is looked
-    up by its rarest inner word and only those documents are compared. Needs three words or more.
+    up by its rarest inner word and only those documents are compared. A passage without an inner
+    word is looked up by its first symbols. An empty passage has no documents.
     """
+    queries = queries.filter(F.length("query") > 0)
     q_tokens = tokenize("query")
     inner = queries.select("query_id", F.explode(F.array_distinct(F.slice(
         q_tokens, F.lit(2), F.greatest(F.size(q_tokens) - 2, F.lit(0))))).alias("term"))
@@ -30,11 +32,27 @@ def containing_documents(queries: DataFrame, docs: DataFrame) -> DataFrame:
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "term", "left").groupBy("query_id").agg(
         F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    pairs = words.join(rarest, "term").select("query_id", "doc_id")
+    pairs = words.join(rarest, "term").select("query_id", "doc_id").unionByName(_by_first_symbols(
+        queries.join(inner.select("query_id").distinct(), "query_id", "left_anti"), docs)).distinct()
     return pairs.join(queries, "query_id").join(docs, "doc_id").filter(F.contains("text", "query")).select(
         "query_id", "doc_id")
 
 
+def _gram_at(width: int):
+    return lambda i: F.array_join(F.slice("_c", i + 1, F.lit(width)), "")
+
+
+def _by_first_symbols(queries: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
+    """(query_id, doc_id) of documents that hold the first ``n`` symbols of a passage (all of a shorter one)."""
+    asked = queries.select("query_id", F.substring("query", 1, n).alias("gram"))
+    wanted = broadcast_if_small(asked.select("gram").distinct())
+    at = F.sequence(F.lit(0), F.size("_c") - 1)
+    grams = F.flatten(F.array(*[F.transform(at, _gram_at(w)) for w in range(1, n + 1)]))
+    held = docs.select("doc_id", F.split("text", "").alias("_c")).filter(F.size("_c") > 0).select(
+        "doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(wanted, "gram", "left_semi")
+    return held.join(asked, "gram").select("query_id", "doc_id")
+
+
 def recall_many(index: dict, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame,
                 k_lexical: int = S.LEXICAL_TOP_K, k_dense: int = S.DENSE_TOP_K) -> DataFrame:
     """Both legs for every distinct question; a leg without hits simply has no rows."""

@@ -56,14 +56,19 @@ def latest(sink: DataFrame, keys: list) -> DataFrame:
 # --- index ------------------------------------------------------------------------------------
 
 def stream_index(pages: DataFrame, label: str = "index") -> DataFrame:
-    """Chunk new page revisions as they arrive. The sink is a log of chunks; ``current_chunks`` reads
-    the newest revision of each page from it, which replaces older ones without rewriting them."""
-    return run_available(pages, "append", label, lambda batch: chunk_pages(batch, clean=False))
+    """Chunk new page revisions as they arrive. The sink is a log of chunks and of one row without a chunk per
+    revision; ``current_chunks`` reads the newest revision of each page from it, which replaces older ones
+    without rewriting them, also if it has no chunk."""
+    def log(batch: DataFrame) -> DataFrame:
+        return chunk_pages(batch, clean=False).unionByName(batch.select("page_id", "revision"), allowMissingColumns=True)
+
+    return run_available(pages, "append", label, log)
 
 
 def current_chunks(log: DataFrame) -> DataFrame:
     newest = log.groupBy("page_id").agg(F.max("revision").alias("revision"))
-    return log.join(newest, ["page_id", "revision"], "left_semi").dropDuplicates(["chunk_id"])
+    chunks = log.filter("chunk_id IS NOT NULL")
+    return chunks.join(newest, ["page_id", "revision"], "left_semi").dropDuplicates(["chunk_id"])
 
 
 # --- run events -------------------------------------------------------------------------------
@@ -147,5 +152,7 @@ def stream_run_metrics(runs: DataFrame, size: str = "1 hour", slide: str | None
 
 
 def stream_quality(rows: DataFrame, label: str = "quality") -> DataFrame:
-    """Evidence gate per micro-batch; a question's rows arrive together."""
-    return run_available(rows, "append", label, lambda b: assess_evidence(b, b.select("query_id")))
+    """Evidence gate over all rows of a question, in however many micro-batches they came: the sink is the log of
+    rows, and the verdict is read from it."""
+    log = run_available(rows, "append", label)
+    return assess_evidence(log, log.select("query_id"))

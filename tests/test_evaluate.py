@@ -40,18 +40,6 @@ def test_nearest_rank_is_exact(spark):
             assert got[key][name] == v[max(0, math.ceil(p * len(v)) - 1)]
 
 
-def test_allocation_closes(spark):
-    src = spark.createDataFrame([("a", "d", 3, 0), ("b", "d", 2, 1)], "path string, domain string, target int, ord int")
-    quota = spark.createDataFrame([("d", "keyword", 2), ("d", "semantic_rewrite", 1), ("d", "multi_evidence", 1), ("d", "similar_concept", 1)],
-                                  "domain string, question_type string, n int")
-    parents = spark.createDataFrame([("a", 5), ("b", 1)], "path string, n_parents int")
-    rows = E.allocate_types(src, quota, parents).collect()
-    types = sorted(r.question_type for r in rows)
-    assert types == sorted(["keyword"] * 2 + ["semantic_rewrite", "multi_evidence", "similar_concept"])
-    assert all(r.path == "a" for r in rows if r.question_type == "multi_evidence")
-    assert {(r.path, r.question_type) for r in rows if r.position == 1} == {("a", "keyword"), ("b", "keyword")}
-
-
 def test_sliced_windows_equal_plain_ones(spark):
     rows = [("hot" if i % 3 else f"k{i % 5}", i, i % 4) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, id long, v long")
