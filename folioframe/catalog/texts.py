@@ -346,14 +346,13 @@ def tx31(t):
         "doc_id", F.size("k").alias("n"), F.md5(F.array_join("k", " ")).alias("tokens"))
 
 
-@query("tx32_canonical_with_positions", rf"""WITH c AS (SELECT conv_id * 1000 + turn AS id, unnest(string_split(text, '')) AS ch,
-  unnest(range(length(text))) AS pos FROM conversations),
+@query("tx32_canonical_with_positions", rf"""WITH c AS (SELECT doc_id AS id, unnest(string_split(text, '')) AS ch,
+  unnest(range(length(text))) AS pos FROM documents),
 w AS (SELECT *, regexp_matches(ch, '{WS}') AS ws, lag(regexp_matches(ch, '{WS}')) OVER (PARTITION BY id ORDER BY pos) AS pw FROM c)
 SELECT id, count(*)::BIGINT AS n, sum(pos)::BIGINT AS pos_sum, md5(string_agg(CASE WHEN ws THEN ' ' ELSE ch END, '' ORDER BY pos)) AS canonical
 FROM w WHERE NOT (ws AND coalesce(pw, false)) GROUP BY id""")
 def tx32(t):
-    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-                                  T.canonical_positions("text").alias("c")).select(
+    return t.documents.select(F.col("doc_id").alias("id"), T.canonical_positions("text").alias("c")).select(
         "id", F.size("c").alias("n"),
         F.aggregate("c", F.lit(0).cast("long"), lambda a, p: a + p["pos"]).alias("pos_sum"),
         F.md5(F.array_join(F.transform("c", lambda p: p["ch"]), "")).alias("canonical"))

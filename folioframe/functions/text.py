@@ -219,12 +219,12 @@ def parent_chunk_id(chunk_id) -> Column:
 
 
 def canonical_positions(text) -> Column:
-    """array<struct<ch,pos>>: whitespace runs as one space, each kept character with its offset."""
-    # a run of whitespace is one item whose offset is where it starts
-    items = F.regexp_extract_all(col(text), F.lit(rf"(?s)({WS}+|.)"), 1)
-    def step(acc, it):
-        return F.struct((acc["at"] + F.length(it)).alias("at"),
-                        F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.zip_with(items, F.aggregate(items, zero, step, lambda a: a["out"]), lambda it, pos: F.struct(
-        F.when(it.rlike(rf"\A{WS}"), F.lit(" ")).otherwise(it).alias("ch"), pos.alias("pos")))
+    """array<struct<ch,pos>>: whitespace runs as one space, each kept character with its offset. Linear in the text."""
+    def kept(chars):
+        blank = lambda i: F.get(chars, i).rlike(WS)
+        places = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | ~(blank(i) & blank(i - 1)))
+        return F.transform(places, lambda i: F.struct(
+            F.when(blank(i), F.lit(" ")).otherwise(F.get(chars, i)).alias("ch"), i.alias("pos")))
+
+    c = col(text)
+    return F.when(c == "", F.array().cast("array<struct<ch:string,pos:int>>")).otherwise(let(F.split(c, ""), kept))

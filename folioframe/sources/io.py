@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,52 +89,37 @@ def split_front_matter(raw) -> Column:
                     F.when(error.isNull(), F.regexp_replace(body, r"\n\z", "")).alias("body"), error.alias("error"))
 
 
-def _parse_headers(headers: pd.Series) -> pd.DataFrame:
-    """YAML headers to flat text maps; id, title and revision are required."""
-    import json
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
-
-    def load(text):
-        if yaml is not None:
-            return yaml.safe_load(text)
-        out = {}
-        for line in text.split("\n"):
-            key, sep, value = line.partition(":")
-            if sep:
-                try:
-                    out[key.strip()] = json.loads(value.strip() or "null")
-                except ValueError:
-                    out[key.strip()] = value.strip()
-        return out
-
-    rows = []
-    for text in headers:
-        meta, error = None, None
-        try:
-            data = load(text) if text is not None else None
-            if not isinstance(data, dict):
-                error = "HEADER_NOT_A_MAPPING"
-            elif not all(k in data for k in ("id", "title", "revision")):
-                error = "HEADER_INCOMPLETE"
-            else:
-                meta = {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str)
-                        for k, v in data.items() if v is not None}
-        except Exception as exc:  # noqa: BLE001 - a broken header quarantines its row
-            error = f"HEADER_INVALID: {type(exc).__name__}"
-        rows.append((meta, error))
-    return pd.DataFrame(rows, columns=["meta", "error"])
+# keys that every header has
+REQUIRED_KEYS = ["id", "title", "revision"]
+
+
+def _header_entries(header: Column) -> Column:
+    """array<struct<key,value>> of ``key: value`` lines; values in JSON or plain text, a repeated key counts last."""
+    lines = F.filter(F.split(header, "\n"), lambda x: ~x.rlike(r"\A\s*(#.*)?\z"))
+    entries = F.transform(lines, lambda x: F.struct(
+        F.regexp_extract(x, r"\A([^\s:#][^:]*?)\s*:(?:\s|\z)", 1).alias("key"), F.trim(F.regexp_extract(x, r"\A[^:]*:(.*)\z", 1)).alias("raw")))
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.when(~e["raw"].isin("", "null", "~"), F.coalesce(
+        F.get_json_object(F.concat(F.lit('{"v":'), e["raw"], F.lit("}")), "$.v"), e["raw"])).alias("value")))
 
 
 def parse_front_matter(files: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``meta`` (map), ``body`` and ``error``; broken files are kept with their error."""
-    parse = F.pandas_udf(_parse_headers, "meta map<string,string>, error string")
-    split = files.withColumn("_s", split_front_matter(raw)).withColumn("_m", parse("_s.header"))
-    return split.select(*files.columns, F.col("_m.meta").alias("meta"),
-                        F.when(F.col("_m.meta").isNotNull(), F.col("_s.body")).alias("body"),
-                        F.coalesce("_s.error", "_m.error").alias("error"))
+    """Add ``meta`` (map), ``body`` and ``error``; broken files are kept with their error.
+
+    Headers are read as ``render_page`` writes them, one ``key: value`` per line; a header with any other line is
+    quarantined as HEADER_INVALID.
+    """
+    def last_only(entries):
+        return F.filter(entries, lambda e, i: e["value"].isNotNull() & ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+
+    split = files.withColumn("_s", split_front_matter(raw))
+    read = split.withColumn("_e", F.when(F.col("_s.header").isNotNull(), _header_entries(F.col("_s.header"))))
+    read = read.withColumn("_m", F.when(~F.exists("_e", lambda e: e["key"] == ""), F.map_from_entries(last_only(F.col("_e")))))
+    missing = F.exists(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), lambda k: ~F.exists("_e", lambda e: e["key"] == k))
+    error = (F.when(F.col("_e").isNull(), None).when(F.size("_e") == 0, "HEADER_NOT_A_MAPPING")
+             .when(F.exists("_e", lambda e: e["key"] == ""), "HEADER_INVALID").when(missing, "HEADER_INCOMPLETE"))
+    error = F.coalesce(F.col("_s.error"), error, F.when(F.col("_e").isNull(), "HEADER_NOT_A_MAPPING"))
+    return read.withColumn("_error", error).select(*files.columns, F.when(F.col("_error").isNull(), F.col("_m")).alias("meta"),
+                                                   F.when(F.col("_error").isNull(), F.col("_s.body")).alias("body"), F.col("_error").alias("error"))
 
 
 # --- writers --------------------------------------------------------------------------------
