@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct words (split at ASCII white space, A-Z in lower case). Two lines match if the Jaccard
 similarity of their token sets is at least ``NUMERATOR / DENOMINATOR``. A line is removed if any line that comes earlier,
-by (id, hash of the text, line number), matches it. Lines with fewer than ``MIN_TOKENS`` tokens always stay.
+by (id, line number), matches it. Lines with fewer than ``MIN_TOKENS`` tokens always stay.
 
 - A first pass counts all tokens in a table of fixed size (2 ** SKETCH_BITS hashed counters). The counters give a global
   order of tokens, rarest first; any global order is right for the filters, a rough one only costs candidates.
@@ -10,8 +10,10 @@ by (id, hash of the text, line number), matches it. Lines with fewer than ``MIN_
 - Classes meet in the lists of their prefix tokens only: matching sets of n tokens share one of the first
   n - ceil(t n) + 1. Lists are joined with the length filter, the positional filter and a filter on 64 parity marks of the
   sets, all of which keep every match. Candidates are verified on the whole sets, which are read from the texts again.
-- Equal lines are never compared with each other: a class keeps its first line, and what counts for all its lines is the
-  earliest first line of the classes that match it.
+- Equal lines are never compared with each other: a class stands at its first line, and its other lines go. Whether the
+  first line goes too, only takes one earlier class that matches. So in groups of lines that all match each other, pairs
+  are not made: classes are first compared with the earliest class that shares their smallest or largest token hash,
+  and only those that this does not settle look for earlier classes in the lists.
 
 Words stand as 64-bit hashes (32 bits in the lists) and classes as 64-bit hashes of these. Removed lines are joined to the documents by id and
 hash of the text; they are broadcast if they are few, so texts are shuffled only where much is removed.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
@@ -126,14 +128,15 @@ def prefix_length(n: int) -> int:
 
 
 def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of enough tokens: (id, body, line, class, n, marks, prefix).
+    """One row per line of enough tokens: (id, body, line, class, n, marks, ends, prefix).
 
     ``marks`` has a bit for each token, flipped by each that falls on it, so two sets differ in at least as many tokens as
-    bits. ``prefix`` has 32 bits of each prefix token, or is null where the task has given this class before.
+    bits. ``ends`` has 32 bits of the smallest and the largest token, ``prefix`` 32 bits of each prefix token; both are
+    null where the task has given this class before.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("body"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, body long, line int, class long, n int, marks long, prefix array<int>"
+    schema = f"id {kind}, body long, line int, class long, n int, marks long, ends array<int>, prefix array<int>"
     shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +151,9 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
                 chosen = np.flatnonzero(sizes >= MIN_TOKENS).tolist()
                 if not chosen:
                     continue
-                marks = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), (ends - sizes)[sizes > 0])
-                marks = marks[np.cumsum(sizes > 0)[chosen] - 1].view(np.int64)
+                heads, place = (ends - sizes)[sizes > 0], np.cumsum(sizes > 0)[chosen] - 1
+                marks = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), heads)[place].view(np.int64)
+                both = np.stack([np.minimum.reduceat(token, heads)[place], np.maximum.reduceat(token, heads)[place]], axis=1)
                 raw, classes, taken, offsets = token.tobytes(), [], [], [0]
                 for end, n in zip(ends[chosen].tolist(), sizes[chosen].tolist()):
                     c = xxhash.xxh64_intdigest(raw[8 * (end - n):8 * end])
@@ -164,82 +168,100 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
                     seen = set()
                 short = (token[np.concatenate(taken)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if taken else np.zeros(0, dtype=np.int32)
                 blank = np.diff(offsets) == 0
+                limits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~blank) * 2]), pa.int32()),
+                                                  pa.array((both[~blank] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel(), pa.int32()), mask=pa.array(blank))
                 prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short, pa.int32()), mask=pa.array(blank))
                 doc = pa.array([places[k][0] for k in chosen], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(doc), part.column(1).take(doc), pa.array([places[k][1] for k in chosen], pa.int32()),
-                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes[chosen].astype(np.int32)), pa.array(marks), prefix],
-                    names=["id", "body", "line", "class", "n", "marks", "prefix"])
+                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes[chosen].astype(np.int32)), pa.array(marks), limits, prefix],
+                    names=["id", "body", "line", "class", "n", "marks", "ends", "prefix"])
 
     return rows.mapInArrow(run, schema)
 
 
-def token_sets(df: DataFrame, needed: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(class, tokens) of the lines named in ``needed`` (id, body, lines), read from the texts once more."""
+def token_sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(class, tokens) of the lines named in ``needed`` (id, body, lines of (line, class)), read from the texts once more."""
     body = F.xxhash64(F.col(f"`{text_col}`"))
     asked = needed.withColumnsRenamed({"id": "__id", "body": "__b", "lines": "__lines"})
     rows = df.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.join(broadcast_if_small(asked), F.col("id").eqNullSafe(F.col("__id")) & (F.col("body") == F.col("__b"))).select("text", "__lines")
-    shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0)
-            for lo, hi in pieces(text_sizes(texts)):
-                wanted = [set(x) for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                places, token, ends = _sorted_lines(texts.slice(lo, hi - lo).to_pylist(), shared.value)
-                begin = np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else []
-                spans = [(a, b) for (t, k), a, b in zip(places, begin, ends.tolist()) if k in wanted[t]]
-                raw, signed = token.tobytes(), token.view(np.int64)
-                classes = np.array([xxhash.xxh64_intdigest(raw[8 * a:8 * b]) for a, b in spans], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array([signed[a:b] for a, b in spans], pa.list_(pa.int64()))], names=["class", "tokens"])
+            for lo, hi in pieces(text_sizes(batch.column(0))):
+                part = batch.slice(lo, hi - lo)
+                classes, sets = [], []
+                for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = text.encode().lower().split(b"\n")
+                    for w in wanted:
+                        classes.append(w["class"])
+                        sets.append(_hashes(list(set(found[w["line"]].split()))).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
 
     return rows.mapInArrow(run, "class long, tokens array<long>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that meet in a list and pass the length, positional and mark filters."""
+def _place(side: str):
+    return F.struct(f"{side}.id", f"{side}.line", f"{side}.class")
+
+
+def _alike():
+    """What every match passes: lengths, and marks; a match leaves at most (d - t) / (d + t) of both sizes outside."""
+    t, d = NUMERATOR, DENOMINATOR
+    least, most = F.least(F.col("a.n"), F.col("b.n")), F.greatest(F.col("a.n"), F.col("b.n"))
+    return (d * least >= t * most) & ((t + d) * F.bit_count(F.col("a.marks").bitwiseXOR(F.col("b.marks"))) <= (d - t) * (F.col("a.n") + F.col("b.n")))
+
+
+def near_ends(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b): class b and the earliest class a that shares its smallest, or its largest, token hash."""
+    rows = classes.select("id", "line", "class", "n", "marks", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.get("ends", F.lit(0)).alias("token")),
+                                                                                 F.struct(F.lit(1).alias("end"), F.get("ends", F.lit(1)).alias("token")))).alias("key"))
+    first = F.min(F.struct("id", "line", "class", "n", "marks")).over(Window.partitionBy("key"))
+    rows = rows.select(F.struct("id", "line", "class", "n", "marks").alias("b"), first.alias("a"))
+    return rows.where((_place("a") < _place("b")) & _alike()).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+
+
+def in_lists(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class b that is not settled and an earlier class a that meets it in a list and passes all filters."""
     t, d = NUMERATOR, DENOMINATOR
-    posted = classes.select("class", "n", "marks", F.posexplode("prefix").alias("pos", "token"))
+    marked = classes.join(broadcast_if_small(settled.select("class", F.lit(True).alias("done"))), "class", "left")
+    posted = marked.select("id", "line", "class", "n", "marks", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
     a, b = posted.alias("a"), posted.alias("b")
-    least = F.least(F.col("a.n"), F.col("b.n"))
-    most = F.greatest(F.col("a.n"), F.col("b.n"))
-    both = F.col("a.n") + F.col("b.n")
-    # a match leaves at most (d - t) / (d + t) of both sizes outside the intersection
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
-                   & (d * least >= t * most)
-                   & ((t + d) * F.bit_count(F.col("a.marks").bitwiseXOR(F.col("b.marks"))) <= (d - t) * both)
-                   & ((t + d) * F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= t * both))
+    last = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    # one condition over both sides, so that both read the same exchange
+    later = F.when(F.col("b.open"), _place("a") < _place("b")).otherwise(False)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & later & _alike() & ((t + d) * last >= t * (F.col("a.n") + F.col("b.n"))))
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
-def matches(df: DataFrame, classes: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label: str = "linedup") -> DataFrame:
-    """Pairs (a, b) of classes whose token sets match, each pair once."""
+def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
+    """(class): the b of all ``pairs`` whose whole token sets match."""
     t, d = NUMERATOR, DENOMINATOR
-    pairs = materialize(candidates(classes), f"{label}-candidates")
+    pairs = materialize(pairs, f"{label}-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = asked.join(classes.select("class", "first.*"), "class").groupBy("id", "body").agg(F.collect_list("line").alias("lines"))
-    sets = materialize(token_sets(df, materialize(needed, f"{label}-needed"), counts, id_col, text_col).dropDuplicates(["class"]), f"{label}-sets")
+    needed = asked.join(classes.select("class", "id", "line", "body"), "class").groupBy("id", "body").agg(F.collect_list(F.struct("line", "class")).alias("lines"))
+    sets = materialize(token_sets(df, materialize(needed, f"{label}-needed"), id_col, text_col).dropDuplicates(["class"]), f"{label}-sets")
     both = pairs.join(sets.withColumnsRenamed({"class": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "tokens": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where((t + d) * shared >= t * (F.size("x") + F.size("y"))).select("a", "b")
+    return materialize(both.where((t + d) * shared >= t * (F.size("x") + F.size("y"))).select(F.col("b").alias("class")).distinct(), f"{label}-settled")
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "linedup") -> DataFrame:
     """(id, body, gone): the numbers of the lines that go, for each document that loses any."""
     counts = token_counts(df, text_col)
     table = materialize(lines(df, counts, id_col, text_col), f"{label}-lines")
-    place = F.struct("id", "body", "line")
-    classes = materialize(table.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("many"), F.max("n").alias("n"),
-                                                     F.max("marks").alias("marks"), F.max("prefix").alias("prefix")), f"{label}-classes")
-    pairs = materialize(matches(df, classes, counts, id_col, text_col, label), f"{label}-matches")
-    links = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earlier = links.join(classes.select(F.col("class").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("class")).agg(F.min("other").alias("other"))
-    limit = classes.join(earlier, "class", "left").where((F.col("many") > 1) | F.col("other").isNotNull()) \
-        .select("class", F.least("first", F.coalesce("other", "first")).alias("from"))
-    limit = broadcast_if_small(materialize(limit, f"{label}-limits"))
-    gone = table.select("id", "body", "line", "class").join(limit, "class").where(place > F.col("from"))
-    return gone.groupBy("id", "body").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    classes = table.groupBy("class").agg(F.min(F.struct("id", "line", "body")).alias("first"), F.count("*").alias("many"), F.max("n").alias("n"),
+                                         F.max("marks").alias("marks"), F.max("ends").alias("ends"), F.max("prefix").alias("prefix"))
+    classes = materialize(classes.select("class", "first.*", "many", "n", "marks", "ends", "prefix"), f"{label}-classes")
+    settled = verified(df, classes, near_ends(classes), id_col, text_col, f"{label}-ends")
+    settled = settled.union(verified(df, classes, in_lists(classes, settled), id_col, text_col, f"{label}-lists"))
+    # a class whose first line goes, or that has more lines than one
+    gone = classes.join(settled.withColumn("whole", F.lit(True)), "class", "left").where(F.col("whole") | (F.col("many") > 1)).select(
+        "class", F.struct("id", "line").alias("first"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    gone = broadcast_if_small(materialize(gone, f"{label}-limits"))
+    hit = table.select("id", "body", "line", "class").join(gone, "class").where(F.col("whole") | (F.struct("id", "line") > F.col("first")))
+    return hit.groupBy("id", "body").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def _without(lines_col, gone):
