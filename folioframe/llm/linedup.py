@@ -118,7 +118,8 @@ def _sorted_lines(texts: list, count: np.ndarray) -> tuple[list, np.ndarray, np.
     order = np.lexsort((hashes, count[(hashes & np.uint64(len(count) - 1)).astype(np.int64)]))
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
-    pair = np.unique(line_of * len(words) + rank[ids])       # distinct words of each line in order
+    every = np.sort(line_of * len(words) + rank[ids])
+    pair = every[np.concatenate([[True], every[1:] != every[:-1]])]          # distinct words of each line in order
     return places, hashes[order][pair % len(words)], np.cumsum(np.bincount(pair // len(words), minlength=len(places)))
 
 
@@ -226,11 +227,11 @@ def in_lists(classes: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs (a, b) of a class b that is not settled and an earlier class a that meets it in a list and passes all filters."""
     t, d = NUMERATOR, DENOMINATOR
     marked = classes.join(broadcast_if_small(settled.select("class", F.lit(True).alias("done"))), "class", "left")
-    posted = marked.select("id", "line", "class", "n", "marks", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    posted = marked.select("id", "line", "class", "n", "marks", F.col("done").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
     a, b = posted.alias("a"), posted.alias("b")
     last = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    # one condition over both sides, so that both read the same exchange
-    later = F.when(F.col("b.open"), _place("a") < _place("b")).otherwise(False)
+    # one condition that needs the same columns of both sides, so that both read the same exchange
+    later = F.when(F.col("b.open") > F.col("a.open") * 0, _place("a") < _place("b")).otherwise(False)
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & later & _alike() & ((t + d) * last >= t * (F.col("a.n") + F.col("b.n"))))
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
