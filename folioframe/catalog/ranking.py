@@ -8,6 +8,7 @@ from .. import settings as S
 from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import select as P
+from ..operators.skew import first_slices, ordinal
 from ..operators.lexical import bm25_search_eval, lexical_index
 from ..plans import search as X
 from .data import (BM25, LEGS, LEGS_ON_QSRC, WS, bm25_leg, both_legs, corpus, dense_leg, hashed_vectors, question_vectors,
@@ -217,9 +218,9 @@ k AS (SELECT *, CASE WHEN c <= room THEN text ELSE regexp_replace(text[1:4 * (ro
   CASE WHEN 13 > room THEN '...' ELSE chr(10) || '...[内容已按上下文预算截断]' END END AS content FROM b WHERE room > 0)
 SELECT query_id, doc_id, rank, md5(content) AS content, {sql_estimate('content')}::BIGINT AS context_tokens, length(content) < length(text) AS context_truncated FROM k""")
 def rt18(t):
-    from pyspark.sql import Window
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = t.documents.select(F.col("source").alias("query_id"), "doc_id", F.row_number().over(w).alias("rank"), F.col("text").alias("content"))
+    ranks = ordinal(t.documents.select(F.col("source").alias("query_id"), "doc_id"), ["query_id"], "doc_id", "rank")
+    texts = t.documents.select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("content"))
+    rows = first_slices(ranks, ["query_id"], "rank", S.CONTEXT_BUDGET).join(texts, ["query_id", "doc_id"])
     return P.pack_token_budget(rows).select("query_id", "doc_id", "rank", F.md5("content").alias("content"), "context_tokens", "context_truncated")
 
 

@@ -14,6 +14,8 @@ from .. import settings as S
 from ..functions.common import strip
 from ..functions.text import contains_literal, conversation_title, search_snippet
 from ..functions.tokens import estimate_tokens, message_tokens, truncate_text
+from .skew import first_slices
+
 
 def _by_id(descending: bool = False):
     return Window.partitionBy("session_id").orderBy(F.col("id").desc() if descending else F.col("id"))
@@ -127,8 +129,8 @@ def summary_selection(messages: DataFrame, sessions: DataFrame, budget: int = S.
     pend = _pending(messages, sessions)
     last = pend.select("session_id", "id").withColumn("_n", F.row_number().over(_by_id(True))).filter(
         F.col("_n") <= keep).groupBy("session_id").agg(F.min("id").alias("_cut"))
-    head = pend.join(last, "session_id").filter(F.col("id") < F.col("_cut")).select(
-        "session_id", "id", _line().alias("line")).withColumn("_n", F.row_number().over(_by_id())).filter(
+    lines = pend.join(last, "session_id").filter(F.col("id") < F.col("_cut")).select("session_id", "id", _line().alias("line"))
+    head = first_slices(lines, ["session_id"], "id", max(budget, 64)).withColumn("_n", F.row_number().over(_by_id())).filter(
         F.col("_n") <= max(budget, 64))
     prior = truncate_text(F.coalesce(F.nullif("summary", F.lit("")), F.lit("（无）")),
                           F.lit(min(summary_budget, max(128, budget // 4))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import WS, casefold, strip
 from ..functions.text import has_sensitive_value, stable_id
+from ..session import broadcast_if_small
 
 # Fixed values
 ACTIONS = ["answer", "reject", "correct_premise", "external_research"]
@@ -45,9 +46,11 @@ def query_metrics(rankings: DataFrame, qrels: DataFrame, queries: DataFrame, ks=
         F.min("rank").alias("_first"),
         *[F.count_if(F.col("rank") <= k).alias(f"_h{k}") for k in ks],
         *[F.sum(F.when(F.col("rank") <= k, gain)).alias(f"_d{k}") for k in ks])
-    ideal = good.withColumn("_i", F.row_number().over(w)).groupBy("query_id").agg(
-        F.count("*").alias("_n"),
+    # only the best labels are put in order, all are counted
+    counted = good.groupBy("query_id").agg(F.count("*").alias("_n"))
+    best = good.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= max([1, *ks])).groupBy("query_id").agg(
         *[F.sum(F.when(F.col("_i") <= k, ideal_gain)).alias(f"_x{k}") for k in ks])
+    ideal = counted.join(best, "query_id")
     rows = queries.join(found, ["method", "query_id"], "left").join(ideal, "query_id", "left")
 
     def zero(c):
@@ -121,7 +124,8 @@ def nearest_rank(df: DataFrame, key: str, value: str, percentiles: dict, accurac
         F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(percentiles[n]) * F.col("_n"))).alias("pos"),
         F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")) for i, n in enumerate(names)])).alias("q")).select(
         key, "q.*")
-    placed = rows.select(key, value).join(brackets, key).filter(F.col(value) <= F.col("hi"))
+    # one bracket per key and percentile: rows are counted where they lie
+    placed = rows.select(key, value).join(broadcast_if_small(brackets), key).filter(F.col(value) <= F.col("hi"))
     # everything below the bracket becomes one entry, so at most the bracket's values are ordered
     inside = placed.groupBy(key, "name", "pos", F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v")).agg(
         F.count("*").alias("_c"))

@@ -10,6 +10,7 @@ from ..functions.common import blank_to_null, strip
 from ..functions.markdown import clean_link_label
 from ..functions.text import audio_provenance, split_tags
 from ..functions.tokens import estimate_tokens, truncate_text
+from .skew import first_slices
 
 
 def rerank(candidates: DataFrame, scorer, k: int = S.FINAL_TOP_K, query: str = "query",
@@ -65,11 +66,11 @@ def filter_reranked(rows: DataFrame, top_k: int = S.FINAL_TOP_K, min_score: floa
 def pack_token_budget(rows: DataFrame, budget: int = S.CONTEXT_BUDGET, keys=("query_id",)) -> DataFrame:
     """In rank order while the budget lasts; the row that overflows is cut and ends the list.
 
-    Every selected row spends at least one token, so at most ``budget`` rows of a query can matter:
-    the rank filter in front is exact and lets a huge query be cut before the running sum.
+    Every selected row spends at least one token, so at most ``budget`` rows of a query can matter. They are
+    found by counts per slice of ranks, so a huge query is cut before anything is sorted.
     """
     w = Window.partitionBy(*keys).orderBy("rank")
-    head = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= budget)
+    head = first_slices(rows, list(keys), "rank", budget).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= budget)
     costed = head.withColumn("_cost", estimate_tokens("content"))
     before = F.coalesce(F.sum("_cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # an empty row ends the list as well

@@ -32,3 +32,16 @@ def running_sum(df: DataFrame, keys: list, order: str, value, out: str, slice_ro
 def ordinal(df: DataFrame, keys: list, order: str, out: str, slice_rows: int = 65_536) -> DataFrame:
     """Add ``out``: 1, 2, 3 … in ``order`` within the keys."""
     return running_sum(df, keys, order, F.lit(1).cast("long"), out, slice_rows)
+
+
+def first_slices(df: DataFrame, keys: list, order: str, limit: int, slice_rows: int = 1024) -> DataFrame:
+    """Rows of the slices of ``order`` that hold the first ``limit`` rows of each key, and at most one slice more.
+
+    A window with a rank limit above Spark's own threshold would put a whole key into one task; after this cut a key
+    has ``limit + slice_rows`` rows at most. ``order`` is a whole number, unique within the keys.
+    """
+    rows = _sliced(df, order, slice_rows)
+    per = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"))
+    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    kept = per.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0))).filter(F.col("_before") < limit).select(*keys, "_slice")
+    return rows.join(kept, [*keys, "_slice"], "left_semi").drop("_slice")

@@ -115,7 +115,7 @@ def parse_front_matter(files: DataFrame, raw: str = "raw") -> DataFrame:
     read = split.withColumn("_e", F.when(F.col("_s.header").isNotNull(), _header_entries(F.col("_s.header"))))
     read = read.withColumn("_m", F.when(~F.exists("_e", lambda e: e["key"] == ""), F.map_from_entries(last_only(F.col("_e")))))
     missing = F.exists(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), lambda k: ~F.exists("_e", lambda e: e["key"] == k))
-    error = (F.when(F.col("_e").isNull(), None).when(F.size("_e") == 0, "HEADER_NOT_A_MAPPING")
+    error = (F.when(F.col("_e").isNull(), None).when(~F.exists("_e", lambda e: e["key"] != ""), "HEADER_NOT_A_MAPPING")
              .when(F.exists("_e", lambda e: e["key"] == ""), "HEADER_INVALID").when(missing, "HEADER_INCOMPLETE"))
     error = F.coalesce(F.col("_s.error"), error, F.when(F.col("_e").isNull(), "HEADER_NOT_A_MAPPING"))
     return read.withColumn("_error", error).select(*files.columns, F.when(F.col("_error").isNull(), F.col("_m")).alias("meta"),

@@ -120,3 +120,43 @@ def test_transcripts_and_summary_text(spark):
     assert sorted(r.text for r in A.transcript_range(seg, win).collect()) == ["a", "b"]
     rows = spark.createDataFrame([(1, 2, "b", .1), (1, 1, "a", .9), (2, 1, "z", .1)], "query_id int, rank int, content string, rerank_score double")
     assert {r.query_id: r.text for r in P.summary_text(P.filter_for_summary(rows)).collect()} == {1: "a", 2: "z"}
+
+
+def test_first_slices_hold_the_first_rows(spark):
+    """The cut in front of ranked selections keeps the first rows of every key and bounds what a hot key keeps."""
+    from folioframe.operators.skew import first_slices
+    rows = [("hot", 3 * i) for i in range(5000)] + [(f"k{i % 7}", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    got = {}
+    for r in first_slices(df, ["k"], "id", 300, 64).collect():
+        got.setdefault(r.k, []).append(r.id)
+    for k in {k for k, _ in rows}:
+        first = sorted(i for x, i in rows if x == k)[:300]
+        assert sorted(got[k])[:len(first)] == first
+        assert len(got[k]) <= 300 + 64
+
+
+def test_small_summary_budget_takes_every_line_that_fits(spark):
+    from folioframe.operators import convo
+    messages = spark.createDataFrame([("s", i, "u", "x") for i in range(70)], "session_id string, id long, role string, content string")
+    sessions = spark.createDataFrame([("s", None, None)], "session_id string, summary string, summary_message_id long")
+    got = convo.summary_selection(messages, sessions, budget=10, keep=5)
+    assert got.count() > 10
+
+
+def test_emptied_page_loses_its_chunks(spark):
+    from folioframe.operators.index import replace_page_chunks
+    current = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "page_id long, chunk_id string")
+    fresh = spark.createDataFrame([(2, "d")], "page_id long, chunk_id string")
+    pages = spark.createDataFrame([(1,), (2,)], "page_id long")
+    assert {tuple(r) for r in replace_page_chunks(current, fresh, pages).collect()} == {(2, "d")}
+
+
+def test_short_passages_find_their_documents(spark):
+    from folioframe.plans.search import containing_documents
+    docs = spark.createDataFrame([(1, "C++ alpha. alpha beta gamma"), (2, "beta"), (3, "alphabet a ,"), (4, "")], "doc_id long, text string")
+    asked = ["alpha beta", "C++ alpha.", "alpha beta gamma", "a", ",", "bet", "zz", ""]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {(q, d) for q, p in enumerate(asked) if p for d, t in texts.items() if p in t}
+    assert {tuple(r) for r in containing_documents(queries, docs).collect()} == want
