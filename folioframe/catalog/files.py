@@ -28,7 +28,7 @@ def question_file(t):
     rows = t.conversations.select(
         F.concat(c, F.lit("-"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("query"), F.when(F.col("turn") > 1, F.col("role")).alias("category"),
         F.when(F.col("turn") % 2 == 0, graded).alias("relevance"), F.array(F.concat(F.lit("x"), c)).alias("relevant_doc_ids"),
-        F.when(F.col("turn") == 0, F.array(F.struct(F.lit("s").alias("source_id"), F.lit(1).alias("start_char"), F.length("text").alias("end_char"), F.substring("text", 1, 20).alias("quote")))).alias("evidence"))
+        F.when(F.col("turn") == 0, F.array(F.struct(F.lit("s").alias("source_id"), F.lit(1).alias("start_char"), F.length("text").alias("end_char"), F.col("text").alias("quote")))).alias("evidence"))
     R.write_jsonl(rows, path)
     return R.read_queries(t.spark, path)
 
@@ -44,7 +44,7 @@ def src2q(t):
     return question_file(t)["qrels"]
 
 
-@query("src2_read_evidence", "SELECT conv_id || '-' || turn AS query_id, 0::BIGINT AS ord, 1::BIGINT AS start_char, length(text) AS end_char, text[1:20] AS quote FROM conversations WHERE turn = 0")
+@query("src2_read_evidence", "SELECT conv_id || '-' || turn AS query_id, 0::BIGINT AS ord, 1::BIGINT AS start_char, length(text) AS end_char, text AS quote FROM conversations WHERE turn = 0")
 def src2e(t):
     return question_file(t)["evidence"].select("query_id", "ord", "start_char", "end_char", "quote")
 

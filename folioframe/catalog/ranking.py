@@ -82,12 +82,11 @@ def rt6(t):
     return both_legs(t)
 
 
-@query("rt7_distinct_queries", rf"""WITH s AS (SELECT conv_id AS group_id, turn AS pos, {sql_strip("regexp_extract(text, '^[^ ]* ?')")} AS query FROM conversations),
+@query("rt7_distinct_queries", rf"""WITH s AS (SELECT conv_id AS group_id, turn AS pos, {sql_strip("text")} AS query FROM conversations),
 f AS (SELECT group_id, query, min(pos) AS p FROM s WHERE query <> '' GROUP BY ALL)
 SELECT group_id, query, pos FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY p) AS pos FROM f) WHERE pos <= 4""")
 def rt7(t):
-    rows = t.conversations.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"),
-                                  F.regexp_extract("text", "^[^ ]* ?", 0).alias("query"))
+    rows = t.conversations.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), F.col("text").alias("query"))
     return U.distinct_queries(rows, 4)
 
 
