@@ -227,11 +227,12 @@ def in_lists(classes: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs (a, b) of a class b that is not settled and an earlier class a that meets it in a list and passes all filters."""
     t, d = NUMERATOR, DENOMINATOR
     marked = classes.join(broadcast_if_small(settled.select("class", F.lit(True).alias("done"))), "class", "left")
+    # place in the prefix, and whether the class is open, in one number: both sides need it, so they read one exchange
     posted = marked.select("id", "line", "class", "n", "marks", F.col("done").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    posted = posted.select("id", "line", "class", "n", "marks", "token", (F.col("pos") * 2 + F.col("open")).alias("spot"))
     a, b = posted.alias("a"), posted.alias("b")
-    last = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    # one condition that needs the same columns of both sides, so that both read the same exchange
-    later = F.when(F.col("b.open") > F.col("a.open") * 0, _place("a") < _place("b")).otherwise(False)
+    last = F.least(F.col("a.n") - F.shiftright("a.spot", 1), F.col("b.n") - F.shiftright("b.spot", 1))
+    later = F.when(F.col("b.spot") % 2 == 1, _place("a") < _place("b")).otherwise(False)
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & later & _alike() & ((t + d) * last >= t * (F.col("a.n") + F.col("b.n"))))
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
