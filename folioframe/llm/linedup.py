@@ -244,9 +244,16 @@ def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, t
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     needed = asked.join(classes.select("class", "id", "line", "body"), "class").groupBy("id", "body").agg(F.collect_list(F.struct("line", "class")).alias("lines"))
     sets = materialize(token_sets(df, materialize(needed, f"{label}-needed"), id_col, text_col).dropDuplicates(["class"]), f"{label}-sets")
-    both = pairs.join(sets.withColumnsRenamed({"class": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "tokens": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return materialize(both.where((t + d) * shared >= t * (F.size("x") + F.size("y"))).select(F.col("b").alias("class")).distinct(), f"{label}-settled")
+
+    def hold(some: DataFrame, name: str) -> DataFrame:
+        both = some.join(sets.withColumnsRenamed({"class": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "tokens": "y"}), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return materialize(both.where((t + d) * shared >= t * (F.size("x") + F.size("y"))).select(F.col("b").alias("class")).distinct(), f"{label}-{name}")
+
+    # one match is enough: a single candidate of each b comes first, all others only for those that it does not settle
+    settled = hold(pairs.groupBy("b").agg(F.min("a").alias("a")), "one")
+    rest = pairs.join(broadcast_if_small(settled.select(F.col("class").alias("b"))), "b", "left_anti")
+    return settled.union(hold(rest, "others"))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "linedup") -> DataFrame:
