@@ -2,7 +2,7 @@
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers; these are the seeds. Every token that looks
 like an identifier (it holds a digit or ``@``) is a mention: an instance (the token without outer punctuation, in lower
-case) in a context (the two words before it, digits as 0). Contexts are the lexical patterns. The graph of distinct
+case) in a context (the two whole words before the word in which it starts, digits as 0; seeds by the same rule). Contexts are the lexical patterns. The graph of distinct
 (pattern, instance) pairs is scored in rounds, per kind: a pattern's confidence is the sum of its instances' scores over
 their number plus one; an instance is a seed (score 1), or has one minus the product of the doubts of its confident
 patterns. In the end mentions of instances that are no seeds, with a score of ``ACCEPT`` or more from patterns with
@@ -40,7 +40,6 @@ CONFIDENT = 0.5
 ACCEPT = 0.6
 SCORE_DECIMALS = 9
 MIN_CHARS = 4
-REACH = 80          # symbols before a mention in which its context is looked for
 
 
 def located(df: DataFrame, text: str, pattern: str, gate: str, out: str) -> DataFrame:
@@ -99,10 +98,10 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("base", F.array_sort(F.concat(*found))).drop(*KINDS)
 
 
-def context(before: Column) -> Column:
-    """The last two words of what stands before a mention, in lower case and with 0 for digits."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(before), "[0-9]", "0"), SPACE + "+"), lambda w: w != "")
-    return F.array_join(F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), words), -2, 2), " ")
+def context(words: Column) -> Column:
+    """The last two of the words before a mention, in lower case and with 0 for digits."""
+    last = F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), words), -2, 2)
+    return F.regexp_replace(F.lower(F.array_join(last, " ")), "[0-9]", "0")
 
 
 def mentions(df: DataFrame, text: str) -> DataFrame:
@@ -112,19 +111,24 @@ def mentions(df: DataFrame, text: str) -> DataFrame:
     df = located(df, text, token, "[0-9@]", "mention")
     inner = r"[\p{L}\p{N}+](?:.*[\p{L}\p{N}])?"
     core = lambda v: F.regexp_extract(v, inner, 0)
-    # the last words of the gap before; a mention right before stands as its shape
-    tail = lambda i: F.concat(F.when(i > 0, F.right(F.get(F.col("mention.value"), i - 1), F.lit(REACH))).otherwise(F.lit("")),
-                              F.right(F.get(F.col("mention_s"), i), F.lit(REACH)))
+    # words with a digit or @ are mentions, so the two words before one are in the gap before it, the mention before that and so on
+    words = lambda s: F.filter(F.split(s, SPACE + "+"), lambda w: w != "")
+    df = df.withColumn("mention_w", F.transform("mention_s", lambda s: words(s)))
+    df = df.withColumn("mention_w", F.transform("mention_w", lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2)))
+    value = lambda i: F.array_compact(F.array(F.get(F.col("mention"), i)["value"]))
+    gap = lambda i: F.coalesce(F.get(F.col("mention_w"), i), F.array().cast("array<string>"))
+    df = df.withColumn("mention_c", F.transform("mention", lambda _, i: context(F.concat(value(i - 2), gap(i - 1), value(i - 1), gap(i)))))
     all_of = F.transform(F.col("mention"), lambda m, i: F.struct(
-        (m["start"] + F.instr(m["value"], core(m["value"])) - 1).alias("start"), F.lower(core(m["value"])).alias("instance"), context(tail(i)).alias("pattern"),
+        (m["start"] + F.instr(m["value"], core(m["value"])) - 1).alias("start"), F.lower(core(m["value"])).alias("instance"), F.get(F.col("mention_c"), i).alias("pattern"),
         F.length(core(m["value"])).alias("n")))
     apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["start"] + m["n"]) & (m["start"] < b["end"]))
     free = F.transform(F.filter(all_of, lambda m: (m["n"] >= MIN_CHARS) & apart(m)), lambda m: F.struct(
         m["start"].alias("start"), (m["start"] + m["n"]).alias("end"), m["instance"].alias("instance"), m["pattern"].alias("pattern"), F.lit(None).cast("int").alias("kind")))
-    before = lambda b: F.substring(F.col(text), F.greatest(b["start"] - REACH, F.lit(0)) + 1, F.least(b["start"], F.lit(REACH)))
+    # every seed starts in a word with a digit or @, the last mention that starts no later
+    within = lambda b: F.get(F.col("mention_c"), F.size(F.filter(F.col("mention"), lambda m: m["start"] <= b["start"])) - 1)
     seeds = F.transform(F.col("base"), lambda b: F.struct(
-        b["start"].alias("start"), b["end"].alias("end"), F.lower(b["value"]).alias("instance"), context(before(b)).alias("pattern"), b["kind"].alias("kind")))
-    return df.withColumn("mentions", F.concat(free, seeds)).drop("mention", "mention_s")
+        b["start"].alias("start"), b["end"].alias("end"), F.lower(b["value"]).alias("instance"), within(b).alias("pattern"), b["kind"].alias("kind")))
+    return df.withColumn("mentions", F.concat(free, seeds)).drop("mention", "mention_s", "mention_w", "mention_c")
 
 
 def score(seen: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confident: float = CONFIDENT, label: str = "pii") -> DataFrame:

@@ -52,6 +52,19 @@ def test_contexts_find_unseen_identifiers(make_docs):
     assert sum(map(len, got.values())) == 1
 
 
+def test_contexts_by_one_rule(make_docs):
+    """Seeds and mentions after a number, two mentions or a very long word have the same context."""
+    long = "w" * 200
+    rows = [(i, f"reach user 42 a{i}@b.com") for i in range(12)] + [(20 + i, f"row 7 8 10.1.2.{i}") for i in range(12)]
+    rows += [(40 + i, f"say {long} (x{i}@y.org)") for i in range(12)]
+    rows += [(100, "reach user 42 bob77"), (101, "row 7 8 host99"), (102, f"say {long} (kim55)"), (103, "bob78 is another user")]
+    got = {r.doc_id: [(s.value, s.start, s.end) for s in r.found] for r in pii.find(make_docs(rows)).collect()}
+    assert got.pop(100) == [("bob77", 14, 19)]
+    assert got.pop(101) == [("host99", 8, 14)]
+    assert got.pop(102) == [("kim55", 206, 211)]
+    assert not any(got.values())
+
+
 def test_scores_against_loops(spark):
     rnd = random.Random(4)
     seen = [(f"p{rnd.randint(0, 8)}", f"i{int(rnd.paretovariate(0.6)) % 60}", None) for _ in range(300)]
