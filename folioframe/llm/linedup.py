@@ -26,7 +26,7 @@ result; other columns are passed on unread.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,26 +70,30 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array([digest(w) for w in words], dtype=np.uint64)
 
 
-def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """Occurrences of words by the low bits of their hash, over the whole corpus.
+def _count_words(texts: list, total: np.ndarray) -> None:
+    seen: Counter = Counter()
+    for text in texts:
+        if text:
+            seen.update(text.encode().lower().split())
+    if seen:
+        bucket = (_hashes(list(seen)) & np.uint64(len(total) - 1)).astype(np.int64)
+        np.add.at(total, bucket, np.fromiter(seen.values(), dtype=np.int64, count=len(seen)))
+
+
+def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS, count: Callable[[list, np.ndarray], None] = _count_words) -> np.ndarray:
+    """Occurrences of words, or of what ``count`` adds up, by the low bits of their hash, over the whole corpus.
 
     Each task sends its counters in chunks; chunks are summed as a stream where they arrive, and 2 ** bits sums reach the driver.
     """
     chunk = 1 << min(bits, CHUNK_BITS)
     schema = "chunk int, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             texts = batch.column(0)
             for lo, hi in pieces(text_sizes(texts)):
-                seen: Counter = Counter()
-                for text in texts.slice(lo, hi - lo).to_pylist():
-                    if text:
-                        seen.update(text.encode().lower().split())
-                if seen:
-                    bucket = (_hashes(list(seen)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                    np.add.at(total, bucket, np.fromiter(seen.values(), dtype=np.int64, count=len(seen)))
+                count(texts.slice(lo, hi - lo).to_pylist(), total)
         parts = total.reshape(-1, chunk)
         used = [i for i in range(len(parts)) if parts[i].any()]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in used], pa.binary())})
@@ -102,7 +106,7 @@ def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS)
                 sums[k] = sums[k] + part if k in sums else part
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
-    rows = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+    rows = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tally, schema).repartition("chunk").mapInArrow(add, schema)
     out = np.zeros(((1 << bits) // chunk, chunk), dtype=np.int64)
     for r in rows.collect():
         out[r["chunk"]] += np.frombuffer(r["counts"], dtype=np.int64)
