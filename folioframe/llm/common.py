@@ -17,8 +17,12 @@ from ..session import materialize
 PIECE_CHARS = 1_500_000
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def pieces(sizes: list[int], limit: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:

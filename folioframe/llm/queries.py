@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, langid, linedup, media, mixing, pii, quality, secrets, sharding, simhash
-from .common import read_documents
+from . import bpe, langid, linedup, media, mixing, pii, quality, secrets, sharding, simhash, turns
+from .common import read_documents, read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,12 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(read_documents(spark, sf_dir))
 
 
+@query
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged and repaired again: counts of faults, cheapest edits, digest."""
+    return turns.report(read_table(spark, sf_dir, "conversations"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
