@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, langid, linedup, media, mixing, pii, quality, secrets, sharding, simhash, turns
+from . import bpe, langid, linedup, media, mixing, pagetext, pii, quality, secrets, sharding, simhash, turns
 from .common import read_documents, read_table
 
 QUERIES: dict = {}
@@ -96,6 +96,12 @@ def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(read_table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pagetext.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
