@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, langid, linedup, media, mixing, pagetext, pii, quality, secrets, sharding, simhash, turns
+from . import bpe, langid, linedup, media, mixing, negatives, pagetext, pii, quality, secrets, sharding, simhash, turns
 from .common import read_documents, read_table
 
 QUERIES: dict = {}
@@ -102,6 +102,15 @@ def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    return negatives.report(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_negatives"] = negatives.oracle()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
