@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.index import build_postings, hashed_term_vectors
+from ..operators.store import LexicalStore
+from ..session import shared_dir
 from .registry import Tables
 
 # whitespace classes in RE2 syntax
@@ -198,18 +201,33 @@ LEGS_ON_QSRC = (BM25_ON_QSRC + ",\n" + DENSE + ",\nlegs AS (SELECT query_id, doc
 LEGS = QSRC + ",\n" + LEGS_ON_QSRC
 
 
+def kept_index(t: Tables, mode: str = "search") -> LexicalStore:
+    """The lexical index of the documents, kept for the application.
+
+    It is built when first asked for and opened afterwards, as long as the files of the table are the same; it lies in the
+    shared folder, so a search reads segments and tokenizes nothing but its questions.
+    """
+    files = t.spark.read.parquet(f"{t.dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    state = files.distinct().agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0]
+    kept = t.spark.sparkContext.__dict__.setdefault("_folioframe_indexes", {})
+    key = (t.dir, mode, state)
+    if key not in kept:
+        path = shared_dir(t.spark, f"lexical-{mode}")
+        store = LexicalStore.create(t.spark, path, mode, t.documents.schema["doc_id"].dataType, buckets=t.spark.sparkContext.defaultParallelism)
+        store.upsert(corpus(t))
+        kept[key] = path
+    return LexicalStore.open(t.spark, kept[key])
+
+
 def bm25_leg(t: Tables, k: int = 20, q=None) -> DataFrame:
-    from ..operators.lexical import bm25_search, lexical_index
-    return bm25_search(lexical_index(corpus(t)), questions(t) if q is None else q, k)
+    return kept_index(t).search(questions(t) if q is None else q, k)
 
 
 def hashed_vectors(t: Tables) -> DataFrame:
-    from ..operators.index import build_postings, hashed_term_vectors
-    return hashed_term_vectors(build_postings(corpus(t)), "chunk_id")
+    return hashed_term_vectors(kept_index(t).postings(), "chunk_id")
 
 
 def question_vectors(t: Tables, q=None, mode: str = "search") -> DataFrame:
-    from ..operators.index import build_postings, hashed_term_vectors
     q = questions(t) if q is None else q
     return hashed_term_vectors(build_postings(q, "query_id", "query", mode), "chunk_id").select(
         F.col("chunk_id").alias("query_id"), "embedding")

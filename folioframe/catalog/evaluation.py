@@ -8,10 +8,9 @@ from ..operators import evaluate as E
 from ..operators import fusion as U
 from ..operators import index as I
 
-from ..operators.lexical import lexical_index
 from ..plans import ablation as A
 from ..session import materialize
-from .data import (LEGS, QRELS, BM25_ON_QSRC, DENSE, QSRC, both_legs, corpus, qrels, question_vectors, questions, sql_tokens)
+from .data import (LEGS, QRELS, BM25_ON_QSRC, DENSE, QSRC, both_legs, corpus, kept_index, qrels, question_vectors, questions, sql_tokens)
 from .ranking import COLLAPSED, scorer, with_children
 from .registry import query
 from .texts import EVAL_TOK, SENS
@@ -206,7 +205,7 @@ meth AS (SELECT query_id, doc_id, rank, leg FROM legs WHERE rank <= 5 UNION ALL
 
 def ablation_rankings(t):
     docs = corpus(t)
-    index = lexical_index(docs, mode="eval")
+    index = kept_index(t, "eval").index()
     vectors = I.hashed_term_vectors(index["postings"], "chunk_id")
     return A.ablation_rankings(index, vectors, questions(t), question_vectors(t, mode="eval"), docs.select("chunk_id", "text"), scorer)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import index as I
-from ..operators.lexical import lexical_index
-from .data import BM25, WS, corpus
+from ..operators.store import LexicalStore
+from ..session import shared_dir
+from .data import BM25, WS, corpus, kept_index, questions
 from .registry import query
 
 
@@ -15,10 +16,15 @@ def ix1(t):
     return I.build_postings(corpus(t))
 
 
+@query("ix1_kept_postings", f"WITH {BM25} SELECT doc_id AS chunk_id, term, tf, dl FROM post JOIN dl USING (doc_id)")
+def ix1k(t):
+    return kept_index(t).postings()
+
+
 @query("ix2_okapi_idf", f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def ix2(t):
-    index = lexical_index(corpus(t))
-    return I.okapi_idf(index["term_df"], index["stats"]).select("term", "df", F.round("idf", 9).alias("idf"))
+    index = kept_index(t)
+    return I.okapi_idf(index.term_df(), index.stats()).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("ix3_index_stats", f"WITH {BM25} SELECT n AS document_count, round(avgdl, 9) AS average_tokens, 1.5::DOUBLE AS k1, 0.75::DOUBLE AS b FROM stats")
@@ -51,6 +57,44 @@ def ix4r(t):
     return I.remove_chunks(stored(t), batch(t)).select("chunk_id", "lang")
 
 
+def maintained(t):
+    """A kept index of the labelled documents, then the batch upserted, French documents removed, and all of it compacted."""
+    store = LexicalStore.create(t.spark, shared_dir(t.spark, "lexical-maintained"), buckets=t.spark.sparkContext.defaultParallelism)
+    store.upsert(stored(t).select("chunk_id", "text"))
+    store.upsert(batch(t).select("chunk_id", "text"))
+    store.remove(t.documents.filter("lang = 'fr'").select(F.col("doc_id").alias("chunk_id")))
+    store.compact(dead_share=0.0, max_segments=1)
+    return store
+
+
+# the same rows as an index built anew from what is left
+LEFT = f"""{STORED}, {BATCH}, documents_left AS (SELECT chunk_id AS doc_id, text FROM (SELECT chunk_id, text FROM batch UNION ALL SELECT chunk_id, text FROM stored WHERE quality <> 1)
+  WHERE chunk_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr'))"""
+BM25_LEFT = BM25.replace("FROM documents", "FROM documents_left")
+
+
+@query("ix4_maintained_search", f"WITH {LEFT}, {BM25_LEFT} SELECT query_id, doc_id, score, rank FROM bm25")
+def ix4m(t):
+    return maintained(t).search(questions(t), 20)
+
+
+@query("ix7_maintained_terms", f"WITH {LEFT}, {BM25_LEFT} SELECT term, df, round(idf, 9) AS idf FROM idf")
+def ix7m(t):
+    index = maintained(t)
+    return I.okapi_idf(index.term_df(), index.stats()).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("ix9_store_sync", """WITH kept AS (SELECT d.doc_id, quality, lang FROM documents d JOIN labels USING (doc_id)), want AS (SELECT doc_id, lang FROM documents WHERE lang <> 'de')
+SELECT (SELECT count(*) FROM want WHERE doc_id NOT IN (SELECT doc_id FROM kept WHERE quality <> 1)) AS indexed,
+  (SELECT count(*) FROM kept WHERE doc_id NOT IN (SELECT doc_id FROM want)) AS removed, (SELECT count(*) FROM kept WHERE quality <> 1 AND doc_id IN (SELECT doc_id FROM want)) AS skipped""")
+def ix9s(t):
+    # stored texts of good quality have an addition, so their documents count as changed
+    store = LexicalStore.create(t.spark, shared_dir(t.spark, "lexical-sync"), buckets=t.spark.sparkContext.defaultParallelism)
+    store.upsert(stored(t).select("chunk_id", F.when(F.col("quality") == 1, F.concat("text", F.lit(" old"))).otherwise(F.col("text")).alias("text")))
+    counts = store.sync(t.documents.filter("lang <> 'de'").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return t.spark.createDataFrame([tuple(counts[c] for c in ("indexed", "removed", "skipped"))], "indexed long, removed long, skipped long")
+
+
 @query("ix5_add_vectors", """SELECT v.vec_id AS chunk_id, v.label AS label, round(list_sum([x::DOUBLE * x for x in embedding]), 5) AS norm2 FROM embeddings v
 UNION ALL SELECT d.doc_id, -1, 0.0 FROM documents d WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def ix5(t):

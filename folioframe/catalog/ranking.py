@@ -9,9 +9,9 @@ from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import select as P
 from ..operators.skew import first_slices, ordinal
-from ..operators.lexical import bm25_search_eval, lexical_index
+from ..operators.lexical import bm25_search, bm25_search_eval, lexical_index
 from ..plans import search as X
-from .data import (BM25, LEGS, LEGS_ON_QSRC, WS, bm25_leg, both_legs, corpus, dense_leg, hashed_vectors, question_vectors,
+from .data import (BM25, LEGS, LEGS_ON_QSRC, WS, bm25_leg, both_legs, corpus, dense_leg, hashed_vectors, kept_index, question_vectors,
                    questions, sql_estimate, sql_strip, sql_tokens)
 from .registry import query
 from .texts import EVAL_TOK
@@ -30,7 +30,27 @@ EVAL_BM25 = BM25.replace(sql_tokens("text"), EVAL_TOK)
     SELECT item_id AS query_id, d.doc_id, coalesce(s.score, 0.0) AS score FROM benchmark b CROSS JOIN documents d
     LEFT JOIN scored s ON s.query_id = b.item_id AND s.doc_id = d.doc_id)) WHERE rank <= 20""")
 def rt2(t):
-    return bm25_search_eval(lexical_index(corpus(t), mode="eval"), questions(t), 20)
+    return bm25_search_eval(kept_index(t, "eval").index(), questions(t), 20)
+
+
+@query("rt1_bm25_search_unkept", f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm25")
+def rt1u(t):
+    return bm25_search(lexical_index(corpus(t)), questions(t), 20)
+
+
+# every document holds the padding words, so the mean inverse frequency is negative and so are scores of them
+PADDED = BM25.replace(sql_tokens("text"), EVAL_TOK).replace("FROM documents)", "FROM padded)").replace("FROM documents", "FROM padded")
+
+
+@query("rt2_negative_scores", f"""WITH padded AS (SELECT doc_id, 'pad pod pud ped pid pyd pat pot pit ' || coalesce(lang, '') || CASE WHEN doc_id % 50 = 0 THEN ' rare' ELSE '' END AS text FROM documents WHERE doc_id % 7 <> 3
+  UNION ALL SELECT doc_id, 'zero' FROM documents WHERE doc_id % 7 = 3), {PADDED.replace("SELECT item_id AS query_id, text FROM benchmark", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'pad pud' ELSE 'pod rare' END AS text FROM benchmark")}
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT q.query_id, d.doc_id, coalesce(s.score, 0.0) AS score FROM qsrc q CROSS JOIN padded d LEFT JOIN scored s ON s.query_id = q.query_id AND s.doc_id = d.doc_id)) WHERE rank <= 200""")
+def rt2n(t):
+    text = F.concat(F.lit("pad pod pud ped pid pyd pat pot pit "), F.coalesce("lang", F.lit("")), F.when(F.col("doc_id") % 50 == 0, " rare").otherwise(""))
+    padded = t.documents.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 7 == 3, "zero").otherwise(text).alias("text"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "pad pud").otherwise("pod rare").alias("query"))
+    return bm25_search_eval(lexical_index(padded, mode="eval"), asked, 200)
 
 
 # the mean vector of every label asks for its nearest vectors

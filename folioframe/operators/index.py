@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.common import strip
+from ..functions.common import let, strip
 from ..functions.tokens import tokenize, tokenize_eval
 
 
 # --- inverted index -----------------------------------------------------------------------
 
-def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text",
-                   mode: str = "search") -> DataFrame:
-    """postings(chunk_id, term, tf, dl).
+def counted_terms(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text", mode: str = "search") -> DataFrame:
+    """(chunk_id, text, dl, terms): the terms of each text with their counts, as array<struct<term, tf>>.
 
     Terms are counted inside the row: the sorted tokens are cut at their changes, and the length of a
     run is the term's count. Texts and tokens stay in their map stage, nothing is shuffled.
     """
-    rows = chunks.select(F.col(id_col).alias("chunk_id"),
-                         F.array_sort(tokenize(text) if mode == "search" else tokenize_eval(text)).alias("_t"))
-    # where a run begins; the place after the last one closes the list
-    heads = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
-    rows = rows.filter(F.size("_t") > 0).select("chunk_id", "_t", F.size("_t").alias("dl"), F.concat(heads, F.array(F.size("_t"))).alias("_h"))
-    runs = F.transform(F.slice("_h", F.lit(1), F.size("_h") - 1), lambda at, i: F.struct(
-        F.get("_t", at).alias("term"), (F.get("_h", i + 1) - at).alias("tf")))
-    return rows.select("chunk_id", "dl", F.inline(runs)).select("chunk_id", "term", "tf", "dl")
+    def runs(t: Column) -> Column:
+        # where a run begins; the place after the last one closes the list
+        heads = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return let(F.concat(heads, F.array(F.size(t))), lambda h: F.transform(
+            F.slice(h, F.lit(1), F.size(h) - 1), lambda at, i: F.struct(F.get(t, at).alias("term"), (F.get(h, i + 1) - at).alias("tf"))))
+
+    # bound variables, not projections: the optimizer may not repeat the tokenizer in a lambda
+    tokens = F.sort_array(tokenize(text) if mode == "search" else tokenize_eval(text))
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text).alias("text"), let(tokens, runs).alias("terms"))
+    return rows.select("chunk_id", "text", F.aggregate("terms", F.lit(0), lambda n, x: n + x["tf"]).alias("dl"), "terms")
+
+
+def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text",
+                   mode: str = "search") -> DataFrame:
+    """postings(chunk_id, term, tf, dl); a text without terms has none."""
+    rows = counted_terms(chunks, id_col, text, mode)
+    # the outer form, as before an inner one a filter on the size of the list would count every text twice
+    return rows.select("chunk_id", "dl", F.inline_outer("terms")).filter("term IS NOT NULL").select("chunk_id", "term", "tf", "dl")
 
 
 def doc_lengths(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text",
@@ -79,11 +88,6 @@ def index_stats(doc_stats: DataFrame, k1: float = S.BM25_K1, b: float = S.BM25_B
         F.lit(k1).alias("k1"), F.lit(b).alias("b"))
 
 
-def write_bucketed(postings: DataFrame, table: str, buckets: int = 1024) -> None:
-    """Store postings bucketed by document so that searches skip the shuffle altogether."""
-    postings.write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("chunk_id").saveAsTable(table)
-
-
 # --- incremental maintenance --------------------------------------------------------------
 
 def upsert_chunks(current: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFrame:

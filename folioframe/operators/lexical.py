@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.tokens import tokenize, tokenize_eval
-from ..session import fits
+from ..session import broadcast_if_small, fits, materialize
 from . import index as ix
 
 
@@ -53,7 +53,9 @@ def bm25_scores(postings: DataFrame, term_df: DataFrame, stats: DataFrame, terms
 
 def bm25_search(index: dict, queries: DataFrame, k: int = S.LEXICAL_TOP_K, id_col: str = "query_id",
                 text: str = "query", mode: str = "search", **kw) -> DataFrame:
-    """rankings(query_id, doc_id, score, rank) with positive scores only."""
+    """rankings(query_id, doc_id, score, rank) with positive scores only; a kept index is searched where it lies."""
+    if "store" in index:
+        return index["store"].search(queries, k, id_col, text, **kw)
     terms = query_terms(queries, id_col, text, mode)
     scores = bm25_scores(index["postings"], index["term_df"], index["stats"], terms, **kw)
     return rank_top(scores.filter("score > 0"), k)
@@ -63,20 +65,36 @@ def bm25_search_eval(index: dict, queries: DataFrame, k: int, id_col: str = "que
                      text: str = "query") -> DataFrame:
     """As ``bm25_search`` on evaluation tokens, zero and negative scores kept.
 
-    A question with fewer than ``k`` scored documents is filled up with zero-score documents in id
-    order. The k lowest ids not among the at most (scored) hits all lie in the first
-    ``k + scored`` ids, so the filler is taken from the ``2k`` lowest ids: exact and small.
+    Documents without a common term score zero and come before negative scores, in id order. They are
+    needed only where fewer than ``k`` scores are zero or more; then the lowest ids are tried, four
+    times as many each time, until every such question has enough or all documents were tried.
     """
     terms = query_terms(queries, id_col, text, "eval")
-    top = rank_top(bm25_scores(index["postings"], index["term_df"], index["stats"], terms), k)
+    store = index.get("store")
+
+    def scored() -> DataFrame:
+        return store.scores(terms) if store else bm25_scores(index["postings"], index["term_df"], index["stats"], terms)
+
+    top = materialize(rank_top(scored().filter("score >= 0"), k).drop("rank"), "eval-top")
     counts = top.groupBy("query_id").agg(F.count("*").alias("_n"))
-    short = queries.select(F.col(id_col).alias("query_id")).distinct().join(
-        counts, "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < k)
-    lowest = index["doc_ids"].select(F.col("chunk_id").alias("doc_id")).orderBy("doc_id").limit(2 * k)
-    filler = short.select("query_id").join(F.broadcast(lowest)).join(      # 2k rows
-        top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn(
-        "score", F.lit(0.0))
-    return rank_top(top.drop("rank").unionByName(filler), k)
+    short = materialize(queries.select(F.col(id_col).alias("query_id")).distinct().join(counts, "query_id", "left").select(
+        "query_id", F.coalesce("_n", F.lit(0)).alias("_n")).filter(F.col("_n") < k), "eval-short")
+    if not short.limit(1).count():
+        return rank_top(top, k)
+    few = broadcast_if_small(short.select("query_id"))
+    below = rank_top(scored().join(few, "query_id", "left_semi").filter("score < 0"), k).drop("rank")
+    ids, tried = index["doc_ids"].select(F.col("chunk_id").alias("doc_id")), 4 * k
+    n_docs = ids.count()
+    while True:
+        lowest = ids.orderBy("doc_id").limit(tried)
+        lowest = broadcast_if_small(lowest)
+        seen = scored().join(few, "query_id", "left_semi").join(lowest, "doc_id", "left_semi").select("query_id", "doc_id")
+        filler = materialize(rank_top(short.join(lowest).join(seen, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0)), k), "eval-zero")
+        have = filler.groupBy("query_id").agg(F.count("*").alias("_zero"))
+        if tried >= n_docs or not short.join(have, "query_id", "left").filter(F.col("_n") + F.coalesce("_zero", F.lit(0)) < k).limit(1).count():
+            break
+        tried *= 4
+    return rank_top(top.unionByName(filler.select(*top.columns)).unionByName(below), k)
 
 
 def lexical_index(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text",
