@@ -8,7 +8,7 @@ from .. import settings as S
 from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import select as P
-from ..operators.skew import first_slices, ordinal
+from ..operators.skew import first_slices, join_null_safe, ordinal
 from ..operators.lexical import bm25_search, bm25_search_eval, lexical_index
 from ..plans import search as X
 from .data import (BM25, LEGS, LEGS_ON_QSRC, WS, bm25_leg, both_legs, corpus, dense_leg, hashed_vectors, kept_index, question_vectors,
@@ -78,7 +78,7 @@ def rt3(t):
 
 @query("rt3_dense_search_blocked", near())
 def rt3b(t):
-    return rounded(D.dense_search(t.embeddings, D.label_centroids(t.embeddings), 20, id_col="vec_id", force_blocks=True))
+    return rounded(D.dense_search(t.embeddings, D.label_centroids(t.embeddings), 20, id_col="vec_id", wave_bytes=3 * 64 * 8))
 
 
 @query("rt4_cosine_eval", near())
@@ -92,9 +92,9 @@ def rt5(t):
                                         (F.col("label") >= 3) & (F.col("label") != 7), 20, id_col="vec_id"))
 
 
-@query("rt3_lsh_search")
-def rt3l(t):
-    return D.lsh_search(t.embeddings, D.label_centroids(t.embeddings), 20, id_col="vec_id", threshold=1.4)
+@query("rt3_cell_search")
+def rt3c(t):
+    return rounded(D.cell_search(D.build_cells(t.embeddings, id_col="vec_id"), D.label_centroids(t.embeddings), 20))
 
 
 @query("rt6_recall_many", f"WITH {LEGS} SELECT * FROM legs")
@@ -239,7 +239,7 @@ SELECT query_id, doc_id, rank, md5(content) AS content, {sql_estimate('content')
 def rt18(t):
     ranks = ordinal(t.documents.select(F.col("source").alias("query_id"), "doc_id"), ["query_id"], "doc_id", "rank")
     texts = t.documents.select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("content"))
-    rows = first_slices(ranks, ["query_id"], "rank", S.CONTEXT_BUDGET).join(texts, ["query_id", "doc_id"])
+    rows = join_null_safe(first_slices(ranks, ["query_id"], "rank", S.CONTEXT_BUDGET), texts, ["query_id", "doc_id"])
     return P.pack_token_budget(rows).select("query_id", "doc_id", "rank", F.md5("content").alias("content"), "context_tokens", "context_truncated")
 
 
@@ -351,6 +351,13 @@ def rt27(t):
     return P.paginate(t.orders.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"], 3, 25)
 
 
+@query("rt27_deep_page", """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice, (SELECT count(*) FROM lineitem) AS total FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20 OFFSET 39980""")
+def rt27d(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return P.paginate(rows, [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")], 2000, 20)
+
+
 @query("rt28_extract_sources", f"WITH {STAGES}, f AS ({FORMATTED}) SELECT query_id, id, id AS chunk_id, page_id, title, rerank_score AS score, source_url, snippet, audio_url FROM f")
 def rt28(t):
     rows = P.extract_sources(P.format_result(P.filter_reranked(reranked(t))))

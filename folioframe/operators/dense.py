@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,29 +11,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..session import materialize
 from .lexical import rank_top
 
-_OUT = ["query_id", "doc_id", "score"]
-
-
-def _cosine(docs: np.ndarray, queries: np.ndarray, eps: float) -> np.ndarray:
-    """scores[query, doc] with the norms guarded by ``eps``."""
-    dn = np.linalg.norm(docs, axis=1)
-    qn = np.maximum(np.linalg.norm(queries, axis=1), eps)
-    return (queries @ docs.T) / np.maximum(qn[:, None] * dn[None, :], eps)
-
-
-def _block_top(q_ids, q_vecs, d_ids, d_vecs, k: int, eps: float) -> pd.DataFrame:
-    """Best ``k`` documents of one block for each query, ties by id."""
-    if not len(q_ids) or not len(d_ids):
-        return pd.DataFrame(columns=_OUT)
-    scores = np.round(_cosine(d_vecs, q_vecs, eps), S.SCORE_DECIMALS)
-    order = np.argsort(np.asarray(d_ids), kind="stable")
-    scores, ids = scores[:, order], np.asarray(d_ids)[order]
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    n = best.shape[1]
-    return pd.DataFrame({"query_id": np.repeat(np.asarray(q_ids), n), "doc_id": ids[best].ravel(),
-                         "score": np.take_along_axis(scores, best, 1).ravel()})
+# bytes of query vectors sent with one scan, and of one tile of scores in a task
+WAVE_BYTES = 8 << 20
+TILE_BYTES = 16 << 20
+
+
+class Best:
+    """Running best ``k`` (score, id) per query: higher scores first, then smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.worst = k, np.full(queries, -np.inf)
+        self.rows = (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64))
+
+    def offer(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """A tile of scores[query, row] for the queries from ``first`` on; only what can enter is looked at."""
+        if scores.shape[1] > self.k:
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+        else:
+            least = np.full(len(scores), -np.inf)
+        q, r = np.nonzero(scores >= np.maximum(least, self.worst[first:first + len(scores)])[:, None])
+        if not len(q):
+            return
+        ids = ids[r] if not len(self.rows[2]) else np.concatenate([self.rows[2], ids[r]])
+        slots, values = np.concatenate([self.rows[0], q + first]), np.concatenate([self.rows[1], scores[q, r]])
+        order = np.lexsort((ids, -values, slots))
+        slots, values, ids = slots[order], values[order], ids[order]
+        place = np.arange(len(slots)) - np.searchsorted(slots, slots)
+        kept = place < self.k
+        self.rows = slots[kept], values[kept], ids[kept]
+        full = place == self.k - 1
+        self.worst[slots[full]] = values[full]
+
+
+def _scan(batches: Iterator[pd.DataFrame], q_ids: list, q_vecs: np.ndarray, k: int, eps: float, asked: list[np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+    """Best ``k`` rows (id, vec and, with ``asked``, cell) of all batches for each query; one emission at the end.
+
+    ``asked`` holds per cell the queries that probe it.
+    """
+    best, q_norm = Best(len(q_ids), k), np.maximum(np.linalg.norm(q_vecs, axis=1), eps)
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        vectors = np.stack(pdf["vec"].to_numpy()).astype("float64")
+        ids, norm = np.asarray(pdf["id"].tolist()), np.linalg.norm(vectors, axis=1)
+        cells = [(None, slice(None))] if asked is None else [(c, np.nonzero(pdf["cell"].to_numpy() == c)[0]) for c in pdf["cell"].unique()]
+        for cell, rows in cells:
+            d, dn, di = vectors[rows], norm[rows], ids[rows]
+            step = max(1, TILE_BYTES // (8 * len(di)))
+            mine = np.arange(len(q_ids)) if cell is None else asked[cell]
+            for lo in range(0, len(mine), step):
+                part = mine[lo:lo + step]
+                scores = np.round((q_vecs[part] @ d.T) / np.maximum(q_norm[part][:, None] * dn[None, :], eps), S.SCORE_DECIMALS)
+                if cell is None:
+                    best.offer(lo, scores, di)
+                else:
+                    for i, q in enumerate(part):
+                        best.offer(int(q), scores[i:i + 1], di)
+    slots, values, ids = best.rows
+    yield pd.DataFrame({"query_id": [q_ids[s] for s in slots], "doc_id": ids, "score": values})
+
+
+def _waves(queries: DataFrame, most: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Queries (id, vector) a bounded number at a time; one partition of them is at the driver."""
+    ids, vectors = [], []
+    for row in queries.toLocalIterator():
+        ids.append(row[0])
+        vectors.append(row[1])
+        if len(ids) == most:
+            yield ids, np.array(vectors, dtype="float64")
+            ids, vectors = [], []
+    if ids:
+        yield ids, np.array(vectors, dtype="float64")
 
 
 def _schema(vectors: DataFrame, queries: DataFrame, id_col: str, q_id: str) -> str:
@@ -42,54 +94,118 @@ def _schema(vectors: DataFrame, queries: DataFrame, id_col: str, q_id: str) -> s
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = S.DENSE_TOP_K, id_col: str = "chunk_id",
                  vec: str = "embedding", q_id: str = "query_id", q_vec: str = "embedding",
-                 eps: float = 1e-12, max_queries: int = 4096, force_blocks: bool = False) -> DataFrame:
-    """rankings(query_id, doc_id, score, rank), score = cosine similarity.
+                 eps: float = 1e-12, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+    """rankings(query_id, doc_id, score, rank), score = cosine similarity. Vectors that are missing are skipped.
 
-    Up to ``max_queries`` query vectors (checked) are shipped to the tasks and the vectors are
-    scanned once without a shuffle; each Arrow batch keeps its own best ``k``. More queries go
-    through ``blocked``. Vectors that are missing are skipped.
+    Query vectors go to the tasks in waves of ``wave_bytes``; each wave is one scan of the vectors, without a shuffle. A
+    task multiplies tiles of bounded size, holds the best ``k`` per query of its wave over all its batches and emits
+    them once, so its memory does not grow with the number of queries, nor with that of the vectors.
+    """
+    table = vectors.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    asked = queries.filter(F.col(q_vec).isNotNull()).select(q_id, q_vec)
+    schema, context = _schema(vectors, queries, id_col, q_id), vectors.sparkSession.sparkContext
+    head = asked.limit(1).collect()
+    parts: list[DataFrame] = []
+    for ids, matrix in _waves(asked, max(1, wave_bytes // (8 * max(1, len(head[0][1]))))) if head else ():
+        shared = context.broadcast((ids, matrix))
+        found = rank_top(table.mapInPandas(lambda batches, shared=shared: _scan(batches, *shared.value, k, eps), schema), k)
+        if parts:       # with a single wave the result stays lazy
+            found = materialize(found, "dense-wave")
+        parts.append(found)
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
+    if len(parts) > 1:
+        parts[0] = materialize(parts[0], "dense-wave")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# --- inverted file: approximate ------------------------------------------------------------
+
+@dataclass
+class Cells:
+    """Vectors stored by the coarse cell they lie in: table (cell, id, vec), partitioned by cell, the cells' centres, and how many to probe."""
+
+    table: DataFrame
+    centres: np.ndarray
+    probes: int
+
+
+def fit_centres(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Spherical k-means on unit vectors; a centre without vectors moves to the vector that fits worst."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+    for _ in range(rounds):
+        scores = sample @ centres.T
+        own = scores.argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        empty = np.nonzero(np.bincount(own, minlength=len(centres)) == 0)[0]
+        if len(empty):
+            sums[empty] = sample[np.argsort(scores.max(axis=1), kind="stable")[:len(empty)]]
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return centres
+
+
+def probes_for(sample: np.ndarray, centres: np.ndarray, recall: float, k: int = 20, queries: int = 256) -> int:
+    """Fewest nearest cells that hold the share ``recall`` of the ``k`` neighbours of sampled vectors in the sample."""
+    asked = sample[:queries]
+    scores = asked @ sample.T
+    near = np.argpartition(-scores, min(k, len(sample) - 1), axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)      # of each cell for each query
+    needed = np.sort(np.take_along_axis(place, (sample @ centres.T).argmax(axis=1)[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
+def build_cells(vectors: DataFrame, cells: int | None = None, sample_rows: int = 20_000, id_col: str = "chunk_id", vec: str = "embedding", recall: float = 0.95) -> Cells:
+    """Assign every vector to the nearest of ``cells`` centres (square root of the count, at most an eighth of the sample).
+
+    The centres are fitted on at most ``sample_rows`` vectors, those of the smallest hashes of their ids, and so is the number
+    of cells to probe for ``recall``: vectors without structure need most of them. All vectors are stored.
     """
-    vectors = vectors.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(id_col, vec)
-    queries = queries.filter(F.col(q_vec).isNotNull()).select(q_id, q_vec)
-    schema = _schema(vectors, queries, id_col, q_id)
-    sample = [] if force_blocks else queries.limit(max_queries + 1).collect()
-    if force_blocks or len(sample) > max_queries:
-        return blocked(vectors, queries, k, id_col, vec, q_id, q_vec, eps)
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        ([r[0] for r in sample], np.array([r[1] for r in sample], dtype="float64")))
-
-    def scan(batches):
-        q_ids, q_vecs = shared.value
+    table = vectors.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    rows = table.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    sample = np.array([r["vec"] for r in rows], dtype="float64").reshape(len(rows), -1)
+    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    wanted = cells or max(1, min(round(table.count() ** 0.5), len(rows) // 8))
+    centres = fit_centres(sample, wanted) if len(rows) else np.zeros((1, 1))
+    shared = table.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield _block_top(q_ids, q_vecs, pdf[id_col].to_numpy(),
-                                 np.stack(pdf[vec].to_numpy()).astype("float64"), k, eps)
-
-    return rank_top(vectors.mapInPandas(scan, schema), k)
-
-
-def blocked(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, q_id: str,
-            q_vec: str, eps: float, block_queries: int = 4096, block_docs: int = 50_000) -> DataFrame:
-    """Block matrix form for any number of queries: both sides are cut into bounded blocks, every
-    pair of blocks is one group, and each group returns its best ``k`` per query only."""
-    nq = max(1, math.ceil(queries.count() / block_queries))
-    nd = max(1, math.ceil(vectors.count() / block_docs))
-    q = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("qv"),
-                       F.pmod(F.xxhash64(q_id), F.lit(nq)).alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nd - 1)).cast("array<bigint>")).alias("db"))
-    d = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec).alias("dv"),
-                       F.pmod(F.xxhash64(id_col), F.lit(nd)).alias("db"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")).alias("qb"))
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=_OUT)
-        return _block_top(left["query_id"].to_numpy(), np.stack(left["qv"]).astype("float64"),
-                          right["doc_id"].to_numpy(), np.stack(right["dv"]).astype("float64"), k, eps)
-
-    schema = _schema(vectors, queries, id_col, q_id)
-    best = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(pair, schema)
-    return rank_top(best, k)
+                yield pdf.assign(cell=(np.stack(pdf["vec"].to_numpy()).astype("float64") @ shared.value.T).argmax(axis=1))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return Cells(materialize(table.mapInPandas(assign, f"{fields}, cell long"), "cells", partition_by=["cell"]), centres, probes_for(sample, centres, recall) if len(rows) else 1)
+
+
+def cell_search(index: Cells, queries: DataFrame, k: int, probes: int | None = None, q_id: str = "query_id", q_vec: str = "embedding",
+                eps: float = 1e-12, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+    """Approximate ``dense_search``: only the ``probes`` cells nearest to a query are read, their vectors scored exactly."""
+    asked = queries.filter(F.col(q_vec).isNotNull()).select(q_id, q_vec)
+    schema, spark = _schema(index.table, queries, "id", q_id), index.table.sparkSession
+    probes = min(len(index.centres), probes or index.probes)
+    parts: list[DataFrame] = []
+    for ids, matrix in _waves(asked, max(1, wave_bytes // (8 * index.centres.shape[1]))):
+        near = np.argsort(-(matrix @ index.centres.T), axis=1, kind="stable")[:, :probes]
+        by_cell = [np.nonzero((near == c).any(axis=1))[0] for c in range(len(index.centres))]
+        shared = spark.sparkContext.broadcast((ids, matrix, by_cell))
+
+        def scan(batches, shared=shared):
+            ids, matrix, by_cell = shared.value
+            return _scan(batches, ids, matrix, k, eps, by_cell)
+
+        read = index.table.filter(F.col("cell").isin([c for c, q in enumerate(by_cell) if len(q)]))     # whole folders are skipped
+        parts.append(materialize(rank_top(read.select("id", "vec", "cell").mapInPandas(scan, schema), k), "cell-wave"))
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, rank int")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def cosine_eval(vectors: DataFrame, queries: DataFrame, k: int, **kw) -> DataFrame:
@@ -109,23 +225,3 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
         F.avg(F.col("x").cast("double")).alias("m"))
     return per.groupBy(F.col(label).alias("query_id")).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("embedding"))
-
-
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id",
-               bucket_length: float = 0.5, tables: int = 4, threshold: float = 1.0) -> DataFrame:
-    """Approximate option: LSH on L2-normalised vectors, candidates re-scored exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(df, key):
-        v = df.select(F.col(key), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-        return Normalizer(inputCol="v", outputCol="features").transform(v).drop("v")
-
-    docs, qs = prepared(vectors, id_col), prepared(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=7,
-                                        bucketLength=bucket_length, numHashTables=tables).fit(docs)
-    pairs = model.approxSimilarityJoin(qs, docs, threshold, "dist")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"), F.col(f"datasetB.{id_col}").alias("doc_id"),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, S.SCORE_DECIMALS).alias("score"))
-    return rank_top(scored, k)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.common import WS, casefold, strip
 from ..functions.text import has_sensitive_value, stable_id
 from ..session import broadcast_if_small
+from .skew import rank_by_range
 
 # Fixed values
 ACTIONS = ["answer", "reject", "correct_premise", "external_research"]
@@ -25,9 +26,10 @@ UNANSWERABLE = "unanswerable"
 def unique_top_k(rankings: DataFrame, k: int | None = None, keys=("method", "query_id")) -> DataFrame:
     """Keep the first rank of each document and renumber; cut to ``k`` when given."""
     first = rankings.groupBy(*keys, "doc_id").agg(F.min("rank").alias("rank"))
+    if k is None:
+        return rank_by_range(first.withColumnRenamed("rank", "_first"), list(keys), [F.col("_first"), F.col("doc_id")], "rank", "unique").drop("_first")
     w = Window.partitionBy(*keys).orderBy("rank", "doc_id")
-    out = first.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.filter(F.col("rank") <= k)
+    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def query_metrics(rankings: DataFrame, qrels: DataFrame, queries: DataFrame, ks=(1, 3, 5)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.common import let, squash, strip
 from ..functions.text import clean_external_text, guard_url
+from .skew import rank_by_range
 
 # Fixed values
 CATEGORIES = {"knowledge_missing": "知识缺失", "content_outdated": "内容过期",
@@ -40,8 +41,7 @@ def create_feedback(batch: DataFrame, existing: DataFrame, runs: DataFrame) -> d
 def cited_pages(sources: DataFrame) -> DataFrame:
     """(request_id, position, page_id): distinct cited pages in the order of their first citation."""
     first = sources.filter(F.coalesce(F.col("page_id").cast("string"), F.lit("")) != "").groupBy("request_id", "page_id").agg(F.min("pos").alias("_p"))
-    w = Window.partitionBy("request_id").orderBy("_p")
-    return first.select("request_id", F.row_number().over(w).alias("position"), "page_id")
+    return rank_by_range(first, ["request_id"], [F.col("_p"), F.col("page_id")], "position", "cited").select("request_id", "position", "page_id")
 
 
 def auto_target(feedback: DataFrame, cited: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from .. import settings as S
 from ..functions.common import strip
 from ..functions.text import parent_chunk_id
 from .lexical import rank_top
+from .skew import rank_by_range
 
 
 def legs(**named: DataFrame) -> DataFrame:
@@ -24,9 +25,10 @@ def distinct_queries(rewrites: DataFrame, limit: int | None = None) -> DataFrame
     """(group_id, pos, query) -> trimmed, non-empty, first occurrence of each text, renumbered."""
     first = rewrites.select("group_id", "pos", strip("query").alias("query")).filter(
         F.col("query") != "").groupBy("group_id", "query").agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy("group_id").orderBy("pos")
-    out = first.withColumn("pos", F.row_number().over(w))
-    return out if limit is None else out.filter(F.col("pos") <= limit)
+    if limit is None:
+        return rank_by_range(first.withColumnRenamed("pos", "_pos"), ["group_id"], [F.col("_pos"), F.col("query")], "pos", "queries").drop("_pos")
+    w = Window.partitionBy("group_id").orderBy("pos", "query")
+    return first.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
 
 
 def collapse_to_parents(ranked: DataFrame, keys=("query_id", "leg")) -> DataFrame:

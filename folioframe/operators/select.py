@@ -10,7 +10,10 @@ from ..functions.common import blank_to_null, strip
 from ..functions.markdown import clean_link_label
 from ..functions.text import audio_provenance, split_tags
 from ..functions.tokens import estimate_tokens, truncate_text
-from .skew import first_slices
+from .skew import first_slices, page_by_range, rank_by_range
+
+# rows that a top-n may hold in each task
+SHALLOW_ROWS = 10_000
 
 
 def rerank(candidates: DataFrame, scorer, k: int = S.FINAL_TOP_K, query: str = "query",
@@ -146,9 +149,8 @@ def ordered_sources(rows: DataFrame) -> DataFrame:
                               F.coalesce(blank_to_null("section_path"), blank_to_null("section_title"), F.lit(""))))
     keyed = rows.withColumn("source_key", key).withColumn("sort_score", score)
     best = Window.partitionBy("query_id", "source_key").orderBy(F.col("sort_score").desc(), "pos")
-    order = Window.partitionBy("query_id").orderBy(F.col("sort_score").desc(), "pos")
-    return keyed.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n").withColumn(
-        "position", F.row_number().over(order))
+    one = keyed.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    return rank_by_range(one, ["query_id"], [F.col("sort_score").desc(), F.col("pos")], "position", "sources")
 
 
 def filter_for_summary(rows: DataFrame, min_score: float = S.RERANK_MIN_SCORE) -> DataFrame:
@@ -165,9 +167,10 @@ def summary_text(rows: DataFrame) -> DataFrame:
 
 
 def paginate(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page and the total. A sort with offset and limit, so no global window."""
+    """One page and the total. A shallow page is a bounded top-n; a deep one is read from the ranges of the order that hold it."""
     total = rows.agg(F.count("*").alias("total"))
-    page_rows = rows.orderBy(*order).offset((page - 1) * size).limit(size)
+    first = (page - 1) * size
+    page_rows = rows.orderBy(*order).offset(first).limit(size) if first + size <= SHALLOW_ROWS else page_by_range(rows, order, first, size)
     return page_rows.join(F.broadcast(total))      # one row
 
 

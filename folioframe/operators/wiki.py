@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.common import casefold, strip
 from ..functions.markdown import clean_link_label, file_stem, validate_content, validate_title
 from ..functions.text import normalize_strings, search_snippet
-from .skew import ordinal
+from .select import SHALLOW_ROWS
+from .skew import ordinal, page_by_range
 
 PAGE_COLUMNS = ["page_id", "title", "notebook", "tags", "aliases", "status", "source_type", "source_uri",
                 "revision", "content", "content_hash", "updated_at"]
@@ -241,10 +242,10 @@ def match_pages(pages: DataFrame, notebook: str | None = None, tag: str | None =
 
 
 def list_pages(pages: DataFrame, offset: int = 0, limit: int = 100, **filters) -> DataFrame:
-    """One page of matches, newest first, with the total; a bounded top-n, no global window."""
-    rows = match_pages(pages, **filters)
+    """One page of matches, newest first, with the total; a bounded top-n, or the ranges that hold a deep page."""
+    rows, order = match_pages(pages, **filters), [F.col("updated_at").desc(), F.col("page_id")]
     total = rows.agg(F.count("*").alias("total"))
-    head = rows.orderBy(F.col("updated_at").desc(), "page_id").offset(offset).limit(limit)
+    head = rows.orderBy(*order).offset(offset).limit(limit) if offset + limit <= SHALLOW_ROWS else page_by_range(rows, order, offset, limit)
     return head.join(F.broadcast(total))       # one row
 
 
@@ -343,9 +344,3 @@ def link_sources(existing: DataFrame, wanted: DataFrame, runs: DataFrame) -> dic
     fresh = wanted.select(*pairs).distinct().join(existing.select(*pairs), pairs, "left_anti")
     saved = runs.join(wanted.select("run_id").distinct(), "run_id", "left_semi").withColumn("status", F.lit("saved"))
     return {"page_sources": fresh, "runs": saved}
-
-
-def legacy_files(files: DataFrame) -> DataFrame:
-    """binaryFile rows -> name, size, mtime; the content column is never read."""
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"),
-                        F.col("modificationTime").alias("mtime"))

@@ -65,11 +65,11 @@ def ship_package(spark: SparkSession, root: str) -> None:
     context._folioframe_shipped = True
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a parquet copy in the shared folder; survives a lost executor."""
+def materialize(df: DataFrame, label: str, partition_by: list | None = None) -> DataFrame:
+    """Cut lineage with a parquet copy in the shared folder, in a folder per value of ``partition_by``; survives a lost executor."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioframe.operators import dense as D
 from folioframe.operators import fusion as U
 from folioframe.operators import select as P
+from folioframe.operators import skew as K
 from folioframe.operators.lexical import bm25_search, bm25_search_eval, lexical_index
 from folioframe.plans import search as X
 
@@ -52,8 +53,7 @@ def test_dense_paths_agree_with_numpy(spark):
     dv = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(docs)] + [(999, None)], "chunk_id long, embedding array<float>").repartition(5)
     qv = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(qs)], "query_id long, embedding array<float>")
     a = D.dense_search(dv, qv, 6).orderBy("query_id", "rank").collect()
-    b = D.blocked(dv.filter("embedding IS NOT NULL"), qv, 6, "chunk_id", "embedding", "query_id", "embedding", 1e-12,
-                  block_queries=3, block_docs=40).orderBy("query_id", "rank").collect()
+    b = D.dense_search(dv, qv, 6, wave_bytes=3 * 8 * 8).orderBy("query_id", "rank").collect()     # waves of three queries
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
     d64, q64 = docs.astype("float64"), qs.astype("float64")
     cos = np.round(q64 @ d64.T / (np.linalg.norm(q64, axis=1)[:, None] * np.linalg.norm(d64, axis=1)), 6)
@@ -62,6 +62,34 @@ def test_dense_paths_agree_with_numpy(spark):
         assert [r.doc_id for r in a if r.query_id == q] == want
 
 
+def test_cells_find_nearly_all_neighbours(spark, sf_dir):
+    vectors = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
+    queries = vectors.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.doc_id) for r in D.dense_search(vectors, queries, 20, id_col="vec_id").collect()}
+    index = D.build_cells(vectors, id_col="vec_id")
+    found = {(r.query_id, r.doc_id) for r in D.cell_search(index, queries, 20).collect()}
+    recall = len(found & exact) / len(exact)
+    print("recall", recall, "cells", len(index.centres), "probes", index.probes)
+    assert recall >= 0.9
+    # all cells probed: the exact result
+    every = D.cell_search(index, queries, 20, probes=len(index.centres))
+    assert {(r.query_id, r.doc_id) for r in every.collect()} == exact
+    assert index.table.count() == vectors.count()
+
+
+def test_worker_holds_a_bounded_best(spark):
+    rng = np.random.default_rng(3)
+    best, seen = D.Best(5, 3), []
+    for _ in range(40):
+        scores, ids = rng.integers(0, 6, (5, 8)) / 5, rng.integers(0, 10 ** 6, 8)
+        best.offer(0, scores, ids)
+        seen.append((scores, ids))
+        assert len(best.rows[0]) <= 15
+    for q in range(5):
+        want = sorted((-s[q, i], ids[i]) for s, ids in seen for i in range(8))[:3]
+        assert [(-v, i) for s, v, i in zip(*best.rows) if s == q] == want
+
+
 def leg(spark, rows):
     return spark.createDataFrame(rows, "query_id long, leg string, doc_id string, score double, rank int")
 
@@ -98,6 +126,26 @@ def test_token_budget_is_spent_exactly(spark):
     assert [r.context_truncated for r in rows] == [False, True] and sum(r.context_tokens for r in rows) <= 40
 
 
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("x", None, "c"), ("x", 3, "d")], "query_id string, rank int, content string")
+    assert P.pack_token_budget(df, 40).count() == 4
+
+
+@pytest.mark.parametrize("share", [0.0, 0.9])
+def test_ranks_by_range(spark, share):
+    rng = np.random.default_rng(5)
+    rows = [("hot" if rng.random() < share else None if i % 11 == 0 else f"k{i % 7}", int(rng.integers(0, 50)), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "key string, v long, id long").repartition(6)
+    got = {r.id: r.n for r in K.rank_by_range(df, ["key"], [F.col("v").desc(), F.col("id")], "n").collect()}
+    for key in {r[0] for r in rows}:
+        order = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
+    whole = sorted(rows, key=lambda r: (-r[1], r[2]))
+    for first, size in ((0, 7), (1_234, 30), (2_990, 50), (5_000, 5)):
+        page = K.page_by_range(df, [F.col("v").desc(), F.col("id")], first, size).collect()
+        assert sorted(r.id for r in page) == sorted(r[2] for r in whole[first:first + size])
+
+
 def test_evidence_gate(spark):
     q = spark.createDataFrame([(i,) for i in range(1, 6)], "query_id long")
     rows = spark.createDataFrame([(1, "x", "p", .8), (2, "x", "p", .1), (3, " ", "p", .9), (4, "x", None, None)],
