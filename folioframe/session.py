@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import operator
 import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 # Rows a side may hold before it is no longer broadcast.
 BROADCAST_ROWS = 500_000
+# ... and their bytes
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(master: str = "local[8]", app: str = "folioframe",
@@ -43,8 +48,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         master = spark.conf.get("spark.master", "")
         if master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting cannot be changed in a running session, so the folder is remembered here
+        context = spark.sparkContext
+        root = context.__dict__.setdefault("_folioframe_folder", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context._folioframe_folder = root
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -82,11 +89,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` is proven to hold at most ``max_rows`` rows (scans no further)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _width(kind: DataType) -> int:
+    """Bytes of a value of fixed size, or of one of an array's items."""
+    if isinstance(kind, StructType):
+        return 8 + sum(_width(f.dataType) for f in kind.fields)
+    return 24 if isinstance(kind, (StringType, BinaryType, ArrayType, MapType)) else 8
+
+
+def _bytes(name: str, kind: DataType) -> Column:
+    """Bytes of a column's value: texts and arrays by their length."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 8
+    if isinstance(kind, (ArrayType, MapType)):
+        items = _width(kind.elementType) if isinstance(kind, ArrayType) else _width(kind.keyType) + _width(kind.valueType)
+        return F.greatest(F.size(col), F.lit(0)) * items + 8
+    return F.lit(_width(kind))
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` is proven to hold at most ``max_rows`` rows of about ``max_bytes`` together (scans no further)."""
+    size = reduce(operator.add, [_bytes(f.name, f.dataType).cast("long") for f in df.schema.fields])
+    rows, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and total <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after the row count was checked; otherwise leave the plan to AQE."""
+    """Hint a broadcast only after rows and bytes were checked; otherwise leave the plan to AQE."""
     return F.broadcast(df) if fits(df, max_rows) else df
