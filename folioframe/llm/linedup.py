@@ -2,18 +2,19 @@
 
 A line's tokens are its distinct words (split at ASCII white space, A-Z in lower case). Two lines match if the Jaccard
 similarity of their token sets is at least ``NUMERATOR / DENOMINATOR``. A line is removed if any line that comes earlier,
-by (id, line number), matches it. Lines with fewer than ``MIN_TOKENS`` tokens always stay.
+by (id, line number), matches it. Lines without a word always stay.
 
 - A first pass counts all tokens in a table of fixed size (2 ** SKETCH_BITS hashed counters). The counters give a global
   order of tokens, rarest first; any global order is right for the filters, a rough one only costs candidates.
 - A second pass gives each line its class (the token set) and its prefix tokens in that order.
 - Classes meet in the lists of their prefix tokens only: matching sets of n tokens share one of the first
-  n - ceil(t n) + 1. Lists are joined with the length filter, the positional filter and a filter on 64 parity marks of the
+  n - ceil(t n) + 1. Sets of up to three tokens match no other set, so they are in no list. Lists are joined with the length filter, the positional filter and a filter on 64 parity marks of the
   sets, all of which keep every match. Candidates are verified on the whole sets, which are read from the texts again.
 - Equal lines are never compared with each other: a class stands at its first line, and its other lines go. Whether the
   first line goes too, only takes one earlier class that matches. So in groups of lines that all match each other, pairs
   are not made: classes are first compared with the earliest class that shares their smallest or largest token hash,
-  and only those that this does not settle look for earlier classes in the lists.
+  and only those that this does not settle look for earlier classes in the lists. One match settles a class, so candidates are
+  verified a single one of each class at a time for ``ROUNDS`` rounds, and all others only for what is still open.
 
 Words stand as 64-bit hashes (32 bits in the lists) and classes as 64-bit hashes of these. Removed lines are joined to the documents by id and
 hash of the text; they are broadcast if they are few, so texts are shuffled only where much is removed.
@@ -31,18 +32,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
 from .common import pieces, text_sizes
 
 NUMERATOR, DENOMINATOR = 4, 5
-MIN_TOKENS = 3
+# sets up to this size match equal sets only
+ALONE = (DENOMINATOR - 1) // (DENOMINATOR - NUMERATOR) - 1
+ROUNDS = 2
 SKETCH_BITS = 20
 CHUNK_BITS = 14
 # classes that a task remembers so as to write their prefix once
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+# bytes of text that a worker splits into words at a time
+SPLIT_CHARS = 600_000
 
 
 def _numbered(texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
@@ -55,7 +60,7 @@ def _numbered(texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
             continue
         for k, line in enumerate(text.encode().lower().split(b"\n")):
             found = line.split()
-            if len(found) >= MIN_TOKENS:
+            if found:
                 words += found
                 sizes.append(len(found))
                 places.append((t, k))
@@ -133,11 +138,11 @@ def prefix_length(n: int) -> int:
 
 
 def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of enough tokens: (id, body, line, class, n, marks, ends, prefix).
+    """One row per line with a token: (id, body, line, class, n, marks, ends, prefix).
 
     ``marks`` has a bit for each token, flipped by each that falls on it, so two sets differ in at least as many tokens as
     bits. ``ends`` has 32 bits of the smallest and the largest token, ``prefix`` 32 bits of each prefix token; both are
-    null where the task has given this class before.
+    null where the task has given this class before, and for sets that match no other.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("body"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -149,11 +154,11 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(2)
-            for lo, hi in pieces(text_sizes(texts)):
+            for lo, hi in pieces(text_sizes(texts), SPLIT_CHARS):
                 part = batch.slice(lo, hi - lo)
                 places, token, ends = _sorted_lines(texts.slice(lo, hi - lo).to_pylist(), count)
                 sizes = np.diff(ends, prepend=0)
-                chosen = np.flatnonzero(sizes >= MIN_TOKENS).tolist()
+                chosen = np.flatnonzero(sizes).tolist()
                 if not chosen:
                     continue
                 heads, place = (ends - sizes)[sizes > 0], np.cumsum(sizes > 0)[chosen] - 1
@@ -164,7 +169,7 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
                     c = xxhash.xxh64_intdigest(raw[8 * (end - n):8 * end])
                     classes.append(c)
                     k = 0
-                    if c not in seen:
+                    if n > ALONE and c not in seen:
                         seen.add(c)
                         k = prefix_length(n)
                         taken.append(np.arange(end - n, end - n + k))
@@ -185,26 +190,31 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, schema)
 
 
-def token_sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(class, tokens) of the lines named in ``needed`` (id, body, lines of (line, class)), read from the texts once more."""
-    body = F.xxhash64(F.col(f"`{text_col}`"))
-    asked = needed.withColumnsRenamed({"id": "__id", "body": "__b", "lines": "__lines"})
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(broadcast_if_small(asked), F.col("id").eqNullSafe(F.col("__id")) & (F.col("body") == F.col("__b"))).select("text", "__lines")
+def pair_sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, class, tokens): both sets of each pair, read from the texts once more.
+
+    ``needed`` names the lines: (id, body, lines of (line, class, a, b)).
+    """
+    asked = needed.withColumnsRenamed({"id": "asked_id", "body": "asked_body"})
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("body"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(broadcast_if_small(asked), F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("body") == F.col("asked_body"))).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in pieces(text_sizes(batch.column(0))):
+            for lo, hi in pieces(text_sizes(batch.column(0)), SPLIT_CHARS):
                 part = batch.slice(lo, hi - lo)
-                classes, sets = [], []
+                out, sets = [], []
                 for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = text.encode().lower().split(b"\n")
+                    found, known = text.encode().lower().split(b"\n"), {}
                     for w in wanted:
-                        classes.append(w["class"])
-                        sets.append(_hashes(list(set(found[w["line"]].split()))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
+                        if w["line"] not in known:
+                            known[w["line"]] = _hashes(list(set(found[w["line"]].split()))).view(np.int64)
+                        out.append((w["a"], w["b"], w["class"]))
+                        sets.append(known[w["line"]])
+                cols = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.list_(pa.int64()))], names=["a", "b", "class", "tokens"])
 
-    return rows.mapInArrow(run, "class long, tokens array<long>")
+    return rows.mapInArrow(run, "a long, b long, class long, tokens array<long>")
 
 
 def _place(side: str):
@@ -220,17 +230,16 @@ def _alike():
 
 def near_ends(classes: DataFrame) -> DataFrame:
     """Pairs (a, b): class b and the earliest class a that shares its smallest, or its largest, token hash."""
-    rows = classes.select("id", "line", "class", "n", "marks", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.get("ends", F.lit(0)).alias("token")),
-                                                                                 F.struct(F.lit(1).alias("end"), F.get("ends", F.lit(1)).alias("token")))).alias("key"))
-    first = F.min(F.struct("id", "line", "class", "n", "marks")).over(Window.partitionBy("key"))
-    rows = rows.select(F.struct("id", "line", "class", "n", "marks").alias("b"), first.alias("a"))
+    rows = classes.where("ends IS NOT NULL").select("id", "line", "class", "n", "marks", F.posexplode("ends").alias("end", "token"))
+    firsts = rows.groupBy("end", "token").agg(F.min(F.struct("id", "line", "class", "n", "marks")).alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
+    rows = rows.select("end", "token", F.struct("id", "line", "class", "n", "marks").alias("b")).join(broadcast_if_small(firsts), ["end", "token"])
     return rows.where((_place("a") < _place("b")) & _alike()).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
 def in_lists(classes: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs (a, b) of a class b that is not settled and an earlier class a that meets it in a list and passes all filters."""
     t, d = NUMERATOR, DENOMINATOR
-    marked = classes.join(broadcast_if_small(settled.select("class", F.lit(True).alias("done"))), "class", "left")
+    marked = classes.where("prefix IS NOT NULL").join(broadcast_if_small(settled.select("class", F.lit(True).alias("done"))), "class", "left")
     # place in the prefix, and whether the class is open, in one number: both sides need it, so they read one exchange
     posted = marked.select("id", "line", "class", "n", "marks", F.col("done").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("id", "line", "class", "n", "marks", "token", (F.col("pos") * 2 + F.col("open")).alias("spot"))
@@ -242,22 +251,30 @@ def in_lists(classes: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
-    """(class): the b of all ``pairs`` whose whole token sets match."""
+    """(class): the b of all ``pairs`` whose whole token sets match one of their a.
+
+    One match is enough, so a single candidate of each b is looked at per round, and all that are left only at the end.
+    """
     t, d = NUMERATOR, DENOMINATOR
     pairs = materialize(pairs, f"{label}-candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = asked.join(classes.select("class", "id", "line", "body"), "class").groupBy("id", "body").agg(F.collect_list(F.struct("line", "class")).alias("lines"))
-    sets = materialize(token_sets(df, materialize(needed, f"{label}-needed"), id_col, text_col).dropDuplicates(["class"]), f"{label}-sets")
+    places = classes.select("class", "id", "line", "body")
 
     def hold(some: DataFrame, name: str) -> DataFrame:
-        both = some.join(sets.withColumnsRenamed({"class": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "tokens": "y"}), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return materialize(both.where((t + d) * shared >= t * (F.size("x") + F.size("y"))).select(F.col("b").alias("class")).distinct(), f"{label}-{name}")
-
-    # one match is enough: a single candidate of each b comes first, all others only for those that it does not settle
-    settled = hold(pairs.groupBy("b").agg(F.min("a").alias("a")), "one")
-    rest = pairs.join(broadcast_if_small(settled.select(F.col("class").alias("b"))), "b", "left_anti")
-    return settled.union(hold(rest, "others"))
+        some = materialize(some, f"{label}-{name}-asked")
+        sides = some.select("a", "b", F.col("a").alias("class")).union(some.select("a", "b", F.col("b").alias("class")))
+        needed = sides.join(places, "class").groupBy("id", "body").agg(F.collect_list(F.struct("line", "class", "a", "b")).alias("lines"))
+        sets = pair_sets(df, materialize(needed, f"{label}-{name}-needed"), id_col, text_col)
+        # a pair's two sets meet in one shuffle; the minimum is over copies of a document
+        both = sets.groupBy("a", "b").agg(F.min(F.when(F.col("class") == F.col("a"), F.col("tokens"))).alias("x"), F.min(F.when(F.col("class") == F.col("b"), F.col("tokens"))).alias("y"))
+        match = (t + d) * F.size(F.array_intersect("x", "y")) >= t * (F.size("x") + F.size("y"))
+        return materialize(both.where(match).select(F.col("b").alias("class")).distinct(), f"{label}-{name}")
+
+    settled = None
+    for turn in range(ROUNDS):
+        found = hold(pairs.groupBy("b").agg((F.max if turn % 2 else F.min)("a").alias("a")), f"turn{turn}")
+        settled = found if settled is None else settled.union(found)
+        pairs = materialize(pairs.join(broadcast_if_small(found.select(F.col("class").alias("b"))), "b", "left_anti"), f"{label}-left")
+    return settled.union(hold(pairs, "rest"))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "linedup") -> DataFrame:
@@ -283,16 +300,16 @@ def _without(lines_col, gone):
 
 def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "linedup", counts: bool = False) -> DataFrame:
     """``df`` with the later matching lines taken out of the text column; with ``counts`` also ``__lines`` and ``__gone``."""
-    gone = materialize(removed(df, id_col, text_col, label), f"{label}-gone").withColumnsRenamed({"id": "__id", "body": "__b", "gone": "__g"})
-    names = df.columns
-    rows = df.withColumn("__body", F.xxhash64(F.col(f"`{text_col}`")))
-    rows = rows.join(broadcast_if_small(gone), rows[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__b")), "left")
-    text = F.col(f"`{text_col}`")
-    parts = F.split(text, "\n", -1)
-    clean = F.when(F.col("__g").isNull(), text).otherwise(_without(parts, F.col("__g")))
-    more = [F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("__lines"),
-            F.coalesce(F.size("__g"), F.lit(0)).cast("long").alias("__gone")] if counts else []
-    return rows.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *more)
+    gone = materialize(removed(df, id_col, text_col, label), f"{label}-gone").withColumnsRenamed({"id": "gone_id", "body": "gone_body"})
+    # the row is one struct beside names of our own, so any name may be its
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
+                     F.xxhash64(F.col(f"`{text_col}`")).alias("body"))
+    rows = rows.join(broadcast_if_small(gone), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("body") == F.col("gone_body")), "left")
+    parts = F.split("text", "\n", -1)
+    clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(parts, F.col("gone")))
+    more = [F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("__lines"),
+            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone")] if counts else []
+    return rows.select(*[clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns], *more)
 
 
 def oracle() -> str:
@@ -303,7 +320,7 @@ WITH split AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text <> ''),
 worded AS (
   SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(translate(body, '{up}', '{low}'), '[^\\x20\\x09-\\x0D]+'))) AS words FROM split),
-named AS (SELECT doc_id, line, words, len(words) AS n FROM worded WHERE len(words) >= {MIN_TOKENS}),
+named AS (SELECT doc_id, line, words, len(words) AS n FROM worded WHERE len(words) > 0),
 classes AS (SELECT words, any_value(n) AS n, min((doc_id, line)) AS first, row_number() OVER () AS c FROM named GROUP BY words),
 tokens AS (SELECT c, n, unnest(words) AS w FROM classes),
 df AS (SELECT w, count(*) AS f FROM tokens GROUP BY w),

@@ -25,7 +25,7 @@ def make_docs(spark):
 def odd_docs(spark):
     """Nulls, empty and long texts, ties, repeated rows, columns whose names the operators use themselves."""
     long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
-    names = ["n", "tokens", "text_md5", "__gone", "h", "class", "key", "fp", "block", "lk", "stratum", "id", "line"]
+    names = ["n", "tokens", "text_md5", "__gone", "h", "class", "key", "fp", "block", "lk", "stratum", "id", "line", "__body", "__g", "__id", "__b", "__key", "__h", "row", "text "]
     schema = StructType([*DOCS.fields, *[StructField(c, LongType() if i % 2 else DateType()) for i, c in enumerate(names)]])
     base = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "  \n \t\n", None, None), (4, long, "en", "a"), (5, "same text here twice", "en", "b"),
             (5, "same text here twice", "en", "b"), (6, "same text here twice", None, "b"), (None, "without an id at all", "en", None),

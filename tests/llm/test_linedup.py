@@ -17,7 +17,7 @@ def brute(rows):
         kept = []
         for line in text.split("\n"):
             t = tokens(line)
-            if len(t) >= linedup.MIN_TOKENS:
+            if t:
                 if any(5 * len(t & s) >= 4 * len(t | s) for s in seen):
                     seen.append(t)
                     continue
