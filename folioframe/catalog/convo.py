@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import convo as C
+from ..operators import grams as G
 from .data import MESSAGES, WS, messages, sql_estimate, sql_squash
 from .registry import query
 
@@ -60,6 +61,20 @@ def cv4(t):
     return C.search_sessions(sessions(t), messages(t), "MENT", 20).select("session_id", "title", "message_count", "matched_message_id")
 
 
+# pieces of the questions, some of two symbols, looked up in all messages at once
+NEEDLES = """needles AS (SELECT item_id AS search_id, substr(text, 3, 7) AS needle FROM benchmark UNION ALL SELECT item_id + 1000000, substr(text, 5, 2) FROM benchmark
+  UNION ALL SELECT item_id + 2000000, upper(substr(text, 10, 4)) FROM benchmark)"""
+
+
+@query("cv4_gram_search", f"""WITH {NEEDLES} SELECT search_id, conv_id * 1000 + turn AS id FROM needles JOIN conversations c
+  ON contains(lower(replace(c.text, 'ß', 'ss')), lower(replace(needle, 'ß', 'ss'))) WHERE needle <> ''""")
+def cv4g(t):
+    rows = messages(t).select("id", "content")
+    piece = lambda add, first, n: t.benchmark.select((F.col("item_id") + add).alias("search_id"), F.substring("text", first, n).alias("needle"))
+    needles = piece(0, 3, 7).unionByName(piece(1_000_000, 5, 2)).unionByName(piece(2_000_000, 10, 4).withColumn("needle", F.upper("needle")))
+    return G.find_containing(G.build_grams(rows, "id", "content"), rows, needles, "id", "content")
+
+
 @query("cv5_session_messages", f"""WITH {MESSAGES} SELECT session_id, id, role, o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1995-01-01' AND o_orderkey IS NOT NULL AS confirmation_required,
   CASE WHEN o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1995-01-01' THEN o_orderpriority END AS preview FROM (SELECT *, CASE WHEN role = 'assistant' THEN session_id + id % 1000 END AS a FROM msgs) JOIN orders ON o_orderkey = a
 UNION ALL SELECT session_id, id, role, false, NULL FROM (SELECT *, CASE WHEN role = 'assistant' THEN session_id + id % 1000 END AS a FROM msgs) WHERE a IS NULL OR a NOT IN (SELECT o_orderkey FROM orders)""")

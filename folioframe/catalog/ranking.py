@@ -390,6 +390,13 @@ def rt30(t):
     return P.filter_for_summary(rows).select("query_id", "doc_id")
 
 
+@query("rt30_summary_text", """SELECT o_custkey AS query_id, string_agg('order ' || o_orderkey || ' ' || o_orderpriority, chr(10) || chr(10) ORDER BY o_orderkey) AS text FROM orders WHERE o_totalprice >= 175000 GROUP BY 1""")
+def rt30s(t):
+    rows = t.orders.filter("o_totalprice >= 175000").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rank"),
+                                                            F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority").alias("content"))
+    return P.summary_text(rows)
+
+
 GATE_ROWS = """SELECT l_orderkey AS query_id, CASE WHEN l_returnflag = 'N' THEN '  ' ELSE 'x' END AS content, l_partkey AS page_id,
   CASE WHEN l_linestatus = 'F' THEN l_discount * 6 END AS rerank_score, CASE WHEN l_quantity > 25 THEN l_tax * 6 END AS score FROM lineitem"""
 
