@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import WS, casefold, strip
 from ..functions.text import has_sensitive_value, stable_id
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from .skew import rank_by_range
 
 # Fixed values
@@ -110,18 +110,11 @@ def evidence_metrics(retrieved: DataFrame, evidence: DataFrame, queries: DataFra
 
 # --- latency ------------------------------------------------------------------------------
 
-def nearest_rank(df: DataFrame, key: str, value: str, percentiles: dict, accuracy: int = 10_000) -> DataFrame:
-    """Exact nearest-rank percentiles without bringing a group to one task.
-
-    An approximate pass brackets each wanted rank between two values (its rank error is at most one
-    part in ``accuracy``, the bracket is twice as wide). The rows below a bracket are only counted,
-    those inside are counted per distinct value, and only these counts are put in order.
-    """
-    names, slack = list(percentiles), 2.0 / accuracy
+def _inside_brackets(rows: DataFrame, key: str, value: str, percentiles: dict, accuracy: int, slack: float) -> DataFrame:
+    """(key, name, pos, v, _c): counts per distinct value inside each percentile's bracket, and of all below it as v NULL."""
+    names = list(percentiles)
     edges = [min(1.0, max(0.0, p + d)) for p in percentiles.values() for d in (-slack, slack)]
-    rows = df.filter(F.col(value).isNotNull())
-    approx = rows.groupBy(key).agg(F.count("*").alias("_n"), F.percentile_approx(
-        value, edges, accuracy).alias("_e"))
+    approx = rows.groupBy(key).agg(F.count("*").alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_e"))
     brackets = approx.select(key, F.explode(F.array(*[F.struct(
         F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(percentiles[n]) * F.col("_n"))).alias("pos"),
         F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")) for i, n in enumerate(names)])).alias("q")).select(
@@ -129,12 +122,33 @@ def nearest_rank(df: DataFrame, key: str, value: str, percentiles: dict, accurac
     # one bracket per key and percentile: rows are counted where they lie
     placed = rows.select(key, value).join(broadcast_if_small(brackets), key).filter(F.col(value) <= F.col("hi"))
     # everything below the bracket becomes one entry, so at most the bracket's values are ordered
-    inside = placed.groupBy(key, "name", "pos", F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v")).agg(
-        F.count("*").alias("_c"))
-    w = Window.partitionBy(key, "name").orderBy(F.col("v").asc_nulls_first())
-    reached = inside.withColumn("_upto", F.sum("_c").over(w)).filter(F.col("v").isNotNull() & (F.col("_upto") >= F.col("pos")))
-    picked = reached.groupBy(key, "name").agg(F.min("v").alias("v"))
-    return picked.groupBy(key).pivot("name", names).agg(F.first("v"))
+    return placed.groupBy(key, "name", "pos", F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v")).agg(F.count("*").alias("_c"))
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, percentiles: dict, accuracy: int = 10_000, widths: tuple = (2.0, 40.0)) -> DataFrame:
+    """Exact nearest-rank percentiles without bringing a group to one task.
+
+    An approximate pass brackets each wanted rank between two values (its rank error is at most one part in ``accuracy``,
+    the bracket is ``widths[0]`` times as wide to each side). The rows below a bracket are only counted, those inside are
+    counted per distinct value, and only these counts are put in order. Keys whose bracket misses a rank are repeated
+    with the next width, at last between their smallest and largest value.
+    """
+    rows, found = df.filter(F.col(value).isNotNull()), None
+    for slack in [*(w / accuracy for w in widths), 1.0]:
+        inside = materialize(_inside_brackets(rows, key, value, percentiles, accuracy, slack), "brackets")
+        held = inside.groupBy(key, "name").agg(F.first("pos").alias("pos"), F.sum("_c").alias("_all"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("_c"))), F.lit(0)).alias("_less"))
+        hit = (F.col("_less") < F.col("pos")) & (F.col("_all") >= F.col("pos"))
+        missed = held.groupBy(key).agg(F.count_if(hit).alias("_hits")).filter(F.col("_hits") < len(percentiles)).select(key)
+        w = Window.partitionBy(key, "name").orderBy(F.col("v").asc_nulls_first())
+        reached = inside.withColumn("_upto", F.sum("_c").over(w)).filter(F.col("v").isNotNull() & (F.col("_upto") >= F.col("pos")))
+        picked = reached.groupBy(key, "name").agg(F.min("v").alias("v"))
+        if not missed.limit(1).count():
+            found = picked if found is None else found.unionByName(picked)
+            break
+        good = picked.join(broadcast_if_small(missed), key, "left_anti")
+        found = good if found is None else found.unionByName(good)
+        rows = rows.join(broadcast_if_small(missed), key, "left_semi")
+    return found.groupBy(key).pivot("name", list(percentiles)).agg(F.first("v"))
 
 
 def latency_summary(runs: DataFrame, key: str = "method", value: str = "latency_ms") -> DataFrame:

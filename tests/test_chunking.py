@@ -118,3 +118,22 @@ def test_layout(spark):
     assert [b.markdown for b in blocks] == ["# Ti", "l0 l1 l2 l3", "## B"]
     cells = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, " b "), (1, 1, 0, "c")], "table_id int, row_no int, col_no int, text string")
     assert [r.line for r in render_markdown_table(cells).orderBy("row_no").collect()] == ["| a | b |\n| --- | --- |", "| c |  |"]
+
+
+def test_locating_is_linear_in_runs(spark):
+    import time
+    took = {}
+    for runs in (10_000, 100_000):
+        words = [f"word{i}" for i in range(runs)]
+        source = "  ".join(words)
+        at = [runs // 3, runs - 5]
+        pieces = [" ".join(words[i:i + 4]) for i in at]
+        df = spark.createDataFrame([(i, source, p, source.index(words[i]) - 40) for i, p in zip(at, pieces)], "i long, source string, piece string, hint int").coalesce(1)
+        located = df.select("i", C.locate_span(F.col("source"), F.col("piece"), F.col("hint")).alias("s"))
+        start = time.time()
+        got = {r.i: (r.s.start, r.s.end) for r in located.collect()}
+        took[runs] = time.time() - start
+        for i, p in zip(at, pieces):
+            a = source.index(f"{words[i]} ")
+            assert got[i] == (a, a + len("  ".join(words[i:i + 4])))
+    assert took[100_000] < 40 * max(took[10_000], 0.5), took

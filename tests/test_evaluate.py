@@ -49,3 +49,13 @@ def test_sliced_windows_equal_plain_ones(spark):
     for k, i, v in rows:
         count[k], total[k] = count.get(k, 0) + 1, total.get(k, 0) + v
         assert got[i] == count[k] and sums[i] == total[k]
+
+
+def test_missed_brackets_are_widened(spark):
+    rng = random.Random(9)
+    rows = [(f"k{i % 3}", float(rng.choice([rng.randint(0, 5000), 7, 7, 7]))) for i in range(6_000)] + [("one", 1.5), ("none", None)]
+    df = spark.createDataFrame(rows, "key string, v double").repartition(4)
+    got = {r.key: (r.p10, r.p95) for r in E.nearest_rank(df, "key", "v", {"p10": 0.10, "p95": 0.95}, accuracy=3, widths=(1e-9, 1e-8)).collect()}
+    for key in ("k0", "k1", "k2", "one"):
+        values = sorted(v for k, v in rows if k == key)
+        assert got[key] == tuple(values[max(1, math.ceil(p * len(values))) - 1] for p in (0.10, 0.95))
