@@ -172,4 +172,4 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return rows.select(id_col, *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
                        F.sha2(show(plain("base", None)), 256).alias("base_sha256"), show(every).alias("spans"),
-                       F.size("found").cast("long").alias("n_context"))
+                       F.size("found").cast("long").alias("n_context"), F.size(every).cast("long").alias("n_spans"))

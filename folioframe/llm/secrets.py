@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Candidates are maximal runs of 20 or more encoding symbols. Each gets the narrowest encoding that holds its symbols, and
-three statistics over that alphabet: chi-squared distance from uniform use, runs above and below the alphabet's middle,
-and serial correlation of neighbours. Each has a known law if the symbols are random, and another if they are ordinary
-text, whose symbol and neighbour frequencies are counted over the whole corpus. A candidate is reported if
+three statistics over that alphabet: chi-squared distance from uniform use, runs of one class of symbols (capitals, small letters,
+digits, signs), and serial correlation of neighbours. Each has a known law if the symbols are random, and another if they are
+ordinary text, whose symbol and neighbour frequencies are counted over the whole corpus outside of candidates, so that keys do not
+make up the law of text. Alphabets of capitals only take the law of text with its case folded. Text is taken to change class at
+least every twentieth symbol, as identifiers and paths do. A candidate is reported if
 
 - the battery does not reject randomness (each test at ``ALPHA / 3``), and
 - ordinary text is rejected: the three distances from its law, weighted by how far a random string of that length is
@@ -11,7 +13,7 @@ text, whose symbol and neighbour frequencies are counted over the whole corpus.
   Benjamini-Hochberg procedure at rate ``FDR``. P-values are rounded up to a fixed grid, so the procedure needs only
   counts per stratum and grid point, and is exact on the rounded values.
 
-Decimal strings are no candidates. Reported runs inside or across a fixed-pattern match add nothing and are left out.
+Decimal strings are no candidates: digits of ordinary numbers are as good as random. Reported runs inside or across a fixed-pattern match add nothing and are left out.
 
 Defined results: a null or empty text has no spans; repeated rows count as often as they occur and get equal results;
 an empty table gives an empty result; other columns are not read.
@@ -37,6 +39,7 @@ ALPHA = 1e-3
 FDR = 1e-3
 GRID_PER_DECADE = 8
 GRID_TOP = 400
+TEXT_CHANGES = 0.05
 
 # fixed patterns
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -86,16 +89,23 @@ class Battery:
 
     def __init__(self, alphabet: str, pairs: np.ndarray):
         at = [SYMBOLS.index(c) for c in alphabet]
+        if not set(alphabet) & set(LOWER):      # text is seldom in capitals: small letters stand for them
+            fold = [SYMBOLS.index(c.lower()) for c in SYMBOLS]
+            pairs = pairs + np.where(np.arange(len(SYMBOLS)) != fold, 1, 0)[:, None] * pairs[fold, :]
+            pairs = pairs + np.where(np.arange(len(SYMBOLS)) != fold, 1, 0)[None, :] * pairs[:, fold]
         table = pairs[np.ix_(at, at)] + 1e-3            # neighbours within the alphabet
         table = table / table.sum()
         use = (table.sum(axis=0) + table.sum(axis=1)) / 2
         self.size = len(alphabet)
         self.code = {c: i for i, c in enumerate(alphabet)}
         self.s2, self.s3 = float((use ** 2).sum()), float((use ** 3).sum())
-        half = np.arange(self.size) >= self.size / 2
-        self.change = float(table[np.ix_(half, ~half)].sum() + table[np.ix_(~half, half)].sum())
-        share = half.mean()
-        self.random_change = float(2 * share * (1 - share))
+        self.kind = np.array([0 if c in UPPER else 1 if c in LOWER else 2 if c in DIGITS else 3 for c in alphabet])
+        self.change = max(TEXT_CHANGES, float(table[self.kind[:, None] != self.kind[None, :]].sum()))
+        share = np.bincount(self.kind) / self.size
+        p2, p3 = float((share ** 2).sum()), float((share ** 3).sum())
+        self.random_change = 1 - p2
+        # neighbouring changes are not independent
+        self.change_spread = lambda n: (n - 1) * p2 * (1 - p2) + 2 * (n - 2) * (p3 - p2 * p2)
         x = np.arange(self.size)
         mean = float((use * x).sum())
         self.serial = float(((x - mean)[:, None] * (x - mean)[None, :] * table).sum() / ((use * (x - mean) ** 2).sum()))
@@ -104,8 +114,8 @@ class Battery:
         codes = np.array([self.code[c] for c in run])
         n = len(codes)
         chi = self.size / n * float((np.bincount(codes, minlength=self.size).astype(float) ** 2).sum()) - n
-        half = codes >= self.size / 2
-        runs = 1 + int((half[1:] != half[:-1]).sum())
+        kind = self.kind[codes]
+        runs = 1 + int((kind[1:] != kind[:-1]).sum())
         d = codes - codes.mean()
         spread = float((d * d).sum())
         return chi, runs, float((d[1:] * d[:-1]).sum()) / spread if spread else 1.0
@@ -114,7 +124,7 @@ class Battery:
         """(mean, deviation) of the three statistics for random symbols and for ordinary text."""
         k, s2, s3, c = self.size, self.s2, self.s3, self.change
         spread = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
-        random = [(k - 1, math.sqrt(2 * (k - 1) * (n - 1) / n)), (1 + (n - 1) * self.random_change, math.sqrt((n - 1) * self.random_change * (1 - self.random_change))),
+        random = [(k - 1, math.sqrt(2 * (k - 1) * (n - 1) / n)), (1 + (n - 1) * self.random_change, math.sqrt(max(self.change_spread(n), 1e-9))),
                   (-1 / n, 1 / math.sqrt(n))]
         text = [(k * (1 + (n - 1) * s2) - n, k / n * math.sqrt(max(spread, 1e-9))), (1 + (n - 1) * c, math.sqrt((n - 1) * c * (1 - c) + 1e-9)),
                 (self.serial - 1 / n, 1 / math.sqrt(n))]
@@ -169,7 +179,8 @@ def neighbour_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros((size + 1) ** 2, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and len(text) > 1:
+                text = RUN.sub(" ", text) if text else ""
+                if len(text) > 1:
                     codes = place[np.frombuffer(text.encode(), dtype=np.uint8)]
                     total += np.bincount(codes[:-1] * (size + 1) + codes[1:], minlength=len(total))
         used = np.nonzero(total)[0]

@@ -87,14 +87,17 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES) -> None:
     """Write ``df`` as Parquet, one folder ``shard=<bits>`` per shard, each written by one task (a shard is bounded)."""
     directory = pages(df, id_col, text_col, limit_bytes)
-    rows = df.withColumn("__h", hash_of(id_col, text_col))
+    # the row is one struct beside names of our own, so any name but that of the folders may be its
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), hash_of(id_col, text_col).alias("h"))
     for k, (bits, page) in enumerate(directory):
-        page = page.select(F.col("cell").alias("__cell"), F.struct("depth", "prefix").alias(f"__p{k}"))
-        rows = rows.join(broadcast_if_small(page), F.shiftright("__h", HASH_BITS - bits) == F.col("__cell"), "left").drop("__cell")
-    rows = rows.withColumn("__s", F.coalesce(*[F.col(f"__p{k}") for k in range(len(directory))]))
-    name = F.concat(F.lit("b"), F.when(F.col("__s.depth") == 0, "").otherwise(F.expr("lpad(bin(__s.prefix), __s.depth, '0')")))
-    rows = rows.withColumn("__shard", name).drop("__h", "__s", *[f"__p{k}" for k in range(len(directory))])
-    rows.repartition("__shard").write.partitionBy("__shard").parquet(path)
+        page = page.select("cell", F.struct("depth", "prefix").alias(f"p{k}"))
+        rows = rows.join(broadcast_if_small(page), F.shiftright("h", HASH_BITS - bits) == F.col("cell"), "left").drop("cell")
+    rows = rows.withColumn("s", F.coalesce(*[F.col(f"p{k}") for k in range(len(directory))]))
+    name = F.concat(F.lit("b"), F.when(F.col("s.depth") == 0, "").otherwise(F.expr("lpad(bin(s.prefix), s.depth, '0')")))
+    folder = "__shard"
+    while folder in df.columns:
+        folder += "_"
+    rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns], name.alias(folder)).repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def oracle(limit_bytes: int = LIMIT_BYTES, depth: int = 24) -> str:

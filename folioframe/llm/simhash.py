@@ -168,12 +168,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     text_key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     # an id for rows that have none, above all given ones
     ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), text_key.bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
-    rows = df.withColumn("__key", ids)
-    classes = near_duplicates(rows, "__key", text_col, max_bits, words, label)
+    # the row is one struct beside names of our own, so any name may be its
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), ids.alias("__key"), F.col(f"`{text_col}`").alias("text"))
+    classes = near_duplicates(rows, "__key", "text", max_bits, words, label)
     by_key = materialize(classes.groupBy("__key").agg(F.count("*").alias("__n"), F.min("component_id").alias("__c")), f"{label}-keys")
     go = by_key.where("__key <> __c or __n > 1").select("__key")
     again = by_key.where("__key = __c and __n > 1").select("__key")
     # only ids that go are joined: few where most documents stay, and then no text is shuffled
     plain = rows.join(broadcast_if_small(go), "__key", "left_anti")
     once = rows.join(broadcast_if_small(again), "__key", "left_semi").dropDuplicates(["__key"])
-    return plain.union(once).select(*[F.col(f"`{c}`") for c in df.columns])
+    return plain.union(once).select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -4,7 +4,7 @@ from folioframe.llm import bpe, mixing, quality
 from pyspark.sql import functions as F
 from test_linedup import brute as lines_brute
 from test_mixing import brute as mixing_brute
-from test_simhash import brute as simhash_brute
+from test_neardup import brute as groups_brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -26,8 +26,7 @@ def test_against_plain_stages(spark, sf_dir):
         elif name == "line_dedup":
             assert {r.doc_id: r.text for r in rows} == lines_brute([(i, r.text) for i, r in before.items()])
         elif name == "near_dedup":
-            want = simhash_brute([(i, r.text) for i, r in before.items()], corpus_pipeline.SHINGLE_WORDS)
-            assert {r.doc_id for r in rows} == {c for _, c in want.values()}
+            assert {r.doc_id for r in rows} == set(groups_brute([(i, r.text) for i, r in before.items()]).values())
         elif name == "mix_sources":
             total = sum(len(r.text.split()) for r in before.values())
             want, _ = mixing_brute([(i, r.text, r.source) for i, r in sorted(before.items())], corpus_pipeline.MIX_ENTROPY, corpus_pipeline.MIX_REPEATS,

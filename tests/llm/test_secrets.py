@@ -76,3 +76,30 @@ def test_odd_rows(odd_docs):
     assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if r.doc_id in (1, 2, 3))
     assert [r.n_hex for r in rows if r.doc_id == 8] == [1]
     assert secrets.report(odd_docs.where("false")).count() == 0
+
+
+def test_recall_by_encoding_and_length(spark, sf_dir, capsys):
+    """Random keys of every encoding inside the given documents; nothing else may be reported."""
+    rnd = random.Random(11)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    kinds = {"base62": secrets.SYMBOLS[:62], "base64": secrets.ENCODINGS["base64"], "lower": secrets.DIGITS + secrets.LOWER, "HEX": secrets.ENCODINGS["HEX"],
+             "base32": secrets.ENCODINGS["base32"], "base64url": secrets.ENCODINGS["base64url"]}
+    rows, planted, plain_docs = [(i, t) for i, t in enumerate(texts)], {}, len(texts)
+    for name, alphabet in kinds.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(10):
+                words = (texts[len(rows) % plain_docs] or "x").split(" ")
+                at, key = rnd.randint(0, len(words)), "".join(rnd.choice(alphabet) for _ in range(n))
+                planted[len(rows)] = (name, n, key)
+                rows.append((len(rows), " ".join([*words[:at], key, *words[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by_text = dict(rows)
+    got = {r.doc_id: {by_text[r.doc_id][s.start:s.end] for s in r.spans if s.kind == 3} for r in secrets.find(docs).collect()}
+    cells = {}
+    for i, (name, n, key) in planted.items():
+        cells.setdefault((name, n), []).append(any(key.strip("=") == g or (len(g) >= n - 2 and g in key) for g in got[i]))
+    table = {c: sum(v) / len(v) for c, v in cells.items()}
+    with capsys.disabled():
+        print({f"{k}/{n}": v for (k, n), v in table.items()}, "false:", sum(bool(got[i]) for i in range(plain_docs)))
+    assert all(v >= 0.9 for (_, n), v in table.items() if n >= 32)
+    assert sum(bool(got[i]) for i in range(plain_docs)) == 0
