@@ -13,8 +13,8 @@ by (id, line number), matches it. Lines without a word always stay.
 - Equal lines are never compared with each other: a class stands at its first line, and its other lines go. Whether the
   first line goes too, only takes one earlier class that matches. So in groups of lines that all match each other, pairs
   are not made: classes are first compared with the earliest class that shares their smallest or largest token hash,
-  and only those that this does not settle look for earlier classes in the lists. One match settles a class, so candidates are
-  verified a single one of each class at a time for ``ROUNDS`` rounds, and all others only for what is still open.
+  and only those that this does not settle look for earlier classes in the lists. Candidates pass a last filter on parity marks of
+  four bits a token before any set is read, and a single candidate of each class is verified before all others.
 
 Words stand as 64-bit hashes (32 bits in the lists) and classes as 64-bit hashes of these. Removed lines are joined to the documents by id and
 hash of the text; they are broadcast if they are few, so texts are shuffled only where much is removed.
@@ -41,7 +41,6 @@ from .common import pieces, text_sizes
 NUMERATOR, DENOMINATOR = 4, 5
 # sets up to this size match equal sets only
 ALONE = (DENOMINATOR - 1) // (DENOMINATOR - NUMERATOR) - 1
-ROUNDS = 2
 SKETCH_BITS = 20
 CHUNK_BITS = 14
 # classes that a task remembers so as to write their prefix once
@@ -137,16 +136,25 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
+def wide_marks(token: np.ndarray) -> np.ndarray:
+    """Words of marks, a bit flipped by each token that falls on it; half as many words follow by xor of the halves."""
+    words = 1
+    while 16 * words < len(token):
+        words *= 2
+    flipped = np.bincount((token & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line with a token: (id, body, line, class, n, marks, ends, prefix).
+    """One row per line with a token: (id, body, line, class, n, marks, ends, prefix, wide).
 
     ``marks`` has a bit for each token, flipped by each that falls on it, so two sets differ in at least as many tokens as
-    bits. ``ends`` has 32 bits of the smallest and the largest token, ``prefix`` 32 bits of each prefix token; both are
-    null where the task has given this class before, and for sets that match no other.
+    bits. ``ends`` has 32 bits of the smallest and the largest token, ``prefix`` 32 bits of each prefix token, ``wide`` four
+    marks a token or more, a power of two of words; all are null where the task has given this class before, and for sets that match no other.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("body"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, body long, line int, class long, n int, marks long, ends array<int>, prefix array<int>"
+    schema = f"id {kind}, body long, line int, class long, n int, marks long, ends array<int>, prefix array<int>, wide array<long>"
     shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +172,18 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
                 heads, place = (ends - sizes)[sizes > 0], np.cumsum(sizes > 0)[chosen] - 1
                 marks = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), heads)[place].view(np.int64)
                 both = np.stack([np.minimum.reduceat(token, heads)[place], np.maximum.reduceat(token, heads)[place]], axis=1)
-                raw, classes, taken, offsets = token.tobytes(), [], [], [0]
+                raw, classes, taken, offsets, wide = token.tobytes(), [], [], [0], []
                 for end, n in zip(ends[chosen].tolist(), sizes[chosen].tolist()):
                     c = xxhash.xxh64_intdigest(raw[8 * (end - n):8 * end])
                     classes.append(c)
-                    k = 0
+                    k, marked = 0, None
                     if n > ALONE and c not in seen:
                         seen.add(c)
                         k = prefix_length(n)
                         taken.append(np.arange(end - n, end - n + k))
+                        marked = wide_marks(token[end - n:end])
                     offsets.append(offsets[-1] + k)
+                    wide.append(marked)
                 if len(seen) > REMEMBERED:
                     seen = set()
                 short = (token[np.concatenate(taken)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if taken else np.zeros(0, dtype=np.int32)
@@ -184,37 +194,32 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
                 doc = pa.array([places[k][0] for k in chosen], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(doc), part.column(1).take(doc), pa.array([places[k][1] for k in chosen], pa.int32()),
-                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes[chosen].astype(np.int32)), pa.array(marks), limits, prefix],
-                    names=["id", "body", "line", "class", "n", "marks", "ends", "prefix"])
+                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes[chosen].astype(np.int32)), pa.array(marks), limits, prefix,
+                     pa.array(wide, pa.list_(pa.int64()))], names=["id", "body", "line", "class", "n", "marks", "ends", "prefix", "wide"])
 
     return rows.mapInArrow(run, schema)
 
 
-def pair_sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, class, tokens): both sets of each pair, read from the texts once more.
-
-    ``needed`` names the lines: (id, body, lines of (line, class, a, b)).
-    """
-    asked = needed.withColumnsRenamed({"id": "asked_id", "body": "asked_body"})
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("body"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(broadcast_if_small(asked), F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("body") == F.col("asked_body"))).select("text", "lines")
+def token_sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(class, tokens) of the lines named in ``needed`` (id, body, lines of (line, class)), read from the texts once more."""
+    body = F.xxhash64(F.col(f"`{text_col}`"))
+    asked = needed.withColumnsRenamed({"id": "asked_id", "body": "asked_body", "lines": "asked_lines"})
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(broadcast_if_small(asked), F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("body") == F.col("asked_body"))).select("text", "asked_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in pieces(text_sizes(batch.column(0)), SPLIT_CHARS):
                 part = batch.slice(lo, hi - lo)
-                out, sets = [], []
+                classes, sets = [], []
                 for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found, known = text.encode().lower().split(b"\n"), {}
+                    found = text.encode().lower().split(b"\n")
                     for w in wanted:
-                        if w["line"] not in known:
-                            known[w["line"]] = _hashes(list(set(found[w["line"]].split()))).view(np.int64)
-                        out.append((w["a"], w["b"], w["class"]))
-                        sets.append(known[w["line"]])
-                cols = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.list_(pa.int64()))], names=["a", "b", "class", "tokens"])
+                        classes.append(w["class"])
+                        sets.append(_hashes(list(set(found[w["line"]].split()))).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
 
-    return rows.mapInArrow(run, "a long, b long, class long, tokens array<long>")
+    return rows.mapInArrow(run, "class long, tokens array<long>")
 
 
 def _place(side: str):
@@ -250,31 +255,36 @@ def in_lists(classes: DataFrame, settled: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
-def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
-    """(class): the b of all ``pairs`` whose whole token sets match one of their a.
+def close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose wide marks leave a match possible; long sets fill the 64 marks of the lists, these grow with the set."""
+    t, d = NUMERATOR, DENOMINATOR
+    side = lambda name: classes.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("wide").alias(f"w_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # sets of a match differ by a quarter at most, so one has as many words of marks as the other, or twice as many
+    half = lambda w: F.zip_with(F.slice(w, F.lit(1), F.shiftright(F.size(w), 1)), F.slice(w, F.shiftright(F.size(w), 1) + 1, F.shiftright(F.size(w), 1)), lambda x, y: x.bitwiseXOR(y))
+    a, b = F.col("w_a"), F.col("w_b")
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    bits = F.when(F.size(a) == F.size(b), apart(a, b)).when(F.size(a) > F.size(b), apart(half(a), b)).otherwise(apart(a, half(b)))
+    return both.where((t + d) * bits <= (d - t) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
-    One match is enough, so a single candidate of each b is looked at per round, and all that are left only at the end.
-    """
+
+def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
+    """(class): the b of all ``pairs`` whose whole token sets match."""
     t, d = NUMERATOR, DENOMINATOR
-    pairs = materialize(pairs, f"{label}-candidates")
-    places = classes.select("class", "id", "line", "body")
+    pairs = materialize(close_enough(pairs, classes), f"{label}-candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    needed = asked.join(classes.select("class", "id", "line", "body"), "class").groupBy("id", "body").agg(F.collect_list(F.struct("line", "class")).alias("lines"))
+    sets = materialize(token_sets(df, materialize(needed, f"{label}-needed"), id_col, text_col).dropDuplicates(["class"]), f"{label}-sets")
 
     def hold(some: DataFrame, name: str) -> DataFrame:
-        some = materialize(some, f"{label}-{name}-asked")
-        sides = some.select("a", "b", F.col("a").alias("class")).union(some.select("a", "b", F.col("b").alias("class")))
-        needed = sides.join(places, "class").groupBy("id", "body").agg(F.collect_list(F.struct("line", "class", "a", "b")).alias("lines"))
-        sets = pair_sets(df, materialize(needed, f"{label}-{name}-needed"), id_col, text_col)
-        # a pair's two sets meet in one shuffle; the minimum is over copies of a document
-        both = sets.groupBy("a", "b").agg(F.min(F.when(F.col("class") == F.col("a"), F.col("tokens"))).alias("x"), F.min(F.when(F.col("class") == F.col("b"), F.col("tokens"))).alias("y"))
-        match = (t + d) * F.size(F.array_intersect("x", "y")) >= t * (F.size("x") + F.size("y"))
-        return materialize(both.where(match).select(F.col("b").alias("class")).distinct(), f"{label}-{name}")
-
-    settled = None
-    for turn in range(ROUNDS):
-        found = hold(pairs.groupBy("b").agg((F.max if turn % 2 else F.min)("a").alias("a")), f"turn{turn}")
-        settled = found if settled is None else settled.union(found)
-        pairs = materialize(pairs.join(broadcast_if_small(found.select(F.col("class").alias("b"))), "b", "left_anti"), f"{label}-left")
-    return settled.union(hold(pairs, "rest"))
+        both = some.join(sets.withColumnsRenamed({"class": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "tokens": "y"}), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return materialize(both.where((t + d) * shared >= t * (F.size("x") + F.size("y"))).select(F.col("b").alias("class")).distinct(), f"{label}-{name}")
+
+    # one match is enough: a single candidate of each b comes first, all others only for those that it does not settle
+    settled = hold(pairs.groupBy("b").agg(F.min("a").alias("a")), "one")
+    rest = pairs.join(broadcast_if_small(settled.select(F.col("class").alias("b"))), "b", "left_anti")
+    return settled.union(hold(rest, "others"))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "linedup") -> DataFrame:
@@ -282,8 +292,8 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     counts = token_counts(df, text_col)
     table = materialize(lines(df, counts, id_col, text_col), f"{label}-lines")
     classes = table.groupBy("class").agg(F.min(F.struct("id", "line", "body")).alias("first"), F.count("*").alias("many"), F.max("n").alias("n"),
-                                         F.max("marks").alias("marks"), F.max("ends").alias("ends"), F.max("prefix").alias("prefix"))
-    classes = materialize(classes.select("class", "first.*", "many", "n", "marks", "ends", "prefix"), f"{label}-classes")
+                                         F.max("marks").alias("marks"), F.max("ends").alias("ends"), F.max("prefix").alias("prefix"), F.max("wide").alias("wide"))
+    classes = materialize(classes.select("class", "first.*", "many", "n", "marks", "ends", "prefix", "wide"), f"{label}-classes")
     settled = verified(df, classes, near_ends(classes), id_col, text_col, f"{label}-ends")
     settled = settled.union(verified(df, classes, in_lists(classes, settled), id_col, text_col, f"{label}-lists"))
     # a class whose first line goes, or that has more lines than one
