@@ -190,6 +190,18 @@ def ix12(t):
     return I.validate_vectors(t.embeddings.select("vec_id", broken.alias("embedding")), "vec_id")
 
 
+@query("ix12_validate_batches", """WITH req AS (SELECT vec_id // 8 AS batch, count(*) AS n FROM embeddings WHERE vec_id // 8 % 11 <> 3 GROUP BY 1),
+ans AS (SELECT vec_id // 8 AS batch, vec_id % 8 + CASE WHEN vec_id % 29 = 0 THEN 1 ELSE 0 END AS i FROM embeddings WHERE NOT (label = 0 AND vec_id % 5 = 0)),
+per AS (SELECT batch, count(*) AS c, count(DISTINCT i) AS d, min(i) AS lo, max(i) AS hi FROM ans GROUP BY 1)
+SELECT batch, CASE WHEN n IS NULL THEN 'unknown' WHEN coalesce(c, 0) <> n THEN 'count' ELSE 'index' END AS problem FROM req FULL JOIN per USING (batch)
+WHERE n IS NULL OR coalesce(c, 0) <> n OR d <> n OR lo <> 0 OR hi <> n - 1""")
+def ix12b(t):
+    batch = F.floor(F.col("vec_id") / 8).alias("batch")
+    requests = t.embeddings.groupBy(batch).agg(F.count("*").alias("n_inputs")).filter("batch % 11 <> 3")
+    answers = t.embeddings.filter("NOT (label = 0 AND vec_id % 5 = 0)").select(batch, (F.col("vec_id") % 8 + F.when(F.col("vec_id") % 29 == 0, 1).otherwise(0)).alias("index"))
+    return I.validate_batches(requests, answers)
+
+
 @query("ix13_embed", rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '^{WS}*$') THEN 0.0 ELSE length(regexp_replace(text, '\A{WS}+|{WS}+\z', '', 'g'))::DOUBLE END AS first FROM documents""")
 def ix13(t):
     def lengths(text):

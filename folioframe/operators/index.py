@@ -180,6 +180,18 @@ def validate_vectors(vectors: DataFrame, id_col: str, vec: str = "embedding",
         F.col(id_col).alias("id"), problem.alias("problem")).filter("problem IS NOT NULL")
 
 
+def validate_batches(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Violations (batch, problem) of a model's answers (batch, index) to requests (batch, n_inputs).
+
+    ``count``: not as many answers as inputs; ``index``: the indices are not exactly 0 to n - 1; ``unknown``: no such request.
+    """
+    per = answers.groupBy("batch").agg(F.count("*").alias("_n"), F.count_distinct("index").alias("_distinct"), F.min("index").alias("_low"), F.max("index").alias("_high"))
+    n = F.coalesce("_n", F.lit(0))
+    exact = (F.col("_distinct") == F.col("n_inputs")) & (F.col("_low") == 0) & (F.col("_high") == F.col("n_inputs") - 1)
+    problem = F.when(F.col("n_inputs").isNull(), "unknown").when(n != F.col("n_inputs"), "count").when((F.col("n_inputs") > 0) & ~F.coalesce(exact, F.lit(False)), "index")
+    return requests.select("batch", "n_inputs").join(per, "batch", "full_outer").select("batch", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def embed(texts: DataFrame, embedder, dims: int, text: str = "text") -> DataFrame:
     """Add ``embedding``. Each distinct trimmed text is embedded once; blanks get zero vectors."""
     keyed = texts.withColumn("_key", strip(F.coalesce(F.col(text), F.lit(""))))
