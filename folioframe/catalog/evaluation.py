@@ -9,8 +9,10 @@ from ..operators import fusion as U
 from ..operators import index as I
 
 from ..plans import ablation as A
-from ..session import materialize
-from .data import (LEGS, QRELS, BM25_ON_QSRC, DENSE, QSRC, both_legs, corpus, kept_index, qrels, question_vectors, questions, sql_tokens)
+from ..functions.common import strip
+from ..session import materialize, shared_dir
+from ..sources import io as R
+from .data import (LEGS, QRELS, BM25_ON_QSRC, DENSE, QSRC, both_legs, corpus, kept_index, qrels, question_vectors, questions, sql_strip, sql_tokens)
 from .ranking import COLLAPSED, scorer, with_children
 from .registry import query
 from .texts import EVAL_TOK, SENS
@@ -217,6 +219,35 @@ def ev14(t):
     return rounded(A.ablation_report(ablation_rankings(t), labels, eval_queries(t).select("query_id", "category"), KS))
 
 
+# a run of single methods: the four, and one that fails
+@query("ev14_full_report", f"""WITH {ABLATION}, {QRELS}, {EQ}, {metrics_sql('meth')}, rep AS (SELECT method, round(avg(mrr), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_5, 0::BIGINT AS failures, 0.0::DOUBLE AS failure_rate, count(*) AS evaluated_queries FROM qm GROUP BY 1
+  UNION ALL SELECT 'no_model', 0.0, 0.0, count(*), 1.0::DOUBLE, count(*) FROM benchmark)
+SELECT *, 'succeeded' AS setup, true AS timed, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM benchmark) AS answerable_queries, '5' AS top_k FROM rep""")
+def ev14f(t):
+    docs, asked = corpus(t).select("chunk_id", "text"), questions(t)
+
+    def prepare():
+        index = kept_index(t, "eval").index()
+        vectors = I.hashed_term_vectors(index["postings"], "chunk_id")
+        return A.method_rankings(A.collapsed_legs(index, vectors, asked, question_vectors(t, mode="eval")), asked, docs, scorer)
+
+    def no_model(ranked):
+        raise TimeoutError("no answer")
+
+    methods = {m: (lambda ranked, m=m: ranked[m]()) for m in A.METHODS} | {"no_model": no_model}
+    run = A.run_methods(prepare, methods, asked)
+    labels = qrels(t).select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "grade")
+    answerable = eval_queries(t).select("query_id", "category", F.lit("answer").alias("expected_action"))
+    parts = A.full_report(run, labels, answerable, docs, {"top_k": 5, "k_values": KS}, list(methods), KS)
+    # each is one row
+    one = [parts["setup"].select(F.col("status").alias("setup")), parts["dataset"].select("documents", "answerable_queries"),
+           parts["configuration"].filter("name = 'top_k'").select(F.col("value").alias("top_k"))]
+    out = parts["methods"].select("method", F.round("mrr", 6).alias("mrr"), F.round("ndcg_5", 6).alias("ndcg_5"), "failures", "failure_rate", "evaluated_queries", (F.col("latency_ms") >= 0).alias("timed"))
+    for row in one:
+        out = out.join(F.broadcast(row))
+    return out
+
+
 @query("ev15_workload_counters", f"""WITH {LEGS}, {COLLAPSED} SELECT (SELECT count(*) FROM documents) AS embedding_documents, (SELECT sum(length(text))::BIGINT FROM documents) AS embedding_document_characters,
   (SELECT count(*) FROM benchmark) AS embedding_query_calls, (SELECT sum(length(text))::BIGINT FROM benchmark) AS embedding_query_characters, count(*) AS candidates_before_collapse,
   (SELECT sum(collapsed)::BIGINT FROM coll) AS duplicates_collapsed FROM legs""")
@@ -271,6 +302,28 @@ def ev17s(t):
     return E.manifest_summary(manifest(t), files(t))
 
 
+def source_files(t, text, label):
+    """A file per document, named after it, and its hashes read back; the line end is part of the bytes."""
+    path = shared_dir(t.spark, label)
+    t.documents.select("doc_id", text.alias("value")).filter("value IS NOT NULL").write.mode("overwrite").partitionBy("doc_id").text(path)
+    return R.read_sources(t.spark, path, "*.txt", strip).withColumn("path", F.regexp_extract("path", "doc_id=([0-9]+)", 1))
+
+
+@query("ev17_source_hashes", f"SELECT doc_id::VARCHAR AS path, strlen(text) + 1 AS n_bytes, sha256(text || chr(10)) AS raw_sha256, sha256({sql_strip('text')}) AS normalized_sha256 FROM documents")
+def ev17h(t):
+    return source_files(t, F.col("text"), "sources").select("path", "n_bytes", "raw_sha256", "normalized_sha256")
+
+
+# the manifest was made when German files ended in a blank, French ones in a letter, and Spanish ones lay elsewhere
+@query("ev17_audit_sources", """SELECT 'raw_hash' AS rule, doc_id::VARCHAR AS key FROM documents WHERE lang IN ('de', 'fr') UNION ALL SELECT 'normalized_hash', doc_id::VARCHAR FROM documents WHERE lang = 'fr'
+UNION ALL SELECT 'missing_file', 'old/' || doc_id FROM documents WHERE lang = 'es' UNION ALL SELECT 'unlisted_file', doc_id::VARCHAR FROM documents WHERE lang = 'es'""")
+def ev17a(t):
+    before = F.concat("text", F.when(F.col("lang") == "de", " ").when(F.col("lang") == "fr", "x").otherwise(""), F.lit("\n"))
+    listed = t.documents.select(F.concat(F.when(F.col("lang") == "es", "old/").otherwise(""), F.col("doc_id").cast("string")).alias("path"),
+                                F.sha2(before, 256).alias("raw_sha256"), F.sha2(strip(before), 256).alias("normalized_sha256"))
+    return E.audit_sources(listed, source_files(t, F.col("text"), "sources"))
+
+
 # quotas: documents per language and a type that follows from their source
 TYPE = "CASE WHEN source LIKE '%1' THEN 'keyword' WHEN source LIKE '%2' THEN 'semantic_rewrite' WHEN source LIKE '%3' THEN 'multi_evidence' WHEN source LIKE '%4' THEN 'similar_concept' ELSE 'unanswerable' END"
 
@@ -361,3 +414,21 @@ def ev22r(t):
     return gold(t)["rejects"]
 
 
+
+
+@query("ev22_gold_claims", f"""WITH {GOLD} SELECT 'q-' || sha256('p' || chr(31) || qk)[1:16] AS query_id, row_number() OVER (PARTITION BY qk ORDER BY pos, span) AS ord, span::VARCHAR AS claim
+FROM kn JOIN jd USING (qk) WHERE reason IS NULL""")
+def ev22c(t):
+    return E.gold_claims(gold(t))
+
+
+# evidence quotes the first letters; then German files get a blank in front, Spanish ones go, and French quotes were wrong from the start
+@query("ev22_audit_evidence", """SELECT 'raw_hash' AS rule, doc_id || '/1' AS key FROM documents WHERE lang = 'de' UNION ALL SELECT 'missing_source', doc_id || '/1' FROM documents WHERE lang = 'es'
+UNION ALL SELECT 'quote_mismatch', doc_id || '/1' FROM documents WHERE lang = 'fr'""")
+def ev22a(t):
+    quote = F.when(F.col("lang") == "fr", "?").otherwise(F.substring(strip("text"), 1, 12))
+    evidence = t.documents.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("ord"), F.col("doc_id").cast("string").alias("source_id"), F.lit(0).alias("start_char"),
+                                  F.length(F.substring(strip("text"), 1, 12)).alias("end_char"), quote.alias("quote"))
+    bound = E.bind_sources(evidence, source_files(t, F.col("text"), "sources"))
+    after = F.when(F.col("lang") == "de", F.concat(F.lit(" "), "text")).when(F.col("lang") != "es", F.col("text"))
+    return E.audit_evidence(bound, source_files(t, after, "changed"))

@@ -21,6 +21,37 @@ def src1(t):
     return R.read_corpus(t.spark, path).select("doc_id", F.md5("text").alias("text"), "title", F.col("metadata.source").alias("source"))
 
 
+def faulty_corpus(t):
+    """A corpus file with every kind of fault, by language and length of the document."""
+    path, d = shared_dir(t.spark, "corpus"), F.col("doc_id").cast("string")
+    kind = F.col("n_chars") % 7
+    fields = [F.concat(F.lit('{"id":"'), d, F.lit('"')), F.concat(F.lit('"content":"'), F.when(kind == 0, " ").otherwise(F.md5("text")), F.lit('"')),
+              F.when(kind == 1, '"title":5').otherwise('"title":" t"'),
+              F.concat(F.lit('"metadata":'), F.when(kind == 2, F.lit("[]")).otherwise(F.concat(F.lit('{"n":'), F.col("n_chars").cast("string"), F.lit("}}"))))]
+    line = F.concat(F.concat_ws(",", *fields), F.when(kind == 2, "}").otherwise(""))
+    value = (F.when(F.col("lang") == "de", F.concat(F.lit('{"id":'), d)).when(F.col("lang") == "fr", F.concat(F.lit("["), d, F.lit("]")))
+             .when(F.col("lang") == "es", F.concat(F.lit('{"id":'), d, F.lit(',"text":"x"}'))).otherwise(line))
+    twice = F.explode(F.array_repeat(value, F.when(kind == 3, 2).otherwise(1)))
+    t.documents.select(twice.alias("value")).write.mode("overwrite").text(path)
+    return R.read_corpus_checked(t.spark, path)
+
+
+FAULTY = """d AS (SELECT doc_id::VARCHAR AS id, lang, n_chars % 7 AS kind, n_chars, text, CASE lang WHEN 'de' THEN '{"id":' || doc_id WHEN 'fr' THEN '[' || doc_id || ']' WHEN 'es' THEN '{"id":' || doc_id || ',"text":"x"}' END AS bad,
+  unnest(CASE WHEN n_chars % 7 = 3 THEN [1, 2] ELSE [1] END) AS copy FROM documents)"""
+
+
+@query("src1_corpus_violations", f"""WITH {FAULTY} SELECT CASE lang WHEN 'de' THEN 'invalid_json' WHEN 'fr' THEN 'not_an_object' ELSE 'id_missing' END AS rule, md5(bad) AS key FROM d WHERE bad IS NOT NULL
+UNION ALL SELECT CASE kind WHEN 0 THEN 'text_missing' WHEN 1 THEN 'title_not_text' ELSE 'metadata_not_an_object' END, id FROM d WHERE bad IS NULL AND kind < 3
+UNION ALL SELECT 'duplicate_id', id FROM d WHERE bad IS NULL AND kind = 3 AND copy = 1""")
+def src1v(t):
+    return faulty_corpus(t)["violations"]
+
+
+@query("src1_checked_documents", f"WITH {FAULTY} SELECT id AS doc_id, md5(text) AS text, 't' AS title, n_chars AS n FROM d WHERE bad IS NULL AND kind >= 3")
+def src1d(t):
+    return faulty_corpus(t)["documents"].select("doc_id", "text", "title", F.try_variant_get("metadata", "$.n", "bigint").alias("n"))
+
+
 def question_file(t):
     path = shared_dir(t.spark, "questions")
     c = F.col("conv_id").cast("string")
@@ -134,6 +165,17 @@ def src10(t):
     return runs.select("request_id", F.col("timeline")[0]["stage"].alias("stage"), F.round(F.col("timeline")[0]["duration_ms"], 4).alias("duration_ms"), F.col("retrieval_stats.k").alias("k"))
 
 
+# statistics of errors are cut off and cannot be parsed
+@query("src10_read_variant", """SELECT event_id::VARCHAR AS request_id, event_type AS stage, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_type = 'error' THEN 'retrieval_stats' ELSE '' END AS unparsed FROM events""")
+def src10v(t):
+    path = shared_dir(t.spark, "agent_runs")
+    t.events.select(F.col("event_id").cast("string").alias("request_id"), F.to_json(F.array(F.struct(F.col("event_type").alias("stage"), F.col("value").alias("duration_ms")))).alias("timeline"),
+                    F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("retrieval_stats")).write.mode("overwrite").parquet(path)
+    runs = R.read_table_variant(t.spark, "agent_runs", path)
+    return runs.select("request_id", F.try_variant_get("timeline", "$[0].stage", "string").alias("stage"), F.try_variant_get("retrieval_stats", "$.k", "bigint").alias("k"),
+                       F.array_join("unparsed", ",").alias("unparsed"))
+
+
 @query("src11_chunks_by_id", "SELECT doc_id AS chunk_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def src11(t):
     ids = t.labels.filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))

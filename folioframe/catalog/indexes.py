@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import index as I
 from ..operators.store import LexicalStore
+from ..operators.vectors import VectorStore
 from ..session import shared_dir
-from .data import BM25, WS, corpus, kept_index, questions
+from .data import BM25, WS, corpus, kept_index, questions, sql_strip
 from .registry import query
 
 
@@ -207,3 +208,31 @@ def ix13(t):
     def lengths(text):
         return F.array(F.length(text).cast("double"), F.lit(1.0))
     return I.embed(t.documents, lengths, 2).select("doc_id", F.col("embedding")[0].alias("first"))
+
+
+def embedding_store(t):
+    """Labelled documents first, then all of them with German ones in lower case; the second batch is run twice, and once more as a third."""
+    def lengths(text):
+        return F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"))
+    store = VectorStore(t.spark, shared_dir(t.spark, "vectors"))
+    store.add(stored(t), lengths, 2, "lengths-2", "1")
+    now = t.documents.select("doc_id", F.when(F.col("lang") == "de", F.lower("text")).otherwise(F.col("text")).alias("text"))
+    for name in ("2", "3", "2"):
+        store.add(now, lengths, 2, "lengths-2", name)
+    return store, now
+
+
+NOW = f"now AS (SELECT doc_id, {sql_strip("CASE WHEN lang = 'de' THEN lower(text) ELSE text END")} AS k FROM documents)"
+
+
+# what the model was asked for: the third batch and the repeated one add nothing
+@query("ix13_kept_embeddings", f"""WITH {NOW}, a AS (SELECT DISTINCT {sql_strip('text')} AS k FROM documents JOIN labels USING (doc_id))
+SELECT '1' AS batch, count(*) AS embedded FROM a WHERE k <> '' UNION ALL SELECT '2', count(DISTINCT k) FROM now WHERE k <> '' AND k NOT IN (SELECT k FROM a)""")
+def ix13k(t):
+    return embedding_store(t)[0].vectors("lengths-2").groupBy("batch").agg(F.count("*").alias("embedded"))
+
+
+@query("ix13_store_embed", f"WITH {NOW} SELECT doc_id, length(k)::DOUBLE AS first FROM now")
+def ix13s(t):
+    store, now = embedding_store(t)
+    return store.embed(now, 2, "lengths-2").select("doc_id", F.col("embedding")[0].alias("first"))

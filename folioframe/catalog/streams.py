@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.sketches import exact_quantiles
 from ..streaming import streams as S
 from .chunks import UNITS
 from .data import markdown
@@ -15,6 +16,11 @@ def stream(t, name):
     return S.file_stream(t.spark, t.dir, f"{name}.parquet", getattr(t, name).schema)
 
 
+def runs(source):
+    return source.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+                         F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("duration_ms"))
+
+
 def run_events(t, source):
     kind = F.col("event_type")
     return source.select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("run_id"), F.col("event_id").alias("sequence"),
@@ -73,9 +79,16 @@ def st6(t):
 @query("st7_stream_run_metrics", """SELECT date_trunc('hour', ts) AS window_start, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures, max(value) AS max_ms, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS tokens
 FROM events GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def st7(t):
-    runs = stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
-                                      F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("duration_ms"))
-    return S.run_available(S.stream_run_metrics(runs)).select("window_start", "runs", "failures", "max_ms", "tokens")
+    return S.run_available(S.stream_run_metrics(runs(stream(t, "events")))).select("window_start", "runs", "failures", "max_ms", "tokens")
+
+
+@query("st7_stream_quantiles", """SELECT date_trunc('hour', ts) AS window_start, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS failure_rate, quantile_disc(value, 0.95) AS p95_ms
+FROM events GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def st7q(t):
+    closed = S.run_available(S.stream_run_sketches(runs(stream(t, "events"))))
+    rows = runs(t.events).select(F.date_trunc("hour", "ts").alias("window_start"), "duration_ms")
+    p95 = exact_quantiles(rows, closed, ["window_start"], "duration_ms", {"p95_ms": 0.95})
+    return closed.join(p95, "window_start").select("window_start", F.round(F.col("failures") / F.col("runs"), 9).alias("failure_rate"), "p95_ms")
 
 
 @query("st8_stream_quality", f"""WITH g AS (SELECT query_id, count(*) FILTER (trim(content) <> '') AS rows, count(DISTINCT page_id) FILTER (trim(content) <> '') AS keys, max(coalesce(rerank_score, score)) FILTER (trim(content) <> '') AS best FROM ({GATE_ROWS}) GROUP BY 1)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sketches as K
 from ..operators import telemetry as O
+from ..session import materialize
 from .data import CALLS, TIMELINE, model_calls, timeline
 from .registry import query
 
@@ -14,6 +16,17 @@ def ob1(t):
     return O.stage_timings(timeline(t)).withColumn("total_ms", F.round("total_ms", 3))
 
 
+# sketches are stored by stage and hour; a day is merged from them, its quantiles are exact
+@query("ob1_stage_quantiles", f"WITH {TIMELINE} SELECT stage, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95 FROM tl GROUP BY ALL")
+def ob1q(t):
+    rows = timeline(t).select("stage", F.col("ts").cast("timestamp").alias("ts"), "duration_ms")
+    kept = materialize(K.hourly_sketches(rows, ["stage"], "ts", "duration_ms"), "sketches")
+    days = K.merge_sketches(kept, ["stage"], "1 day").withColumnRenamed("window_start", "day")
+    values = rows.withColumn("day", F.date_trunc("day", "ts"))
+    exact = K.exact_quantiles(values, days, ["stage", "day"], "duration_ms", {"p50": 0.5, "p95": 0.95})
+    return days.select("stage", "day", "n").join(exact, ["stage", "day"])
+
+
 def json_runs(t):
     """Every event as a run with a JSON timeline of two items; errors leave none."""
     return timeline(t).select(F.col("sequence").alias("request_id"), F.when(F.col("status") != "failed", F.to_json(F.array(

@@ -249,6 +249,13 @@ def tx21(t):
     return t.documents.select("doc_id", K.serialize_context(m).alias("json"))
 
 
+# nested JSON with its keys out of order; German documents are plain text
+@query("tx21_serialize_json", """SELECT doc_id, CASE WHEN lang = 'de' THEN 'no json' ELSE '{"lang":"' || lang || '","source":"' || source || '","z":{"a":[' || n_chars || ',null],"b":true}}' END AS json FROM documents""")
+def tx21j(t):
+    nested = F.format_string('{"z": {"b": true, "a": [%d, null]}, "source": "%s", "lang": "%s"}', "n_chars", "source", "lang")
+    return t.documents.select("doc_id", K.serialize_json(F.when(F.col("lang") == "de", "no json").otherwise(nested)).alias("json"))
+
+
 @query("tx22_limit_context", f"""SELECT doc_id, {sql_estimate('text')}::BIGINT AS estimated_tokens,
   least({sql_estimate('text')}, 100)::BIGINT >= 0 AS ok, 100::BIGINT AS token_budget, {sql_estimate('text')} > 100 AS truncated FROM documents""")
 def tx22(t):

@@ -106,6 +106,14 @@ def serialize_context(value) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value))))
 
 
+def serialize_json(text) -> Column:
+    """JSON text with the keys of every object sorted, at any depth; numbers, booleans and nulls keep their kind.
+
+    Text that is no JSON, or that repeats a key within an object, passes through; numbers take their shortest form.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(col(text))), col(text))
+
+
 def limit_context(text, budget) -> Column:
     """struct<text, estimated_tokens, used_tokens, token_budget, truncated>."""
     text = F.coalesce(col(text), F.lit(""))

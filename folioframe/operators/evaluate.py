@@ -275,6 +275,23 @@ def manifest_summary(manifest: DataFrame, files: DataFrame) -> DataFrame:
         F.sum(F.length("raw_text")).alias("chars"))
 
 
+def audit_sources(manifest: DataFrame, sources: DataFrame) -> DataFrame:
+    """Violations of manifest rows (path, raw_sha256, normalized_sha256) against the files as they are now read (``read_sources``).
+
+    A byte that changed shows in the raw hash; the normalised hash changes with what the text says.
+    """
+    now = sources.select("path", F.col("raw_sha256").alias("_raw"), F.col("normalized_sha256").alias("_norm"), F.lit(True).alias("_there"))
+    m = manifest.select("path", "raw_sha256", "normalized_sha256").join(now, "path", "left")
+    there = F.col("_there").isNotNull()
+    listed = manifest.select("path").distinct()
+    return _violations(
+        _rule(m.filter(~there), "missing_file", "path"),
+        _rule(m.filter(there & F.col("_norm").isNull()), "not_utf8", "path"),
+        _rule(m.filter(there & ~F.col("_raw").eqNullSafe(F.col("raw_sha256"))), "raw_hash", "path"),
+        _rule(m.filter(F.col("_norm").isNotNull() & ~F.col("_norm").eqNullSafe(F.col("normalized_sha256"))), "normalized_hash", "path"),
+        _rule(now.join(listed, "path", "left_anti"), "unlisted_file", "path"))
+
+
 def audit_quotas(quotas: DataFrame, types: DataFrame, manifest: DataFrame) -> DataFrame:
     """Mismatches (scope, name, declared, counted) between domain quotas (domain, question_type, n),
     declared type totals (question_type, count) and document targets of the manifest."""
@@ -361,3 +378,27 @@ def assemble_gold(selections: DataFrame, spans: DataFrame, questions: DataFrame)
             "query_id", "ord", "source_id", "start_char", "end_char", "quote"),
         "rejects": judged.filter("reason IS NOT NULL").select("question_key", "reason"),
     }
+
+
+def gold_claims(gold: dict) -> DataFrame:
+    """claims(query_id, ord, claim): the quoted spans of each question, in the order of its evidence."""
+    return gold["evidence"].select("query_id", "ord", F.col("quote").alias("claim"))
+
+
+def bind_sources(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evidence with the hashes of the file that it quotes, ``source_sha256`` of the normalised text and ``raw_source_sha256`` of the bytes."""
+    hashes = sources.select(F.col("path").alias("source_id"), F.col("normalized_sha256").alias("source_sha256"), F.col("raw_sha256").alias("raw_source_sha256"))
+    return evidence.join(hashes, "source_id", "left").select(*evidence.columns, "source_sha256", "raw_source_sha256")
+
+
+def audit_evidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """Violations of bound evidence against the files as they are now: missing source, changed bytes or text, a quote that is not at its place."""
+    now = sources.select(F.col("path").alias("source_id"), "normalized_text", F.col("normalized_sha256").alias("_norm"), F.col("raw_sha256").alias("_raw"))
+    # the quote is looked up beside the text, so that texts do not travel behind the join
+    rows = evidence.join(now, "source_id", "left").select(
+        F.concat_ws("/", F.col("query_id").cast("string"), F.col("ord").cast("string")).alias("key"), F.col("_raw").isNotNull().alias("there"),
+        F.col("_raw").eqNullSafe(F.col("raw_source_sha256")).alias("same_bytes"), F.col("_norm").eqNullSafe(F.col("source_sha256")).alias("same_text"),
+        F.coalesce(F.substring(F.col("normalized_text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("quote"), F.lit(False)).alias("quoted"))
+    rules = [("missing_source", ~F.col("there")), ("raw_hash", F.col("there") & ~F.col("same_bytes")),
+             ("source_hash", F.col("there") & ~F.col("same_text")), ("quote_mismatch", F.col("there") & ~F.col("quoted"))]
+    return rows.select(F.explode(F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules]))).alias("rule"), "key")

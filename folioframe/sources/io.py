@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import blank_to_null, rstrip, strip
-from ..functions.markdown import legacy_title_content
+from ..functions.markdown import clean_markdown, legacy_title_content
 from ..session import broadcast_if_small
 from . import schemas
 
@@ -24,6 +26,44 @@ def read_corpus(spark: SparkSession, path: str, array: bool = False) -> DataFram
                       F.coalesce(strip("title"), F.lit("")).alias("title"), "metadata")
 
 
+def _text_at(doc: str, *keys: str) -> Column:
+    """The first of ``keys`` of an object that holds a text which is not blank, trimmed."""
+    def one(key: str) -> Column:
+        value = F.try_variant_get(doc, f"$.{key}", "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", blank_to_null(F.try_variant_get(doc, f"$.{key}", "string")))
+    return F.coalesce(*[one(k) for k in keys])
+
+
+def _corpus_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text, title, metadata, key, faults) of each JSON line that is not blank."""
+    lines = spark.read.text(path).filter(strip("value") != "").withColumn("doc", F.try_parse_json("value"))
+    kind = lambda key: F.schema_of_variant(F.try_variant_get("doc", f"$.{key}", "variant"))
+    rows = lines.withColumns({"doc_id": _text_at("doc", "id", "doc_id"), "text": _text_at("doc", "text", "content"),
+                              "title_kind": kind("title"), "metadata_kind": kind("metadata")})
+    is_object = F.col("doc").isNotNull() & F.col("value").rlike(r"\A\s*\{")
+    rules = [("invalid_json", F.col("doc").isNull()), ("not_an_object", F.col("doc").isNotNull() & ~is_object),
+             ("id_missing", is_object & F.col("doc_id").isNull()), ("text_missing", is_object & F.col("text").isNull()),
+             ("title_not_text", F.coalesce(F.col("title_kind") != "STRING", F.lit(False))),
+             ("metadata_not_an_object", F.coalesce(~F.col("metadata_kind").startswith("OBJECT"), F.lit(False)))]
+    return rows.select("doc_id", "text", F.coalesce(strip(F.try_variant_get("doc", "$.title", "string")), F.lit("")).alias("title"),
+                       F.try_variant_get("doc", "$.metadata", "variant").alias("metadata"), F.coalesce("doc_id", F.md5("value")).alias("key"),
+                       F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules])).alias("faults"))
+
+
+def read_corpus_checked(spark: SparkSession, path: str) -> dict:
+    """``documents`` (doc_id, text, title, metadata VARIANT) of JSON lines, and ``violations`` (rule, key).
+
+    A line with a fault of its own is no document; ids that repeat are named and stay, a corpus without documents is a
+    violation. The key is the id, or the MD5 of a line that has none.
+    """
+    rows = _corpus_rows(spark, path)
+    good = rows.filter(F.size("faults") == 0)
+    repeated = good.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_id").alias("rule"), F.col("doc_id").alias("key"))
+    empty = good.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("corpus_empty").alias("rule"), F.lit("").alias("key"))
+    own = rows.select(F.explode("faults").alias("rule"), "key")
+    return {"documents": good.select("doc_id", "text", "title", "metadata"), "violations": own.unionByName(repeated).unionByName(empty)}
+
+
 def read_queries(spark: SparkSession, path: str, array: bool = False) -> dict:
     """``queries``, long ``qrels`` and long ``evidence`` of a question file."""
     raw = _read_json(spark, path, schemas.QUERIES, array).withColumn(
@@ -52,6 +92,20 @@ def read_markdown_dir(spark: SparkSession, path: str, pattern: str = "*.{md,txt}
         F.when(strip("text") == "", "skipped_empty").otherwise("ok").alias("status"))
 
 
+def read_sources(spark: SparkSession, root: str, pattern: str = "*.md", normalize: Callable[[Column], Column] = clean_markdown) -> DataFrame:
+    """sources(path, n_bytes, raw_sha256, raw_text, normalized_text, normalized_sha256) of the files below ``root``.
+
+    ``raw_sha256`` is that of the bytes in the file, taken in the scan; ``path`` is relative to ``root``. A file that is not UTF-8
+    keeps its raw hash and has no text.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    inside = F.regexp_replace("path", rf"\A.*?\Q{root.rstrip('/')}\E/", "")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    rows = raw.select(inside.alias("path"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("raw_sha256"), text.alias("raw_text"))
+    rows = rows.withColumn("normalized_text", F.when(F.col("raw_text").isNotNull(), normalize(F.col("raw_text"))))
+    return rows.withColumn("normalized_sha256", F.sha2("normalized_text", 256))
+
+
 def import_legacy(files: DataFrame, pages: DataFrame, source_type: str, notebook: str) -> dict:
     """Pages for files (path, text) whose path is not the source of a live page; and the counts."""
     live = pages.filter((F.col("status") != "deleted") & F.col("source_uri").isNotNull()).select(
@@ -163,6 +217,15 @@ def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: di
     return df.withColumns({c: F.from_json(c, t) for c, t in schemas.JSON_COLUMNS.get(name, {}).items()})
 
 
+def read_table_variant(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A stored table with its JSON columns as VARIANT, whatever they hold, and ``unparsed``: the columns whose text is no JSON."""
+    df = spark.read.schema(schemas.TABLES[name]).parquet(path)
+    names = list(schemas.JSON_COLUMNS.get(name, {}))
+    values = {c: F.try_parse_json(c) for c in names}
+    broken = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), c) for c, v in values.items()])) if names else F.array().cast("array<string>")
+    return df.withColumn("unparsed", broken).withColumns(values)
+
+
 def chunks_by_id(chunks: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Chunks of wanted ids; ids without a chunk are simply absent."""
     return chunks.join(broadcast_if_small(ids.select(key).distinct()), key, "left_semi")

@@ -17,6 +17,7 @@ from .. import settings as S
 from ..functions.text import conversation_title
 from ..operators.chunking import chunk_pages
 from ..operators.select import assess_evidence
+from ..operators.sketches import sketch_columns
 from ..session import shared_dir
 
 # Event types and states that end a run.
@@ -151,6 +152,16 @@ def stream_run_metrics(runs: DataFrame, size: str = "1 hour", slide: str | None
         (F.col("failures") / F.col("runs")).alias("failure_rate"), "tokens", "p95_ms", "max_ms")
 
 
+def stream_run_sketches(runs: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Counts and a sketch of the run time per window, once closed: (window_start, runs, failures, n, low, high, sketch).
+
+    Stored rows merge to longer windows, and give quantiles without the runs (``operators.sketches``).
+    """
+    return runs.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w")).agg(
+        F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failures"), *sketch_columns("duration_ms")).select(
+        F.col("w.start").alias("window_start"), "runs", "failures", "n", "low", "high", "sketch")
+
+
 def stream_quality(rows: DataFrame, label: str = "quality") -> DataFrame:
     """Evidence gate over all rows of a question, in however many micro-batches they came: the sink is the log of
     rows, and the verdict is read from it."""
