@@ -96,7 +96,7 @@ def read_sources(spark: SparkSession, root: str, pattern: str = "*.md", normaliz
     """sources(path, n_bytes, raw_sha256, raw_text, normalized_text, normalized_sha256) of the files below ``root``.
 
     ``raw_sha256`` is that of the bytes in the file, taken in the scan; ``path`` is relative to ``root``. A file that is not UTF-8
-    keeps its raw hash and has no text.
+    keeps its raw hash and has no text; Spark's scan passes over files of no bytes, so these count as missing.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     inside = F.regexp_replace("path", rf"\A.*?\Q{root.rstrip('/')}\E/", "")

@@ -68,7 +68,8 @@ def test_a_changed_byte_is_a_violation(spark, tmp_path):
     (root / "a.md").write_bytes(b"# A\n\nalpha beta\n")             # blanks at a line's end are not text
     (root / "deep" / "b.md").write_bytes("Über\n".encode())
     (root / "bad.md").unlink()
-    (root / "new.md").write_bytes(b"")
+    (root / "new.md").write_bytes(b"new")
+    (root / "empty.md").write_bytes(b"")
     now = R.read_sources(spark, str(root))
     assert found(E.audit_sources(manifest, now)) == {("raw_hash", "a.md"), ("raw_hash", "deep/b.md"), ("normalized_hash", "deep/b.md"), ("missing_file", "bad.md"), ("unlisted_file", "new.md")}
     assert found(E.audit_evidence(bound, now)) == {("raw_hash", "1/1"), ("raw_hash", "1/2"), ("source_hash", "1/2"), ("quote_mismatch", "1/2"), ("missing_source", "2/1")}
