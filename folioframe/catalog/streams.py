@@ -41,6 +41,17 @@ def st2(t):
     return S.run_available(S.stream_events(twice)).select("run_id", "sequence")
 
 
+# runs of every third user were read up to their first event before; the log is delivered twice
+@query("st2_stream_run_log", """WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS run_id, user_id, event_id, event_type FROM events),
+c AS (SELECT run_id, min(event_id) AS cursor FROM e WHERE user_id % 3 = 0 GROUP BY 1), r AS (SELECT e.*, cursor FROM e LEFT JOIN c USING (run_id) WHERE event_type <> 'signup' AND event_id > coalesce(cursor, -1)),
+t AS (SELECT run_id, min(event_id) AS ended FROM r WHERE event_type IN ('purchase', 'error') GROUP BY 1)
+SELECT run_id, event_id AS sequence FROM r LEFT JOIN t USING (run_id) WHERE ended IS NULL OR event_id <= ended""")
+def st2l(t):
+    twice = run_events(t, stream(t, "events")).unionByName(run_events(t, stream(t, "events")))
+    read = run_events(t, t.events.filter("user_id % 3 = 0")).groupBy("run_id").agg(F.min("sequence").alias("cursor"))
+    return S.run_available(S.stream_run_log(twice, read), state_store=S.ROCKSDB).select("run_id", "sequence")
+
+
 @query("st3_stream_run_state", """WITH r AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS run_id, max(event_id) AS last_sequence, arg_max(event_type, event_id) AS t, bool_or(event_type IN ('purchase', 'error')) AS ended,
   min(ts) AS s FROM events GROUP BY 1), m AS (SELECT max(ts) AS w FROM events)
 SELECT run_id, last_sequence, CASE WHEN NOT ended AND s + INTERVAL 180 SECONDS < w THEN 'timed_out' WHEN t = 'purchase' THEN 'completed' WHEN t = 'error' THEN 'failed' ELSE 'running' END AS status FROM r, m""")

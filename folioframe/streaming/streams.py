@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from .. import settings as S
 from ..functions.text import conversation_title
@@ -24,6 +25,11 @@ from ..session import shared_dir
 TERMINAL_TYPES = ["run_completed", "run_failed", "run_cancelled", "run_timed_out"]
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# keyed state with maps and timers needs this provider
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files:
@@ -32,9 +38,16 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
 
 
 def run_available(stream: DataFrame, mode: str = "append", label: str = "stream",
-                  per_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Process what is there and return the sink as a table with ``batch_id``."""
+                  per_batch: Callable[[DataFrame], DataFrame] | None = None, state_store: str | None = None) -> DataFrame:
+    """Process what is there and return the sink as a table with ``batch_id``; ``state_store`` names a provider for this query alone."""
     spark = stream.sparkSession
+    if state_store:
+        before = spark.conf.get(_PROVIDER, None)
+        spark.conf.set(_PROVIDER, state_store)
+        try:
+            return run_available(stream, mode, label, per_batch)
+        finally:
+            spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     base = shared_dir(spark, label)
     out = f"{base}/out"
 
@@ -80,6 +93,61 @@ def stream_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         ["run_id", "sequence"])
 
 
+def stream_run_log(events: DataFrame, cursors: DataFrame | None = None, delay: str = "1 hour", keep_hours: int = 24) -> DataFrame:
+    """(run_id, sequence, type, ts): each event of a run once, after its cursor and up to the event that ends the run.
+
+    ``cursors`` (run_id, cursor) is a batch table: a reader that saw a run up to a sequence resumes behind it. A run ends with the
+    smallest sequence of a terminal type that has arrived; greater ones that come with it or later are no part of the log, smaller ones are.
+    Token events are left out. Sequences are kept one by one in keyed state, so a long run is never read whole, and go ``keep_hours``
+    after the last event of the run, which has to be more than ``delay``. Needs ``run_available(state_store=ROCKSDB)``.
+    """
+    terminal, keep = set(TERMINAL_TYPES), keep_hours * 3_600_000
+
+    class RunLog(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.mark = handle.getValueState("mark", "cursor long, ended long, until long")
+            self.seen = handle.getMapState("seen", "sequence long", "taken boolean")
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self.mark.update((int(initialState["cursor"].max()), None, None))
+
+        def handleInputRows(self, key, rows, timerValues):
+            cursor, ended, until = self.mark.get() if self.mark.exists() else (None, None, None)
+            pdf = pd.concat(list(rows)).sort_values("sequence", kind="stable").drop_duplicates("sequence")
+            last = int(pdf["ts"].max().timestamp() * 1000) + keep
+            if until is None:
+                self.handle.registerTimer(last)
+            if cursor is not None:
+                pdf = pdf[pdf["sequence"] > cursor]
+            fresh = pd.Series([not self.seen.containsKey((int(s),)) for s in pdf["sequence"]], index=pdf.index, dtype=bool)
+            pdf = pdf[fresh]
+            ends = [int(s) for s in pdf.loc[pdf["type"].isin(terminal), "sequence"]]
+            ended = min([*ends, *([] if ended is None else [ended])], default=None)
+            if ended is not None:
+                pdf = pdf[pdf["sequence"] <= ended]
+            for s in pdf["sequence"]:
+                self.seen.updateValue((int(s),), (True,))
+            self.mark.update((cursor, ended, last if until is None else max(last, until)))
+            yield pdf[["run_id", "sequence", "type", "ts"]]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            until = self.mark.get()[2] if self.mark.exists() else None
+            if until is not None and until > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(until)         # there were events since
+            else:
+                self.mark.clear()
+                self.seen.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    rows = events.filter("type <> 'token'").select("run_id", F.col("sequence").cast("long").alias("sequence"), "type", "ts").withWatermark("ts", delay)
+    start = None if cursors is None else cursors.select("run_id", F.col("cursor").cast("long").alias("cursor")).groupBy("run_id")
+    return rows.groupBy("run_id").transformWithStateInPandas(RunLog(), "run_id string, sequence long, type string, ts timestamp", "Append", "EventTime", start)
+
+
 _STATE = "status string, last_sequence long, started_ms long, ended boolean"
 _RUN = "run_id string, status string, last_sequence long, started_at timestamp"
 

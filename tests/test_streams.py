@@ -1,5 +1,7 @@
 """A stream cut into several files gives what the batch gives."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from folioframe.streaming import streams as S
@@ -29,3 +31,27 @@ def test_newest_revision_wins(spark, tmp_path):
         df.filter(F.col("revision") == r).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     log = S.stream_index(S.file_stream(spark, str(tmp_path / "in"), "*.parquet", df.schema, max_files=1))
     assert {(r.page_id, r.revision, r.text) for r in S.current_chunks(log).collect()} == {("p", 3, "text of revision 3"), ("q", 1, "other")}
+
+
+def test_run_log_is_split_late_repeated_and_resumed(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    one = [("a", 1, "stage", at(1)), ("a", 3, "stage", at(3)), ("b", 1, "stage", at(1)), ("b", 2, "token", at(2))]
+    two = [("a", 3, "stage", at(3)), ("a", 2, "stage", at(2)), ("b", 4, "run_failed", at(4)), ("b", 5, "stage", at(5)), ("c", 7, "stage", at(5))]
+    three = [("b", 3, "stage", at(3)), ("b", 6, "run_completed", at(6)), ("a", 4, "run_completed", at(6)), ("a", 4, "run_completed", at(6)), ("c", 8, "stage", at(6)), ("c", 7, "stage", at(5))]
+    schema = "run_id string, sequence long, type string, ts timestamp"
+    folder = str(tmp_path / "in")
+    for part in (one, two, three):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    read = lambda n, cursors=None: {(r.run_id, r.sequence) for r in _once(S.run_available(S.stream_run_log(
+        S.file_stream(spark, folder, "*.parquet", spark.createDataFrame([], schema).schema, n), cursors), state_store=S.ROCKSDB))}
+    want = {("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1), ("b", 3), ("b", 4), ("c", 7), ("c", 8)}
+    assert read(1) == want                  # a file a batch
+    assert read(10) == want                 # all at once
+    cursors = spark.createDataFrame([("a", 2), ("b", 9), ("z", 1)], "run_id string, cursor long")
+    assert read(1, cursors) == {("a", 3), ("a", 4), ("c", 7), ("c", 8)}
+
+
+def _once(sink):
+    rows = [(r.run_id, r.sequence) for r in sink.collect()]
+    assert len(rows) == len(set(rows))
+    return sink.collect()
