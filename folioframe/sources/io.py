@@ -100,8 +100,24 @@ def read_sources(spark: SparkSession, root: str, pattern: str = "*.md", normaliz
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     inside = F.regexp_replace("path", rf"\A.*?\Q{root.rstrip('/')}\E/", "")
+    return _hashed_sources(raw.select(inside.alias("path"), F.col("length").alias("n_bytes"), "content"), normalize)
+
+
+def write_packed_sources(sources: DataFrame, root: str) -> None:
+    """Sources (path, content BINARY) packed into a few Parquet files; a file system holds no millions of small files, and no scan lists them."""
+    sources.select("path", "content").filter("content IS NOT NULL").write.mode("overwrite").parquet(root)
+
+
+def read_packed_sources(spark: SparkSession, root: str, normalize: Callable[[Column], Column] = clean_markdown) -> DataFrame:
+    """As ``read_sources``, of what ``write_packed_sources`` wrote; sources of no bytes count here."""
+    raw = spark.read.schema("path string, content binary").parquet(root)
+    return _hashed_sources(raw.select("path", F.octet_length("content").cast("long").alias("n_bytes"), "content"), normalize)
+
+
+def _hashed_sources(raw: DataFrame, normalize: Callable[[Column], Column]) -> DataFrame:
+    """Add texts and hashes to (path, n_bytes, content)."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    rows = raw.select(inside.alias("path"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("raw_sha256"), text.alias("raw_text"))
+    rows = raw.select("path", "n_bytes", F.sha2("content", 256).alias("raw_sha256"), text.alias("raw_text"))
     rows = rows.withColumn("normalized_text", F.when(F.col("raw_text").isNotNull(), normalize(F.col("raw_text"))))
     return rows.withColumn("normalized_sha256", F.sha2("normalized_text", 256))
 

@@ -73,3 +73,26 @@ def test_a_changed_byte_is_a_violation(spark, tmp_path):
     now = R.read_sources(spark, str(root))
     assert found(E.audit_sources(manifest, now)) == {("raw_hash", "a.md"), ("raw_hash", "deep/b.md"), ("normalized_hash", "deep/b.md"), ("missing_file", "bad.md"), ("unlisted_file", "new.md")}
     assert found(E.audit_evidence(bound, now)) == {("raw_hash", "1/1"), ("raw_hash", "1/2"), ("source_hash", "1/2"), ("quote_mismatch", "1/2"), ("missing_source", "2/1")}
+
+
+def test_packed_sources_equal_files(spark, tmp_path):
+    texts = {f"{i % 7}/{i}.md": f"# T {i}\n\nüber  {i}\n".encode() for i in range(60)} | {"bad.md": b"\xff\x00"}
+    for name, content in texts.items():
+        (tmp_path / "files" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "files" / name).write_bytes(content)
+    packed = str(tmp_path / "packed")
+    R.write_packed_sources(spark.createDataFrame([*texts.items(), ("gone.md", None)], "path string, content binary"), packed)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    got = rows(R.read_packed_sources(spark, packed))
+    assert len(got) == len(texts) and got == rows(R.read_sources(spark, str(tmp_path / "files")))
+
+
+def test_sources_of_a_query_are_packed(spark, sf_dir, monkeypatch):
+    """The number of files does not follow that of documents."""
+    from folioframe.catalog import evaluation
+    from folioframe.catalog.registry import QUERIES
+    folders, fresh = [], evaluation.shared_dir
+    monkeypatch.setattr(evaluation, "shared_dir", lambda *a: folders.append(fresh(*a)) or folders[-1])
+    n = QUERIES["ev17_source_hashes"](spark, sf_dir).count()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders[0]).count()
+    assert n == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and files * 10 < n
