@@ -31,10 +31,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """The Parquet files below ``folder`` that ``pattern`` names, and those in folders that it names."""
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    # the braces make a plain name a pattern: a stream takes a pattern that names a file or a folder, but not the path of a file
+    return reader.parquet(f"{folder.rstrip('/')}/{{{pattern}}}")
 
 
 def run_available(stream: DataFrame, mode: str = "append", label: str = "stream",
@@ -49,15 +51,19 @@ def run_available(stream: DataFrame, mode: str = "append", label: str = "stream"
         finally:
             spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     base = shared_dir(spark, label)
-    out = f"{base}/out"
+    out, written = f"{base}/out", []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = per_batch(batch) if per_batch else batch
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        written.append(batch_id)
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
+    if not written:         # no file, no batch
+        empty = spark.createDataFrame([], stream.schema)
+        return (per_batch(empty) if per_batch else empty).withColumn("batch_id", F.lit(0))
     return spark.read.option("basePath", out).option("mergeSchema", "false").parquet(out)
 
 

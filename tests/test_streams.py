@@ -55,3 +55,12 @@ def _once(sink):
     rows = [(r.run_id, r.sequence) for r in sink.collect()]
     assert len(rows) == len(set(rows))
     return sink.collect()
+
+
+def test_a_table_may_be_a_folder_or_lack_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 1, "T", "text"), ("q", 1, "T", "other")], "page_id string, revision int, title string, content string")
+    rows.repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    (tmp_path / "none.parquet").mkdir()
+    read = lambda name: {r.text for r in S.current_chunks(S.stream_index(S.file_stream(spark, str(tmp_path), name, rows.schema))).collect()}
+    assert read("pages.parquet") == {"text", "other"}
+    assert read("none.parquet") == set()
