@@ -1,17 +1,17 @@
 """Structured Streaming forms of the incremental operators.
 
-Every function takes and returns streaming DataFrames; ``run_available`` drives one to completion.
+Every function takes and returns streaming DataFrames, or a ``Log`` of one; ``run_available`` drives it to completion.
 Sinks write a folder per batch id, so a batch repeated after a failure overwrites itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from .. import settings as S
@@ -30,6 +30,12 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class Log(NamedTuple):
+    """A stream whose sink is a log, and what reads its rows (with ``batch_id``, the batch they arrived in) from it."""
+    stream: DataFrame
+    read: Callable[[DataFrame], DataFrame]
+
+
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_files: int | None = None) -> DataFrame:
     """The Parquet files below ``folder`` that ``pattern`` names, and those in folders that it names."""
     reader = spark.readStream.schema(schema)
@@ -39,9 +45,11 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
     return reader.parquet(f"{folder.rstrip('/')}/{{{pattern}}}")
 
 
-def run_available(stream: DataFrame, mode: str = "append", label: str = "stream",
+def run_available(stream: DataFrame | Log, mode: str = "append", label: str = "stream",
                   per_batch: Callable[[DataFrame], DataFrame] | None = None, state_store: str | None = None) -> DataFrame:
     """Process what is there and return the sink as a table with ``batch_id``; ``state_store`` names a provider for this query alone."""
+    if isinstance(stream, Log):
+        return stream.read(run_available(stream.stream, mode, label, per_batch, state_store))
     spark = stream.sparkSession
     if state_store:
         before = spark.conf.get(_PROVIDER, None)
@@ -154,37 +162,23 @@ def stream_run_log(events: DataFrame, cursors: DataFrame | None = None, delay: s
     return rows.groupBy("run_id").transformWithStateInPandas(RunLog(), "run_id string, sequence long, type string, ts timestamp", "Append", "EventTime", start)
 
 
-_STATE = "status string, last_sequence long, started_ms long, ended boolean"
-_RUN = "run_id string, status string, last_sequence long, started_at timestamp"
-
-
-def stream_run_state(events: DataFrame, delay: str = "0 seconds", timeout_s: int = S.RUN_TIMEOUT_SECONDS) -> DataFrame:
-    """Latest status per run; a run without a terminal event is ``timed_out`` once the watermark is
-    ``timeout_s`` past its start. Only running extremes are kept, so a long run is never held whole."""
-    terminal = set(TERMINAL_TYPES)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, last, started, ended = state.get if state.exists else (None, -1, None, False)
-        if state.hasTimedOut:
-            if not ended:
-                status, ended = "timed_out", True
-            state.update((status, last, started, ended))
-        else:
-            for pdf in batches:
-                top = pdf.loc[pdf["sequence"].idxmax()]
-                first = int(pdf["ts"].min().timestamp() * 1000)
-                started = first if started is None else min(started, first)
-                ended = ended or bool(pdf["type"].isin(terminal).any())
-                if int(top["sequence"]) > last:
-                    status, last = str(top["status"]), int(top["sequence"])
-            state.update((status, last, started, ended))
-            if not ended:
-                state.setTimeoutTimestamp(max(started + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "last_sequence": [last],
-                            "started_at": [pd.Timestamp(started, unit="ms")]})
-
-    return events.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
-        step, _RUN, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+def stream_run_state(events: DataFrame, delay: str = "0 seconds", timeout_s: int = S.RUN_TIMEOUT_SECONDS) -> Log:
+    """Latest status per run; a run without a terminal event is ``timed_out`` once the watermark is ``timeout_s`` past its start.
+
+    Running extremes per run are kept (update mode), so a long run is never held whole; ``run_state`` reads the statuses from the sink."""
+    runs = events.withWatermark("ts", delay).groupBy("run_id").agg(
+        F.max_by("status", "sequence").alias("status"), F.max("sequence").alias("last_sequence"), F.min("ts").alias("started_at"),
+        F.max("ts").alias("_last"), F.bool_or(F.col("type").isin(TERMINAL_TYPES)).alias("_ended"))
+    return Log(runs, lambda sink: run_state(sink, delay, timeout_s))
+
+
+def run_state(sink: DataFrame, delay: str, timeout_s: int) -> DataFrame:
+    """(run_id, status, last_sequence, started_at, batch_id) of each run as the watermark of all events left it."""
+    newest = sink.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in sink.columns if c != "run_id"]), "batch_id").alias("r")).select("run_id", "r.*")
+    mark = sink.agg((F.max("_last") - F.expr(f"INTERVAL {delay}")).alias("_mark"))
+    late = ~F.col("_ended") & (F.col("started_at") + F.expr(f"INTERVAL {timeout_s} SECONDS") < F.col("_mark"))
+    return newest.join(F.broadcast(mark)).withColumn("status", F.when(late, "timed_out").otherwise(F.col("status"))).select(      # one row
+        "run_id", "status", "last_sequence", "started_at", "batch_id")
 
 
 # --- conversations, feedback, actions -----------------------------------------------------------

@@ -57,6 +57,20 @@ def _once(sink):
     return sink.collect()
 
 
+def test_run_state_follows_the_watermark(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    one = [("a", 1, "stage", "running", at(0)), ("b", 1, "stage", "running", at(1)), ("b", 2, "run_completed", "completed", at(2)), ("d", 1, "stage", "running", at(1))]
+    two = [("c", 9, "stage", "running", at(9)), ("d", 2, "run_failed", "failed", at(9)), ("d", 0, "stage", "early", at(9))]
+    schema = "run_id string, sequence long, type string, status string, ts timestamp"
+    folder = str(tmp_path / "in")
+    for part in (one, two):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    for n in (1, 10):
+        stream = S.file_stream(spark, folder, "*.parquet", spark.createDataFrame([], schema).schema, n)
+        got = {(r.run_id, r.status, r.last_sequence, r.started_at) for r in S.run_available(S.stream_run_state(stream), "update").collect()}
+        assert got == {("a", "timed_out", 1, at(0)), ("b", "completed", 2, at(1)), ("c", "running", 9, at(9)), ("d", "failed", 2, at(1))}
+
+
 def test_a_table_may_be_a_folder_or_lack_rows(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1, "T", "text"), ("q", 1, "T", "other")], "page_id string, revision int, title string, content string")
     rows.repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
