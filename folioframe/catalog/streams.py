@@ -49,7 +49,7 @@ SELECT run_id, event_id AS sequence FROM r LEFT JOIN t USING (run_id) WHERE ende
 def st2l(t):
     twice = run_events(t, stream(t, "events")).unionByName(run_events(t, stream(t, "events")))
     read = run_events(t, t.events.filter("user_id % 3 = 0")).groupBy("run_id").agg(F.min("sequence").alias("cursor"))
-    return S.run_available(S.stream_run_log(twice, read), state_store=S.ROCKSDB).select("run_id", "sequence")
+    return S.run_available(S.stream_run_log(twice, read)).select("run_id", "sequence")
 
 
 @query("st3_stream_run_state", """WITH r AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS run_id, max(event_id) AS last_sequence, arg_max(event_type, event_id) AS t, bool_or(event_type IN ('purchase', 'error')) AS ended,

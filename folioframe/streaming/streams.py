@@ -9,17 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from .. import settings as S
 from ..functions.text import conversation_title
 from ..operators.chunking import chunk_pages
 from ..operators.select import assess_evidence
 from ..operators.sketches import sketch_columns
-from ..session import shared_dir
+from ..session import broadcast_if_small, shared_dir
 
 # Event types and states that end a run.
 TERMINAL_TYPES = ["run_completed", "run_failed", "run_cancelled", "run_timed_out"]
@@ -107,59 +105,28 @@ def stream_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         ["run_id", "sequence"])
 
 
-def stream_run_log(events: DataFrame, cursors: DataFrame | None = None, delay: str = "1 hour", keep_hours: int = 24) -> DataFrame:
+def stream_run_log(events: DataFrame, cursors: DataFrame | None = None, delay: str = "1 hour") -> Log:
     """(run_id, sequence, type, ts): each event of a run once, after its cursor and up to the event that ends the run.
 
     ``cursors`` (run_id, cursor) is a batch table: a reader that saw a run up to a sequence resumes behind it. A run ends with the
     smallest sequence of a terminal type that has arrived; greater ones that come with it or later are no part of the log, smaller ones are.
-    Token events are left out. Sequences are kept one by one in keyed state, so a long run is never read whole, and go ``keep_hours``
-    after the last event of the run, which has to be more than ``delay``. Needs ``run_available(state_store=ROCKSDB)``.
+    Token events are left out. Repeats within ``delay`` are dropped before the sink, others when it is read, where runs are cut at their
+    ends as well: a row of the sink never changes, and no run is read whole.
     """
-    terminal, keep = set(TERMINAL_TYPES), keep_hours * 3_600_000
-
-    class RunLog(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.mark = handle.getValueState("mark", "cursor long, ended long, until long")
-            self.seen = handle.getMapState("seen", "sequence long", "taken boolean")
-
-        def handleInitialState(self, key, initialState, timerValues) -> None:
-            self.mark.update((int(initialState["cursor"].max()), None, None))
-
-        def handleInputRows(self, key, rows, timerValues):
-            cursor, ended, until = self.mark.get() if self.mark.exists() else (None, None, None)
-            pdf = pd.concat(list(rows)).sort_values("sequence", kind="stable").drop_duplicates("sequence")
-            last = int(pdf["ts"].max().timestamp() * 1000) + keep
-            if until is None:
-                self.handle.registerTimer(last)
-            if cursor is not None:
-                pdf = pdf[pdf["sequence"] > cursor]
-            fresh = pd.Series([not self.seen.containsKey((int(s),)) for s in pdf["sequence"]], index=pdf.index, dtype=bool)
-            pdf = pdf[fresh]
-            ends = [int(s) for s in pdf.loc[pdf["type"].isin(terminal), "sequence"]]
-            ended = min([*ends, *([] if ended is None else [ended])], default=None)
-            if ended is not None:
-                pdf = pdf[pdf["sequence"] <= ended]
-            for s in pdf["sequence"]:
-                self.seen.updateValue((int(s),), (True,))
-            self.mark.update((cursor, ended, last if until is None else max(last, until)))
-            yield pdf[["run_id", "sequence", "type", "ts"]]
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            until = self.mark.get()[2] if self.mark.exists() else None
-            if until is not None and until > expiredTimerInfo.getExpiryTimeInMs():
-                self.handle.registerTimer(until)         # there were events since
-            else:
-                self.mark.clear()
-                self.seen.clear()
-            return iter([])
-
-        def close(self) -> None:
-            pass
-
-    rows = events.filter("type <> 'token'").select("run_id", F.col("sequence").cast("long").alias("sequence"), "type", "ts").withWatermark("ts", delay)
-    start = None if cursors is None else cursors.select("run_id", F.col("cursor").cast("long").alias("cursor")).groupBy("run_id")
-    return rows.groupBy("run_id").transformWithStateInPandas(RunLog(), "run_id string, sequence long, type string, ts timestamp", "Append", "EventTime", start)
+    rows = events.filter("type <> 'token'").select("run_id", F.col("sequence").cast("long").alias("sequence"), "type", "ts")
+    if cursors is not None:
+        seen = cursors.groupBy("run_id").agg(F.max(F.col("cursor").cast("long")).alias("_cursor"))
+        rows = rows.join(broadcast_if_small(seen), "run_id", "left").filter("_cursor IS NULL OR sequence > _cursor").drop("_cursor")
+    return Log(rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "sequence"]), run_log)
+
+
+def run_log(log: DataFrame) -> DataFrame:
+    """The first arrival of each event, without those behind an end of their run that had arrived."""
+    rest = [c for c in log.columns if c not in ("run_id", "sequence", "batch_id")]
+    once = log.groupBy("run_id", "sequence").agg(F.min_by(F.struct(*rest, "batch_id"), "batch_id").alias("r")).select("run_id", "sequence", "r.*")
+    ends = log.filter(F.col("type").isin(TERMINAL_TYPES)).groupBy(F.col("run_id").alias("_run"), F.col("batch_id").alias("_at")).agg(F.min("sequence").alias("_end"))
+    behind = (F.col("run_id") == F.col("_run")) & (F.col("batch_id") >= F.col("_at")) & (F.col("sequence") > F.col("_end"))
+    return once.join(ends, behind, "left_anti").select(*log.columns)
 
 
 def stream_run_state(events: DataFrame, delay: str = "0 seconds", timeout_s: int = S.RUN_TIMEOUT_SECONDS) -> Log:

@@ -71,6 +71,15 @@ def test_run_state_follows_the_watermark(spark, tmp_path):
         assert got == {("a", "timed_out", 1, at(0)), ("b", "completed", 2, at(1)), ("c", "running", 9, at(9)), ("d", "failed", 2, at(1))}
 
 
+def test_stateful_streams_stay_in_the_engine(spark, tmp_path):
+    """No Python worker is called once per run."""
+    schema = "run_id string, sequence long, type string, status string, ts timestamp"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    stream = S.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], schema).schema)
+    for log in (S.stream_run_log(stream), S.stream_run_state(stream)):
+        assert "InPandas" not in log.stream._jdf.queryExecution().logical().toString()
+
+
 def test_a_table_may_be_a_folder_or_lack_rows(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1, "T", "text"), ("q", 1, "T", "other")], "page_id string, revision int, title string, content string")
     rows.repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
