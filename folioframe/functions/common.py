@@ -47,9 +47,20 @@ def squash(c) -> Column:
     return F.trim(F.regexp_replace(col(c), rf"{WS}+", " "))
 
 
+# letters whose full upper case is several symbols, and the one that upper-cases each of them alone; others of the kind have none and stay
+_WIDE_UPPER = {"ß": "ẞ", "ᾳ": "ᾼ", "ῃ": "ῌ", "ῳ": "ῼ", **{chr(first + i): chr(first + i + 8) for first in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)}}
+
+
 def casefold(c) -> Column:
-    """Lower case with the sharp s written out."""
-    return F.lower(F.replace(col(c), F.lit("ß"), F.lit("ss")))
+    """Lower case with the sharp s written out; a letter's form does not depend on the letters beside it."""
+    plain = F.translate(F.replace(col(c), F.lit("ß"), F.lit("ss")), "Σİ", "σi")
+    return F.lower(plain)
+
+
+def upper_by_symbol(c) -> Column:
+    """Upper case, symbol by symbol, so that the length stays."""
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(F.translate(x, "".join(_WIDE_UPPER), "".join(_WIDE_UPPER.values())))
+    return F.array_join(F.transform(chars(c), one), "")
 
 
 def chars(c) -> Column:

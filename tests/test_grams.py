@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from folioframe.operators import grams as G
@@ -20,3 +21,20 @@ def test_equals_a_scan(spark):
     assert len(got) == len(set(got)) and set(got) == want
     empty = df.filter("id < 0")
     assert G.find_containing(G.build_grams(empty, "id", "text"), empty, spark.createDataFrame(searches, SEARCHES), "id", "text").count() == 0
+
+
+def test_capitals_as_in_sql(spark):
+    """The search in capitals of the query finds what the SQL's finds, letters of wide capitals and a last sigma included."""
+    import duckdb
+
+    from folioframe.functions.common import upper_by_symbol
+    texts = ["hß. x", "schß. Ö", "HSS. y", "weiß", "ΟΔΟΣ ΑΣΜΑ", "ὁδός", "ᾳ ῃ ᾀ", "İstanbul", "ﬁn", "ŉ", "straße", "a'b"]
+    df = spark.createDataFrame(list(enumerate(texts)), ROWS)
+    asked = df.select((F.col("id") + 100).alias("search_id"), upper_by_symbol(F.substring("text", 1, 4)).alias("needle"))
+    got = {tuple(r) for r in G.find_containing(G.build_grams(df, "id", "text"), df, asked, "id", "text").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute("""SELECT a.id + 100, b.id FROM (SELECT id, upper(substr(text, 1, 4)) AS n FROM t) a JOIN t b
+        ON contains(lower(replace(b.text, 'ß', 'ss')), lower(replace(n, 'ß', 'ss')))""").fetchall()
+    assert got == set(want)
