@@ -72,23 +72,24 @@ def bm25_search_eval(index: dict, queries: DataFrame, k: int, id_col: str = "que
     terms = query_terms(queries, id_col, text, "eval")
     store = index.get("store")
 
-    def scored() -> DataFrame:
-        return store.scores(terms) if store else bm25_scores(index["postings"], index["term_df"], index["stats"], terms)
+    def scored(some: DataFrame | None = None) -> DataFrame:
+        asked = terms if some is None else terms.join(some, "query_id", "left_semi")
+        return store.scores(asked) if store else bm25_scores(index["postings"], index["term_df"], index["stats"], asked)
 
-    top = materialize(rank_top(scored().filter("score >= 0"), k).drop("rank"), "eval-top")
+    top = materialize((store.best(terms, k, 0.0) if store else rank_top(scored().filter("score >= 0"), k)).drop("rank"), "eval-top")
     counts = top.groupBy("query_id").agg(F.count("*").alias("_n"))
     short = materialize(queries.select(F.col(id_col).alias("query_id")).distinct().join(counts, "query_id", "left").select(
         "query_id", F.coalesce("_n", F.lit(0)).alias("_n")).filter(F.col("_n") < k), "eval-short")
     if not short.limit(1).count():
         return rank_top(top, k)
     few = broadcast_if_small(short.select("query_id"))
-    below = rank_top(scored().join(few, "query_id", "left_semi").filter("score < 0"), k).drop("rank")
+    below = rank_top(scored(few).filter("score < 0"), k).drop("rank")
     ids, tried = index["doc_ids"].select(F.col("chunk_id").alias("doc_id")), 4 * k
     n_docs = ids.count()
     while True:
         lowest = ids.orderBy("doc_id").limit(tried)
         lowest = broadcast_if_small(lowest)
-        seen = scored().join(few, "query_id", "left_semi").join(lowest, "doc_id", "left_semi").select("query_id", "doc_id")
+        seen = scored(few).join(lowest, "doc_id", "left_semi").select("query_id", "doc_id")
         filler = materialize(rank_top(short.join(lowest).join(seen, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0)), k), "eval-zero")
         have = filler.groupBy("query_id").agg(F.count("*").alias("_zero"))
         if tried >= n_docs or not short.join(have, "query_id", "left").filter(F.col("_n") + F.coalesce("_zero", F.lit(0)) < k).limit(1).count():

@@ -4,16 +4,16 @@ Below one folder of a shared file system:
 
 - a segment per batch has its documents (id, text fingerprint, length, counted terms) and its postings: one row per term and block
   of about ``block_docs`` documents of like length, with the block's largest count and smallest length, which bound every
-  contribution whatever the average length becomes. Postings are bucketed by block, so the sum per question and document, and every
-  bound, is computed where the rows lie: a search shuffles neither postings nor pairs, only the best k of each task;
+  contribution whatever the average length becomes. Postings are bucketed by block, so sums and bounds are computed where the rows
+  lie (``scores``, ``survivors``);
 - delete marks: (segment, id) of revisions that a later batch replaced or removed;
 - term statistics as signed additions per batch, so document frequencies stay exact without reading postings;
 - a commit per change: one row naming the live parts and the constants. A reader takes the newest one; a writer that fails before
   its commit leaves parts that nobody reads. There is one writer at a time.
 
-Searches prune by upper bounds. The bound of a (question, block) is the sum over the question's terms of the largest contribution
-in that block. The blocks of the highest bounds are summed first, the k-th score found there is the question's threshold, and a block
-whose bound lies below it never enters the sum. The result is that of summing everything.
+Searches scan the documents, whose terms lie in one row each, and shuffle only the best k of each task (``operators.scan``): a row per
+question and document is never made. ``survivors`` tells by upper bounds which blocks can hold one of the best: the bound of a (question,
+block) is the sum over the question's terms of the largest contribution in that block.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType
 
 from .. import settings as S
-from ..session import fits, materialize
+from ..session import broadcast_if_small, fits, materialize
 from . import index as ix
 from .lexical import bm25_scores, query_terms, rank_top
+from .scan import best_documents
 
 # a segment with a larger share of dead documents than this is written anew by ``compact``
 DEAD_SHARE = 0.2
@@ -223,7 +224,7 @@ class LexicalStore:
 
     def _weights(self, terms: DataFrame) -> DataFrame:
         """(term, query_id, w): question terms with what a count is multiplied by; a checked, small table."""
-        known = self.term_df().join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        known = self.term_df().join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
         return materialize(terms.join(known, "term").join(F.broadcast(self.stats())).select(
             "term", "query_id", (F.col("qtf") * ix.floored_idf()).alias("w")), "lexical-weights")
 
@@ -271,13 +272,14 @@ class LexicalStore:
 
     def search(self, queries: DataFrame, k: int = S.LEXICAL_TOP_K, id_col: str = "query_id", text: str = "query", k1: float = S.BM25_K1, b: float = S.BM25_B,
                prune: bool = True, broadcast_rows: int = 500_000) -> DataFrame:
-        """rankings(query_id, doc_id, score, rank) with positive scores only.
-
-        A mean inverse frequency below zero makes contributions negative; bounds say nothing then and everything is summed.
-        """
+        """rankings(query_id, doc_id, score, rank) with positive scores only; ``prune=False`` sums every pair in the engine, to compare with."""
         terms = query_terms(queries, id_col, text, self.state["mode"])
-        if not prune or self.state["mean_idf"] < 0 or not self.state["segments"] or not fits(terms, broadcast_rows):
+        if not prune:
             return rank_top(self.scores(terms, k1, b, broadcast_rows).filter("score > 0"), k)
-        weights = self._weights(terms)
-        found = _union([self._sums(rows, s, k1, b) for s, rows in self.survivors(weights, k, k1, b)])
-        return rank_top(found.filter("score > 0"), k)
+        return self.best(terms, k, 0.5 * 10.0 ** -S.SCORE_DECIMALS, k1, b)
+
+    def best(self, terms: DataFrame, k: int, least: float, k1: float = S.BM25_K1, b: float = S.BM25_B) -> DataFrame:
+        """The ``k`` best documents per question among those that share a term with it and score ``least`` or more."""
+        if not self.state["segments"]:
+            return rank_top(self.scores(terms, k1, b), k)
+        return best_documents(self.documents(), self._weights(terms), self.state["avgdl"] or 1.0, k, least, k1, b)

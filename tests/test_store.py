@@ -113,3 +113,24 @@ def test_eval_search_puts_zero_before_negative(spark, tmp_path):
             want = sorted(docs, key=lambda d: (-scores.get((q, d), 0.0), d))[:k]
             assert [d for _, d, _, _ in sorted((r for r in got if r[0] == q), key=lambda r: r[3])] == want
     assert any(s < 0 for _, _, s, _ in as_set(bm25_search_eval(fresh, queries, 20), *cols))
+
+
+def test_a_search_writes_no_row_per_pair(spark, tmp_path, monkeypatch):
+    """Every document matches every question; what leaves the scan is k rows a question and task, over several waves and tiles."""
+    from folioframe.operators import scan
+    from folioframe.operators.lexical import query_terms
+    from pyspark.sql.types import LongType
+    monkeypatch.setattr(scan, "WAVE_QUESTIONS", 7)
+    monkeypatch.setattr(scan, "TILE_CELLS", 40)
+    monkeypatch.setattr(scan, "TILE_SUMS", 50)
+    docs = spark.createDataFrame([(i, f"all words {'more ' * (i % 5)} w{i % 11}") for i in range(400)], "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, f"all words w{i} w{i}") for i in range(20)], "query_id long, query string")
+    store = LexicalStore.create(spark, str(tmp_path / "ix"), "search", LongType(), buckets=3)
+    store.upsert(docs)
+    got = store.search(queries, 5)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in store.search(queries, 5, prune=False).collect()} and got.count() == 100
+    pairs = store.scores(query_terms(queries)).count()
+    offered = sum(b.num_rows for wave in scan._waves(store._weights(query_terms(queries))) for b in scan._scan(
+        iter(store.documents().select("chunk_id", "dl", "terms").toArrow().combine_chunks().to_batches()), wave, store.state["avgdl"], 5, 0.0, 1.5, 0.75,
+        scan.pa.schema([("query_id", scan.pa.int64()), ("doc_id", scan.pa.int64()), ("score", scan.pa.float64())])))
+    assert pairs == 8000 and offered == 100
