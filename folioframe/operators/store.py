@@ -2,10 +2,10 @@
 
 Below one folder of a shared file system:
 
-- a segment per batch has its documents (id, text fingerprint, length, counted terms) and its postings: one row per term and block
-  of about ``block_docs`` documents of like length, with the block's largest count and smallest length, which bound every
-  contribution whatever the average length becomes. Postings are bucketed by block, so sums and bounds are computed where the rows
-  lie (``scores``, ``survivors``);
+- a segment per batch has its documents (id, text fingerprint, length, counted terms). Its postings are written when ``scores`` or
+  ``survivors`` first ask for them, once per application: one row per term and block of about ``block_docs`` documents of like length,
+  with the block's largest count and smallest length, which bound every contribution whatever the average length becomes. Postings are
+  bucketed by block, so sums and bounds are computed where the rows lie, and the number of buckets grows with them;
 - delete marks: (segment, id) of revisions that a later batch replaced or removed;
 - term statistics as signed additions per batch, so document frequencies stay exact without reading postings;
 - a commit per change: one row naming the live parts and the constants. A reader takes the newest one; a writer that fails before
@@ -36,6 +36,8 @@ from .scan import best_documents
 DEAD_SHARE = 0.2
 # bands of document length per doubling
 BANDS = 4
+# postings that one task sorts when it writes a bucket
+BUCKET_POSTINGS = 2_000_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -108,6 +110,8 @@ class LexicalStore:
         """(term, df, cf) over the live documents."""
         parts = [self._read(n, "term string, df long, cf long") for n in self.state["stats"]]
         rows = _union(parts) if parts else self.spark.createDataFrame([], "term string, df long, cf long")
+        if len(parts) == 1:         # a row per term already
+            return rows.filter("cf > 0")
         return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("cf > 0")
 
     def stats(self) -> DataFrame:
@@ -122,29 +126,33 @@ class LexicalStore:
         """Postings of a segment as a bucketed table of this session, so that its bucketing is known to the planner."""
         name = f"lexical_{segment['name']}"
         if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"""CREATE TABLE {name} (block BIGINT, term STRING, docs ARRAY<STRUCT<chunk_id: {self._id}, tf: INT, dl: INT>>, max_tf INT, min_dl INT)
-                USING parquet CLUSTERED BY (block) SORTED BY (term) INTO {segment['buckets']} BUCKETS LOCATION '{self.path}/{segment['postings']}'""")
+            self._post(segment, name)
         return self.spark.table(name)
 
+    def _post(self, segment: dict, table: str) -> None:
+        """Write a segment's postings to a folder of their own."""
+        docs = self._read(segment["docs"], self._docs_schema)
+        band = F.floor(F.log2(F.greatest("dl", F.lit(1))) * BANDS).cast("int")
+        sizes = docs.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("postings")).collect()     # at most BANDS * 31 rows
+        buckets = max(self.state["buckets"], -(-sum(r["postings"] for r in sizes) // BUCKET_POSTINGS))
+        slots = F.create_map(*[F.lit(x) for r in sizes for x in (r["band"], max(1, r["n"] // self.state["block_docs"]))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+        block = F.xxhash64(band, F.pmod(F.xxhash64("chunk_id"), slots[band]))
+        # documents travel whole and are taken apart behind the shuffle
+        rows = docs.select(block.alias("block"), "chunk_id", "dl", "terms").repartition(buckets, "block").select("block", "chunk_id", "dl", F.inline("terms"))
+        posted = rows.groupBy("block", "term").agg(      # a block's documents, a handful
+            F.array_sort(F.collect_list(F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), "dl"))).alias("docs"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").alias("min_dl"))
+        posted.write.bucketBy(buckets, "block").sortBy("term").option("path", f"{self.path}/postings/{uuid.uuid4().hex}").saveAsTable(table)
+
     # --- changes ----------------------------------------------------------------------------
 
     def _segment(self, docs: DataFrame) -> tuple[dict, str]:
         """Write a segment from documents (chunk_id, fingerprint, dl, terms): its entry and the folder of its term counts."""
-        name, buckets = uuid.uuid4().hex, self.state["buckets"]
+        name = uuid.uuid4().hex
         folder = f"docs/{name}"
         docs.select("chunk_id", "fingerprint", "dl", "terms").write.parquet(f"{self.path}/{folder}")
         docs = self._read(folder, self._docs_schema)
-        band = F.floor(F.log2(F.greatest("dl", F.lit(1))) * BANDS).cast("int")
-        sizes = {r["band"]: r["n"] for r in docs.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}     # at most BANDS * 31 rows
-        slots = F.create_map(*[F.lit(x) for b, n in sizes.items() for x in (b, max(1, n // self.state["block_docs"]))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-        block = F.xxhash64(band, F.pmod(F.xxhash64("chunk_id"), slots[band]))
-        rows = docs.select(block.alias("block"), "chunk_id", "dl", F.inline("terms")).repartition(buckets, "block")
-        posted = rows.groupBy("block", "term").agg(      # a block's documents, a handful
-            F.array_sort(F.collect_list(F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), "dl"))).alias("docs"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").alias("min_dl"))
-        posted.write.bucketBy(buckets, "block").sortBy("term").option("path", f"{self.path}/postings/{name}").saveAsTable(f"lexical_{name}")
-        counts = self.spark.table(f"lexical_{name}").select("term", F.size("docs").alias("n"), F.aggregate("docs", F.lit(0), lambda a, d: a + d["tf"]).alias("tf"))
-        stats = self._write(counts.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("tf").cast("long").alias("cf")), "stats")
-        return {"name": name, "docs": folder, "postings": f"postings/{name}", "buckets": buckets, "n": sum(sizes.values()), "dead": 0}, stats
+        stats = self._write(docs.select(F.inline("terms")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf")), "stats")
+        return {"name": name, "docs": folder, "n": docs.count(), "dead": 0}, stats
 
     def _settle(self, segments: list[dict], dead: list[str], stats: list[str], n_docs: int) -> None:
         """Commit the parts with the constants that follow from them."""

@@ -134,3 +134,22 @@ def test_a_search_writes_no_row_per_pair(spark, tmp_path, monkeypatch):
         iter(store.documents().select("chunk_id", "dl", "terms").toArrow().combine_chunks().to_batches()), wave, store.state["avgdl"], 5, 0.0, 1.5, 0.75,
         scan.pa.schema([("query_id", scan.pa.int64()), ("doc_id", scan.pa.int64()), ("score", scan.pa.float64())])))
     assert pairs == 8000 and offered == 100
+
+
+def test_an_upsert_writes_no_postings_and_buckets_grow(spark, tmp_path, monkeypatch):
+    """Building an index and searching it sorts no posting; where postings are asked for, a bucket holds a bounded number of them."""
+    from folioframe.operators import store as module
+    from folioframe.operators.lexical import query_terms
+    docs = texts(random.Random(6), range(200))
+    queries = spark.createDataFrame([(1, "w40 w3 w59"), (2, "w1")], "query_id long, query string")
+    store = LexicalStore.create(spark, str(tmp_path / "ix"), buckets=2)
+    store.upsert(frame(spark, docs))
+    assert store.search(queries, 3).count() and not (tmp_path / "ix" / "postings").exists()
+    monkeypatch.setattr(module, "BUCKET_POSTINGS", 100, raising=False)
+    n = store.postings().count()
+    got = as_set(store.scores(query_terms(queries)), "query_id", "doc_id", "score")
+    table = f"lexical_{store.state['segments'][0]['name']}"
+    buckets = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}["Num Buckets"]
+    assert int(buckets) == -(-n // 100) > 2
+    fresh = bm25_search(lexical_index(frame(spark, docs)), queries, 1000)
+    assert {r for r in got if r[2] > 0} == as_set(fresh, "query_id", "doc_id", "score")
