@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.index import build_postings, hashed_term_vectors
+from ..operators.index import build_postings, folded_term_vectors, hashed_term_vectors
 from ..operators.store import LexicalStore
 from ..session import shared_dir
 from .registry import Tables
@@ -224,7 +224,7 @@ def bm25_leg(t: Tables, k: int = 20, q=None) -> DataFrame:
 
 
 def hashed_vectors(t: Tables) -> DataFrame:
-    return hashed_term_vectors(kept_index(t).postings(), "chunk_id")
+    return folded_term_vectors(kept_index(t).documents())
 
 
 def question_vectors(t: Tables, q=None, mode: str = "search") -> DataFrame:

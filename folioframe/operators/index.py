@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,3 +218,21 @@ def hashed_term_vectors(postings: DataFrame, id_col: str, dims: int = 64) -> Dat
     return folded.select(id_col, F.transform(
         F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")),
         lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("embedding"))
+
+
+def _fold(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """(id, embedding) of rows (id, terms); a batch's distinct terms are hashed once."""
+    for batch in batches:
+        names, counts = batch.column(1).flatten().flatten()
+        coded = names.dictionary_encode()
+        slots = np.array([int.from_bytes(hashlib.md5(t).digest()[:4]) % dims for t in coded.dictionary.cast(pa.binary()).to_pylist()], dtype=np.int64)
+        doc = pc.list_parent_indices(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = np.bincount(doc * dims + slots[coded.indices.to_numpy(zero_copy_only=False)], weights=counts.to_numpy(zero_copy_only=False), minlength=len(batch) * dims)
+        offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dims)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(sums))], ["id", "embedding"])
+
+
+def folded_term_vectors(rows: DataFrame, id_col: str = "chunk_id", dims: int = 64) -> DataFrame:
+    """``hashed_term_vectors`` of rows that hold all terms of an id (``counted_terms``): a map stage, no posting is shuffled."""
+    table = rows.filter(F.size("terms") > 0).select(F.col(id_col).alias("id"), F.expr("transform(terms, t -> struct(t.term AS term, t.tf AS tf))").alias("terms"))
+    return table.mapInArrow(lambda batches: _fold(batches, dims), f"id {dict(table.dtypes)['id']}, embedding array<double>").withColumnRenamed("id", id_col)

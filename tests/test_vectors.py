@@ -55,3 +55,14 @@ def test_a_wrong_vector_is_an_error(spark, tmp_path):
         with pytest.raises(Exception, match="finite numbers"):
             store.add(texts, wrong, 2, "p", "1")
     assert store.vectors("p").count() == 0
+
+
+def test_term_vectors_are_folded_without_a_shuffle(spark):
+    from folioframe.operators.index import build_postings, counted_terms, folded_term_vectors, hashed_term_vectors
+    rows = [(i, " ".join(f"w{(i * j) % 37} Über 数据" for j in range(i % 9))) for i in range(60)] + [(100, ""), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = folded_term_vectors(counted_terms(docs, "doc_id", "text").repartition(3))
+    want = hashed_term_vectors(build_postings(docs, "doc_id", "text"), "chunk_id")
+    assert {(r[0], tuple(r[1])) for r in got.collect()} == {(r[0], tuple(r[1])) for r in want.collect()} and got.count() == want.count() > 40
+    plan = folded_term_vectors(counted_terms(docs, "doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
