@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.common import strip
 from ..functions.text import parent_chunk_id
+from ..session import broadcast_if_small, materialize
 from .lexical import rank_top
 from .skew import rank_by_range
 
@@ -91,6 +92,8 @@ def candidates(fused: DataFrame, chunks: DataFrame, key: str = "chunk_id",
     have = chunks.columns
     title = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("page_title", "section_path") if c in have],
                        F.col("doc_id").cast("string"))
+    # known before the chunks are read, so that no text is shuffled
+    fused = broadcast_if_small(materialize(fused, "fused"))
     rows = fused.join(chunks.withColumnRenamed(key, "doc_id"), "doc_id")
     return rows.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(
         "query_id", "doc_id", F.col("rank").alias("fused_rank"), F.col("score").alias("rrf_score"),

@@ -11,7 +11,7 @@ from ..operators import fusion as U
 from ..operators import select as P
 from ..operators.dense import dense_search
 from ..operators.lexical import bm25_search, rank_top
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 
 def containing_documents(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -32,10 +32,11 @@ def containing_documents(queries: DataFrame, docs: DataFrame) -> DataFrame:
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "term", "left").groupBy("query_id").agg(
         F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    pairs = words.join(rarest, "term").select("query_id", "doc_id").unionByName(_by_first_symbols(
+    # both are small next to the documents and known before these are read, so that neither words nor texts are shuffled
+    pairs = words.join(broadcast_if_small(materialize(rarest, "rarest-words")), "term").select("query_id", "doc_id").unionByName(_by_first_symbols(
         queries.join(inner.select("query_id").distinct(), "query_id", "left_anti"), docs)).distinct()
-    return pairs.join(queries, "query_id").join(docs, "doc_id").filter(F.contains("text", "query")).select(
-        "query_id", "doc_id")
+    asked = broadcast_if_small(materialize(pairs.join(queries, "query_id"), "passage-candidates"))
+    return asked.join(docs, "doc_id").filter(F.contains("text", "query")).select("query_id", "doc_id")
 
 
 def _gram_at(width: int):

@@ -169,3 +169,22 @@ def test_passage_lookup_equals_scan(spark):
     q = spark.createDataFrame([(1, "eta x gam"), (2, "beta y gamma"), (3, "beta q gamma")], "query_id long, query string")
     got = {tuple(r) for r in X.containing_documents(q, docs).collect()}
     assert got == {(1, 0), (1, 2), (2, 1)}
+
+
+def test_texts_stay_where_they_are(spark):
+    """Labels and candidates are looked up in the documents; no text and no word of a document is shuffled."""
+    from folioframe.operators import fusion as U
+    from folioframe.plans import search as X
+    docs = spark.createDataFrame([(i, f"one two w{i} three four five") for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "two w7 three"), (2, "o"), (3, "w9 three four")], "query_id long, query string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = X.containing_documents(queries, docs)
+        fused = spark.createDataFrame([(1, 7, 0.5, 1), (2, 9, 0.4, 1)], "query_id long, doc_id long, score double, rank int")
+        texts = U.candidates(fused, docs.withColumnRenamed("doc_id", "chunk_id"))
+        for df in (found, texts):
+            assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == {(1, 7), (3, 9)} | {(2, i) for i in range(200)}
+        assert {(r["query_id"], r["content"]) for r in texts.collect()} == {(1, "one two w7 three four five"), (2, "one two w9 three four five")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
