@@ -2,7 +2,8 @@
 
 1. quality rules: documents that fail a hard limit or lie far outside their language and source are left out
 2. line deduplication: lines that match an earlier line of the corpus are taken out of the texts
-3. near-duplicates: one document of each group stays whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
+3. near-duplicates: one document of each group stays whose sets of five-word shingles have a Jaccard similarity of 0.8 or more;
+   SimHash names the first pairs, a join on rare shingles those that its bits miss, and every pair is checked on the whole sets
 4. mixing: documents are taken, or repeated, so that sources have tempered weights
 5. encoding: doc_id, lang and source with the token ids of what is left; other columns end here
 

@@ -4,10 +4,12 @@ A text's set holds the hashes of its shingles of ``words`` words (split at ASCII
 fewer words is one shingle, a blank one has an empty set. Two texts match if the Jaccard similarity of their sets is at
 least ``NUMERATOR / DENOMINATOR``. Texts with equal sets are one class, and classes that matches connect are one group.
 
-As in the line join, matching sets share a token of their prefixes in a global order, rarest first by hashed counters. Two
-passes over the lists of prefix tokens keep dense groups linear: the first compares every member of a list with the
-smallest class of it, the second only members that are still in different groups. Candidates that pass the length and the
-positional filter, which keep every match, are verified on the whole sets, read from the texts again.
+Candidates come from SimHash first (``simhash.links`` over the fingerprints of the same shingles); what it links is verified on the
+whole sets, read from the texts again. Its bits miss most matches that are not nearly equal, so a join on prefixes adds the rest: as in
+the line join, matching sets share a token of their prefixes in a global order, rarest first by hashed counters. Two passes over the
+lists of prefix tokens keep dense groups linear: the first compares every member of a list with the smallest class of it, the second
+only members that are still in different groups; what is joined already is not compared again. Their candidates, which pass the length
+and the positional filter, are verified too. Prefix tokens are shuffled once: most stand in one class and go no further.
 
 Defined results: blank and null texts are one class; rows that repeat an id and a text are one document, rows with the same
 id and different texts are different documents; rows without id come last; an empty table gives an empty result.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, materialize
 from .common import components, pieces, text_sizes
 from .linedup import DENOMINATOR, NUMERATOR, REMEMBERED, prefix_length, token_counts
+from .simhash import fingerprinter, links
 
 SHINGLE_WORDS = 5
 
@@ -43,23 +46,25 @@ def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def sets_of(df: DataFrame, counts: np.ndarray, id_col: str, text_col: str, words: int) -> DataFrame:
-    """One row per row of ``df``: (id, body, class, n, prefix); ``prefix`` is null where the task has given this class before."""
+    """One row per row of ``df``: (id, body, class, n, fp, prefix); ``fp`` and ``prefix`` are null where the task has given this class before."""
     text = F.col(f"`{text_col}`")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = shared.value, set()
+        count, seen, simhash = shared.value, set(), fingerprinter(words)
         for batch in batches:
             for lo, hi in pieces(text_sizes(batch.column(2))):
                 part = batch.slice(lo, hi - lo)
-                classes, sizes, prefixes = [], [], []
+                classes, sizes, prefixes, fresh, at = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     found = shingle_set(text, words)
                     c = xxhash.xxh64_intdigest(found.tobytes())
                     prefix = None
                     if c not in seen:
                         seen.add(c)
+                        fresh.append(text)
+                        at.append(len(classes))
                         order = np.lexsort((found, count[(found & np.uint64(len(count) - 1)).astype(np.int64)]))
                         prefix = found[order[:prefix_length(len(found))]].view(np.int64) if len(found) else []
                     classes.append(c)
@@ -67,11 +72,15 @@ def sets_of(df: DataFrame, counts: np.ndarray, id_col: str, text_col: str, words
                     prefixes.append(prefix)
                 if len(seen) > REMEMBERED:
                     seen = set()
+                fps = np.zeros(len(classes), dtype=np.int64)
+                fps[at] = simhash(fresh)[0]
+                known = np.ones(len(classes), dtype=bool)
+                known[at] = False
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                     pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "body", "class", "n", "prefix"])
+                     pa.array(fps, mask=known), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "body", "class", "n", "fp", "prefix"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, body long, class long, n int, prefix array<long>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, body long, class long, n int, fp long, prefix array<long>")
 
 
 def _reach(a: str, b: str):
@@ -104,6 +113,17 @@ def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, t
     return materialize(both.where((t + d) * F.size(F.array_intersect("x", "y")) >= t * (F.size("x") + F.size("y"))).select("u", "v"), f"{label}-links")
 
 
+def fingerprint_links(classes: DataFrame, label: str) -> DataFrame:
+    """(u, v) of classes that SimHash links: those of one fingerprint to its smallest, and the smallest ones of linked fingerprints."""
+    fps = materialize(classes.groupBy("fp").agg(F.min("class").alias("v"), F.count("*").alias("many")), f"{label}-fps")
+    shared = fps.where("many > 1").select("fp", "v")
+    same = classes.select("fp", F.col("class").alias("u")).join(broadcast_if_small(shared), "fp").where("u <> v").select("u", "v")
+    found = broadcast_if_small(materialize(links(fps.select("fp"), label).toDF("x", "y"), f"{label}-found"))
+    ends = fps.select("fp", F.col("v").alias("class"))
+    linked = found.join(ends.toDF("x", "u"), "x").join(ends.toDF("y", "v"), "y").select("u", "v")
+    return same.union(linked).distinct()
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, label: str = "neardup") -> DataFrame:
     """One row per row of ``df``: (id, body, root), the root being the same for all documents of a group."""
     def count(texts: list, total: np.ndarray) -> None:
@@ -111,14 +131,27 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             np.add.at(total, (shingle_set(text, words) & np.uint64(len(total) - 1)).astype(np.int64), 1)
 
     table = materialize(sets_of(df, token_counts(df, text_col, count=count), id_col, text_col, words), f"{label}-docs")
-    classes = table.groupBy("class").agg(F.min(F.struct("id", "body")).alias("first"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-    classes = materialize(classes.select("class", "first.*", "n", "prefix"), f"{label}-classes")
-    posts = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
+    classes = table.groupBy("class").agg(F.min(F.struct("id", "body")).alias("first"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("prefix").alias("prefix"))
+    classes = materialize(classes.select("class", "first.*", "n", "fp", "prefix"), f"{label}-classes")
+
+    def joined_by(edges: DataFrame, name: str) -> DataFrame:
+        return materialize(components(edges, label), f"{label}-{name}").withColumnRenamed("node", "class")
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(broadcast_if_small(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+    near = verified(df, classes, fingerprint_links(classes, f"{label}-simhash"), id_col, text_col, words, f"{label}-near")
+    # one exchange by token: the lists of two classes or more, and their smallest class
+    posts = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     pivots = posts.groupBy("token").agg(F.min(F.struct("class", "n", "pos")).alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
-    star = posts.select("token", F.struct("class", "n", "pos").alias("b")).join(pivots, "token").where((F.col("a.class") < F.col("b.class")) & _reach("a", "b"))
-    star = verified(df, classes, star.select(F.col("b.class").alias("u"), F.col("a.class").alias("v")).distinct(), id_col, text_col, words, f"{label}-star")
-    joined = materialize(components(star, label), f"{label}-joined").withColumnRenamed("node", "class")
-    lists = classes.join(joined, "class", "left").select("class", "n", F.coalesce("root", "class").alias("root"), F.posexplode("prefix").alias("pos", "token"))
+    posts = materialize(posts.join(pivots, "token"), f"{label}-lists")
+    roots = joined_by(near, "near-joined")
+    star = rooted(posts.where(F.col("a.class") < F.col("class")), roots).select("token", "a", "root", F.struct("class", "n", "pos").alias("b")).where(_reach("a", "b"))
+    star = star.select(F.col("b.class").alias("u"), F.col("a.class").alias("v"), "root").distinct()
+    pivot_roots = roots.select(F.col("class").alias("v"), F.col("root").alias("pivot_root"))
+    star = star.join(broadcast_if_small(pivot_roots), "v", "left").where(F.col("root") != F.coalesce("pivot_root", "v")).select("u", "v")
+    star = near.union(verified(df, classes, star, id_col, text_col, words, f"{label}-star"))
+    lists = rooted(posts.drop("a"), joined_by(star, "joined")).select("class", "n", "root", "pos", "token")
     apart = lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     lists = materialize(lists.join(apart, "token", "left_semi"), f"{label}-apart")
     a, b = lists.alias("a"), lists.alias("b")

@@ -33,7 +33,8 @@ BYTES = 8
 WIDE_FROM = 50_000_000
 
 
-def _fingerprinter(words_per_shingle: int):
+def fingerprinter(words_per_shingle: int):
+    """A function from texts to one list: their fingerprints as signed longs."""
     digest = xxhash.xxh64_intdigest
 
     def run(texts: list) -> list:
@@ -68,7 +69,7 @@ def _fingerprinter(words_per_shingle: int):
 
 def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``keep`` columns and ``fp``, the 64-bit SimHash of the whole text as a signed long."""
-    return map_texts(df, text_col, keep, StructType([StructField("fp", LongType())]), lambda: _fingerprinter(words))
+    return map_texts(df, text_col, keep, StructType([StructField("fp", LongType())]), lambda: fingerprinter(words))
 
 
 def position_sets(width: int, shared: int) -> list[tuple[int, ...]]:

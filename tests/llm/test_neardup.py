@@ -64,3 +64,14 @@ def test_repeated_ids_and_odd_rows(make_docs, odd_docs):
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 4, 5, 7, 8, 9]
     assert [r.text for r in rows if r.doc_id is None] == ["without an id at all"]
     assert neardup.keep_one(odd_docs.where("false")).count() == 0
+
+
+def test_simhash_names_the_first_pairs(make_docs, monkeypatch):
+    """The stage takes pairs from fingerprints, and the prefix join adds those that differ in more bits."""
+    asked = []
+    monkeypatch.setattr(neardup, "links", lambda fps, label, real=getattr(neardup, "links", None): asked.append(fps.count()) or real(fps, label))
+    text = " ".join(f"a{i}" for i in range(300))
+    far = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (3, far), (4, far.replace("b30", "c")), (5, "alone")]
+    got = corpus_pipeline.near_dedup(None, make_docs(rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 5] and asked and asked[0] >= 3
