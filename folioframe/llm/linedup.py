@@ -26,11 +26,11 @@ result; other columns are passed on unread.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,45 +46,55 @@ CHUNK_BITS = 14
 # classes that a task remembers so as to write their prefix once
 REMEMBERED = 150_000
 # bytes of text that a worker splits into words at a time
-SPLIT_CHARS = 600_000
-
-
-def _numbered(texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
-    """Distinct words, number of each word, its line, and (text, line number) of each line, over some texts."""
-    words: list[bytes] = []
-    sizes: list[int] = []
-    places: list = []
-    for t, text in enumerate(texts):
-        if not text:
-            continue
-        for k, line in enumerate(text.encode().lower().split(b"\n")):
-            found = line.split()
-            if found:
-                words += found
-                sizes.append(len(found))
-                places.append((t, k))
-    distinct = list(dict.fromkeys(words))
-    number = dict(zip(distinct, range(len(distinct))))
-    ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-    return distinct, ids, np.repeat(np.arange(len(sizes)), sizes), places
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], dtype=np.uint64)
-
-
-def _count_words(texts: list, total: np.ndarray) -> None:
-    seen: Counter = Counter()
-    for text in texts:
-        if text:
-            seen.update(text.encode().lower().split())
-    if seen:
-        bucket = (_hashes(list(seen)) & np.uint64(len(total) - 1)).astype(np.int64)
-        np.add.at(total, bucket, np.fromiter(seen.values(), dtype=np.int64, count=len(seen)))
-
-
-def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS, count: Callable[[list, np.ndarray], None] = _count_words) -> np.ndarray:
+SPLIT_CHARS = 2_000_000
+# words up to this many bytes are hashed together, eight bytes at a time
+SHORT_WORD = 64
+
+
+def _words(lines: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of some texts, and for each word in order its number and its text's place."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(lines.cast(pa.string())))
+    words, place = found.flatten(), pc.list_parent_indices(found)
+    full = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(full).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), place.filter(full).to_numpy().astype(np.int64)
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
+    """Each bit of 64 spread over all others, one to one."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time for all of them together, XXH64 for long ones."""
+    words = words.cast(pa.binary())
+    n = len(words)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset:words.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]]
+    raw, ends = np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), ends - ends[0]
+    starts, sizes = ends[:-1], np.diff(ends)
+    eight = np.ndarray(shape=(len(raw) - 7,), dtype="<u8", buffer=raw.data, strides=(1,))      # the eight bytes from each byte on
+    out = _stirred(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, min(int(sizes.max()), SHORT_WORD), 8):
+        some = np.flatnonzero((sizes > at) & (sizes <= SHORT_WORD))
+        spare = np.maximum(8 - (sizes[some] - at), 0).astype(np.uint64) * np.uint64(8)
+        out[some] = _stirred(out[some] ^ (eight[starts[some] + at] << spare))
+    for i in np.flatnonzero(sizes > SHORT_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i]:starts[i] + sizes[i]].tobytes())
+    return out
+
+
+def _count_words(texts: pa.Array, total: np.ndarray) -> None:
+    words, ids, _ = _words(texts)
+    bucket = (_hashes(words) & np.uint64(len(total) - 1)).astype(np.int64)
+    np.add.at(total, bucket, np.bincount(ids, minlength=len(words)))
+
+
+def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS, count: Callable[[pa.Array, np.ndarray], None] = _count_words) -> np.ndarray:
     """Occurrences of words, or of what ``count`` adds up, by the low bits of their hash, over the whole corpus.
 
     Each task sends its counters in chunks; chunks are summed as a stream where they arrive, and 2 ** bits sums reach the driver.
@@ -97,7 +107,7 @@ def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS,
         for batch in batches:
             texts = batch.column(0)
             for lo, hi in pieces(text_sizes(texts)):
-                count(texts.slice(lo, hi - lo).to_pylist(), total)
+                count(texts.slice(lo, hi - lo), total)
         parts = total.reshape(-1, chunk)
         used = [i for i in range(len(parts)) if parts[i].any()]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in used], pa.binary())})
@@ -117,18 +127,25 @@ def token_counts(df: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS,
     return out.ravel()
 
 
-def _sorted_lines(texts: list, count: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-    """Places of lines, the tokens of all lines one after another, rarest first, and where each line's tokens end."""
-    words, ids, line_of, places = _numbered(texts)
-    if not words:
-        return [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+def _sorted_lines(texts: pa.Array, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with a word its text's place and its number; the tokens of these lines one after another, rarest first, with their
+    counts; and where each line's tokens end."""
+    split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    doc = pc.list_parent_indices(split).to_numpy().astype(np.int64)
+    words, ids, line_of = _words(split.flatten())
+    if not len(words):
+        return doc[:0], doc[:0], np.zeros(0, dtype=np.uint64), count[:0], np.zeros(0, dtype=np.int64)
     hashes = _hashes(words)
-    order = np.lexsort((hashes, count[(hashes & np.uint64(len(count) - 1)).astype(np.int64)]))
+    found = count[(hashes & np.uint64(len(count) - 1)).astype(np.int64)]
+    order = np.lexsort((hashes, found))
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     every = np.sort(line_of * len(words) + rank[ids])
     pair = every[np.concatenate([[True], every[1:] != every[:-1]])]          # distinct words of each line in order
-    return places, hashes[order][pair % len(words)], np.cumsum(np.bincount(pair // len(words), minlength=len(places)))
+    line, token = pair // len(words), order[pair % len(words)]
+    sizes = np.bincount(line, minlength=len(doc))
+    chosen = np.flatnonzero(sizes)
+    return doc[chosen], (chosen - np.searchsorted(doc, doc[chosen])), hashes[token], found[token], np.cumsum(sizes[chosen])
 
 
 def prefix_length(n: int) -> int:
@@ -136,13 +153,23 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-def wide_marks(token: np.ndarray) -> np.ndarray:
-    """Words of marks, a bit flipped by each token that falls on it; half as many words follow by xor of the halves."""
-    words = 1
-    while 16 * words < len(token):
-        words *= 2
-    flipped = np.bincount((token & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.int64)
+def wide_marks(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of marks of sets that lie one after another, and the number of words of each set.
+
+    A bit is flipped by each token that falls on it; half as many words follow by xor of the halves.
+    """
+    words = np.ones(len(sizes), dtype=np.int64)
+    while (few := 16 * words < sizes).any():
+        words[few] *= 2
+    first = np.repeat(64 * (np.cumsum(words) - words), sizes)
+    bit = (token & np.repeat(64 * words - 1, sizes).astype(np.uint64)).astype(np.int64)
+    flipped = np.bincount(first + bit, minlength=64 * int(words.sum())) & 1
+    return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.int64), words
+
+
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[i] to starts[i] + sizes[i] - 1 of all i."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,6 +178,7 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
     ``marks`` has a bit for each token, flipped by each that falls on it, so two sets differ in at least as many tokens as
     bits. ``ends`` has 32 bits of the smallest and the largest token, ``prefix`` 32 bits of each prefix token, ``wide`` four
     marks a token or more, a power of two of words; all are null where the task has given this class before, and for sets that match no other.
+    A prefix token that the whole corpus holds once meets no other set: it is null and keeps its place.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("body"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -164,38 +192,34 @@ def lines(df: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: s
             texts = batch.column(2)
             for lo, hi in pieces(text_sizes(texts), SPLIT_CHARS):
                 part = batch.slice(lo, hi - lo)
-                places, token, ends = _sorted_lines(texts.slice(lo, hi - lo).to_pylist(), count)
-                sizes = np.diff(ends, prepend=0)
-                chosen = np.flatnonzero(sizes).tolist()
-                if not chosen:
+                doc, line, token, often, ends = _sorted_lines(texts.slice(lo, hi - lo), count)
+                if not len(ends):
                     continue
-                heads, place = (ends - sizes)[sizes > 0], np.cumsum(sizes > 0)[chosen] - 1
-                marks = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), heads)[place].view(np.int64)
-                both = np.stack([np.minimum.reduceat(token, heads)[place], np.maximum.reduceat(token, heads)[place]], axis=1)
-                raw, classes, taken, offsets, wide = token.tobytes(), [], [], [0], []
-                for end, n in zip(ends[chosen].tolist(), sizes[chosen].tolist()):
+                sizes = np.diff(ends, prepend=0)
+                heads = ends - sizes
+                marks = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), heads).view(np.int64)
+                both = np.stack([np.minimum.reduceat(token, heads), np.maximum.reduceat(token, heads)], axis=1)
+                raw, classes, given = token.tobytes(), [], np.zeros(len(ends), dtype=bool)
+                for i, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
                     c = xxhash.xxh64_intdigest(raw[8 * (end - n):8 * end])
                     classes.append(c)
-                    k, marked = 0, None
                     if n > ALONE and c not in seen:
                         seen.add(c)
-                        k = prefix_length(n)
-                        taken.append(np.arange(end - n, end - n + k))
-                        marked = wide_marks(token[end - n:end])
-                    offsets.append(offsets[-1] + k)
-                    wide.append(marked)
+                        given[i] = True
                 if len(seen) > REMEMBERED:
                     seen = set()
-                short = (token[np.concatenate(taken)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if taken else np.zeros(0, dtype=np.int32)
-                blank = np.diff(offsets) == 0
-                limits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~blank) * 2]), pa.int32()),
-                                                  pa.array((both[~blank] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel(), pa.int32()), mask=pa.array(blank))
-                prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short, pa.int32()), mask=pa.array(blank))
-                doc = pa.array([places[k][0] for k in chosen], pa.int32())
+                blank, many = ~given, np.where(given, prefix_length(sizes), 0)
+                taken = _within(heads[given], many[given])
+                wide, words = wide_marks(token[_within(heads[given], sizes[given])], sizes[given])
+                wides = np.zeros(len(ends), dtype=np.int64)
+                wides[given] = words
+                low = lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                listed = lambda n, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values, mask=pa.array(blank))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(doc), part.column(1).take(doc), pa.array([places[k][1] for k in chosen], pa.int32()),
-                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes[chosen].astype(np.int32)), pa.array(marks), limits, prefix,
-                     pa.array(wide, pa.list_(pa.int64()))], names=["id", "body", "line", "class", "n", "marks", "ends", "prefix", "wide"])
+                    [part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(line, pa.int32()),
+                     pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(marks),
+                     listed(2 * given, pa.array(low(both[given]).ravel())), listed(many, pa.array(low(token[taken]), mask=often[taken] == 1)),
+                     listed(wides, pa.array(wide))], names=["id", "body", "line", "class", "n", "marks", "ends", "prefix", "wide"])
 
     return rows.mapInArrow(run, schema)
 
@@ -211,13 +235,17 @@ def token_sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             for lo, hi in pieces(text_sizes(batch.column(0)), SPLIT_CHARS):
                 part = batch.slice(lo, hi - lo)
-                classes, sets = [], []
+                classes, chosen = [], []
                 for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = text.encode().lower().split(b"\n")
+                    found = text.split("\n")
                     for w in wanted:
                         classes.append(w["class"])
-                        sets.append(_hashes(list(set(found[w["line"]].split()))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
+                        chosen.append(found[w["line"]])
+                words, ids, line_of = _words(pa.array(chosen, pa.string()))
+                pair = np.unique(line_of * max(1, len(words)) + ids)
+                sizes = np.bincount(pair // max(1, len(words)), minlength=len(chosen))
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(_hashes(words)[pair % max(1, len(words))].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), sets], names=["class", "tokens"])
 
     return rows.mapInArrow(run, "class long, tokens array<long>")
 
@@ -247,7 +275,7 @@ def in_lists(classes: DataFrame, settled: DataFrame) -> DataFrame:
     marked = classes.where("prefix IS NOT NULL").join(broadcast_if_small(settled.select("class", F.lit(True).alias("done"))), "class", "left")
     # place in the prefix, and whether the class is open, in one number: both sides need it, so they read one exchange
     posted = marked.select("id", "line", "class", "n", "marks", F.col("done").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    posted = posted.select("id", "line", "class", "n", "marks", "token", (F.col("pos") * 2 + F.col("open")).alias("spot"))
+    posted = posted.where("token IS NOT NULL").select("id", "line", "class", "n", "marks", "token", (F.col("pos") * 2 + F.col("open")).alias("spot"))
     a, b = posted.alias("a"), posted.alias("b")
     last = F.least(F.col("a.n") - F.shiftright("a.spot", 1), F.col("b.n") - F.shiftright("b.spot", 1))
     later = F.when(F.col("b.spot") % 2 == 1, _place("a") < _place("b")).otherwise(False)

@@ -126,8 +126,8 @@ def fingerprint_links(classes: DataFrame, label: str) -> DataFrame:
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, label: str = "neardup") -> DataFrame:
     """One row per row of ``df``: (id, body, root), the root being the same for all documents of a group."""
-    def count(texts: list, total: np.ndarray) -> None:
-        for text in texts:
+    def count(texts: pa.Array, total: np.ndarray) -> None:
+        for text in texts.to_pylist():
             np.add.at(total, (shingle_set(text, words) & np.uint64(len(total) - 1)).astype(np.int64), 1)
 
     table = materialize(sets_of(df, token_counts(df, text_col, count=count), id_col, text_col, words), f"{label}-docs")

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from folioframe.llm import linedup
 
 
@@ -74,3 +77,39 @@ def test_odd_rows(odd_docs):
     assert [r.text for r in rows if r.doc_id == 1] == [None]
     assert [r.text for r in rows if r.doc_id == 3] == ["  \n \t\n"]
     assert linedup.dedupe(odd_docs.where("false")).count() == 0
+
+
+def test_words_and_hashes_of_odd_lines():
+    long = "x" * 63
+    texts = ["  A b\ta\x0b\x0c\r B ", "", "\u00c9\u0130 \u3000z\x85q\xa0 a\x1cb a\x00 a", None, f"{long} {long}y {long}yy {long}yz abcdefgh abcdefghi abcdefgh"]
+    words, ids, place = linedup._words(pa.array(texts, pa.string()).slice(1))
+    want = [(t, w) for t, text in enumerate(texts[1:]) for w in (text or "").encode().lower().split()]
+    assert [(t, words[i].as_py().encode()) for t, i in zip(place.tolist(), ids.tolist())] == want
+    hashes = linedup._hashes(words)
+    assert len(set(hashes.tolist())) == len(words) == len(words.unique())
+    # a word's hash depends on nothing beside it
+    assert [linedup._hashes(words.slice(i, 1))[0] for i in range(len(words))] == hashes.tolist()
+    assert [linedup._hashes(pa.array([w]))[0] for w in words.to_pylist()] == hashes.tolist()
+
+
+def test_wide_marks_are_those_of_each_set():
+    rnd = np.random.default_rng(3)
+    sizes = np.array([4, 16, 17, 100, 5])
+    token = rnd.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64)
+    marks, words = linedup.wide_marks(token, sizes)
+    assert words.tolist() == [1, 1, 2, 8, 1]
+    for i, start in enumerate(np.cumsum(sizes) - sizes):
+        one, _ = linedup.wide_marks(token[start:start + sizes[i]], sizes[i:i + 1])
+        assert marks[words[:i].sum():words[:i + 1].sum()].tolist() == one.tolist()
+        flipped = [0] * (64 * words[i])
+        for t in token[start:start + sizes[i]].tolist():
+            flipped[t % len(flipped)] ^= 1
+        assert [int(w) >> b & 1 for w in one.view(np.uint64) for b in range(64)] == flipped
+
+
+def test_words_held_once_are_in_no_list(make_docs):
+    df = make_docs([(1, "a b c d once"), (2, "a b c d e"), (3, "a b c d e f")])
+    rows = linedup.lines(df, linedup.token_counts(df)).orderBy("id").collect()
+    # the word held once comes first, keeps its place and is in no list
+    assert [[t is None for t in r.prefix] for r in rows] == [[True, False], [False, False], [True, False]]
+    assert {r.doc_id: r.text for r in linedup.dedupe(df).collect()} == {1: "a b c d once", 2: "a b c d e", 3: ""}
