@@ -77,13 +77,21 @@ def fusion_details(ranked: DataFrame, leg_names=("bm25", "embedding"), k: float
 
 
 def single_leg_fallback(ranked: DataFrame, k: float = S.RRF_K, top: int = S.RRF_TOP_K) -> DataFrame:
-    """Fuse, but where only one leg answered pass its rows through with their raw scores."""
-    present = ranked.groupBy("query_id").agg(F.count_distinct("leg").alias("_legs"))
-    marked = ranked.join(present, "query_id")
-    alone = marked.filter("_legs = 1").filter(F.col("rank") <= top).select(
+    """Fuse, but where only one leg answered pass its rows through with their raw scores.
+
+    The ranking is dealt by query and read once: legs that are read twice in a plan share exchanges, and Spark 4.1 then takes
+    their union for partitioned by query where it is not.
+    """
+    of_query = Window.partitionBy("query_id")
+    marked = ranked.filter(F.col("query_id").isNotNull()).repartition("query_id").withColumn(
+        "_alone", F.min("leg").over(of_query) == F.max("leg").over(of_query)).filter(F.col("_alone").isNotNull())
+    # a row of a lone leg is a group of its own
+    rows = marked.groupBy("query_id", "doc_id", "_alone", F.when(F.col("_alone"), F.col("rank")).alias("_own")).agg(
+        F.max("score").alias("_raw"), F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 12).alias("_fused"))
+    scored = rows.withColumn("score", F.when(F.col("_alone"), F.col("_raw")).otherwise(F.col("_fused")))
+    place = F.row_number().over(of_query.orderBy(F.col("score").desc(), F.col("doc_id").asc()))
+    return scored.withColumn("rank", F.when(F.col("_alone"), F.col("_own")).otherwise(place)).filter(F.col("rank") <= top).select(
         "query_id", "doc_id", "score", "rank")
-    return rrf_fuse(marked.filter("_legs > 1"), k, top).select(
-        "query_id", "doc_id", "score", "rank").unionByName(alone)
 
 
 def candidates(fused: DataFrame, chunks: DataFrame, key: str = "chunk_id",

@@ -111,6 +111,23 @@ def test_single_leg_passes_raw_scores(spark):
     assert {(r.query_id, r.doc_id, round(r.score, 6)) for r in rows} == {(1, "a", 5.0), (2, "a", round(1 / 61, 6)), (2, "b", round(1 / 61, 6))}
 
 
+def test_single_leg_of_searches_that_share_exchanges(spark):
+    from folioframe.operators.lexical import rank_top
+
+    def search(where, salt):
+        rows = spark.range(0, 2000, 1, 4).filter(where).selectExpr("id % 40 AS query_id", "id AS doc_id", f"(id * {salt}) % 1009 / 1.0D AS score")
+        return rank_top(rows.mapInArrow(lambda batches: batches, "query_id long, doc_id long, score double"), 20)
+    # both legs answer 15 of the 40 questions
+    ranked = U.legs(bm25=search("id % 40 < 15", 31), embedding=search("true", 57))
+    plain = spark.createDataFrame(ranked.collect(), ranked.schema)
+    legs_of = {r.query_id: r.n for r in plain.groupBy("query_id").agg(F.count_distinct("leg").alias("n")).collect()}
+    want = {tuple(r) for r in U.rrf_fuse(plain).select("query_id", "doc_id", "score", "rank").collect() if legs_of[r.query_id] == 2} | {
+        (r.query_id, r.doc_id, r.score, r["rank"]) for r in plain.collect() if legs_of[r.query_id] == 1}
+    got = [tuple(r) for r in U.single_leg_fallback(ranked).collect()]
+    assert set(got) == want and len(got) == len(want) == 15 * 30 + 25 * 20
+    assert {r["count"] for r in U.single_leg_fallback(ranked).groupBy("query_id").count().collect()} == {20, 30}
+
+
 def test_score_filter(spark):
     df = spark.createDataFrame([(1, "a", .9), (1, "b", .8), (1, "c", .71), (1, "d", .3), (2, "a", .1), (2, "b", .05), (3, "a", float("nan")), (3, "b", None)],
                                "query_id long, doc_id string, score double")
