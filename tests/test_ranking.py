@@ -128,6 +128,23 @@ def test_single_leg_of_searches_that_share_exchanges(spark):
     assert {r["count"] for r in U.single_leg_fallback(ranked).groupBy("query_id").count().collect()} == {20, 30}
 
 
+def test_hybrid_search_of_legs_that_share_exchanges(spark):
+    from folioframe.operators.lexical import rank_top
+
+    def search(where, salt):
+        rows = spark.range(0, 400, 1, 4).filter(where).selectExpr("id % 8 AS query_id", "id AS doc_id", f"(id * {salt}) % 1009 / 1.0D AS score")
+        return rank_top(rows.mapInArrow(lambda batches: batches, "query_id long, doc_id long, score double"), 5)
+    ranked = U.legs(bm25=search("id % 8 < 3", 31), embedding=search("true", 57))
+    queries = spark.range(8).selectExpr("id AS query_id", "concat('w', id % 3) AS query")
+    chunks = spark.range(400).selectExpr("id AS chunk_id", "concat_ws(' ', 'w' || id % 3, 'w' || id % 5) AS text")
+
+    def found(legs):
+        rows = X.search_hybrid(legs, queries, chunks, lambda q, c: F.round(P.overlap_scorer(q, c), 9)).select("query_id", "id", "rerank_score", "rank")
+        return sorted(tuple(r) for r in rows.collect())
+    want = found(spark.createDataFrame(ranked.collect(), ranked.schema))
+    assert found(ranked) == want and len({r[0] for r in want}) == 8
+
+
 def test_score_filter(spark):
     df = spark.createDataFrame([(1, "a", .9), (1, "b", .8), (1, "c", .71), (1, "d", .3), (2, "a", .1), (2, "b", .05), (3, "a", float("nan")), (3, "b", None)],
                                "query_id long, doc_id string, score double")
