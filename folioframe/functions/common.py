@@ -20,6 +20,10 @@ NWS = rf"[^\t-\r{_WS_CHARS}]"          # anything else
 TAIL = rf"{WS}(?<!{WS}{{2}}){WS}*+\z"
 
 
+# the same symbols, one by one
+WS_SYMBOLS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -30,8 +34,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c) -> Column:
-    """Trim Unicode whitespace at both ends."""
-    return F.regexp_replace(col(c), rf"\A{WS}+|{TAIL}", "")
+    """Trim Unicode whitespace at both ends; only the ends are looked at, where a pattern would read the whole text."""
+    return F.btrim(col(c), F.lit(WS_SYMBOLS))
 
 
 def lstrip(c) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import strip
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 # rows that share a text before their join is spread over SALTS tasks
 HOT_ROWS = 100_000
@@ -46,12 +46,14 @@ class VectorStore:
     def missing(self, texts: DataFrame, profile: str, text: str = "text", batch: str | None = None) -> DataFrame:
         """(key, text) of each distinct text without a vector in the profile; vectors of ``batch`` do not count.
 
-        Keys travel first: texts are read again only for those that are absent.
+        Keys travel first and are kept: texts are read once for the keys, and again only where some are absent.
         """
         held = self.vectors(profile)
         held = held if batch is None else held.filter(F.col("batch") != batch)
         rows = texts.select(text_key(text).alias("key"), strip(F.col(f"`{text}`")).alias("text"))
-        absent = rows.filter("key IS NOT NULL").select("key").distinct().join(held.select("key"), "key", "left_anti")
+        absent = materialize(rows.filter("key IS NOT NULL").select("key").distinct().join(held.select("key"), "key", "left_anti"), "absent-keys")
+        if absent.isEmpty():
+            return absent.withColumn("text", F.lit(None).cast("string"))
         return rows.join(broadcast_if_small(absent), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
 
     def add(self, texts: DataFrame, embedder, dims: int, profile: str, batch: str, text: str = "text") -> None:
@@ -69,7 +71,7 @@ class VectorStore:
         """
         keyed = texts.select(F.struct(*[F.col(f"`{c}`") for c in texts.columns]).alias("row"), text_key(text).alias("key"))
         hot = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select("key", F.lit(SALTS).alias("salts"))
-        hot = broadcast_if_small(hot)
+        hot = broadcast_if_small(materialize(hot, "hot-keys"))
         # rows without a text match nothing; they are spread too
         salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.when(F.col("key").isNull(), SALTS), F.lit(1))).cast("int")
         rows = keyed.join(hot, "key", "left").withColumn("salt", salt).drop("salts")

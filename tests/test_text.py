@@ -108,3 +108,14 @@ def test_query_log_labels(spark):
 def test_tokenizers(spark):
     assert one(spark, K.tokenize(F.lit("Étion, the 3 的 向量"))) == ["tion", "the", "3", "向", "量", "向量"]
     assert one(spark, K.tokenize_eval(F.lit("A-b 1.5% é"))) == ["a", "-", "b", "1.5%", "é"]
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    from folioframe.functions import common as C
+    symbols = spark.range(0x3100).filter("id < 55296").select(F.udf(lambda i: chr(i), "string")("id").alias("c"))
+    texts = symbols.select(*[F.concat(*[F.col("c") if x == "c" else F.lit(x) for x in form]).alias(f"t{i}") for i, form in enumerate(["c", "ccacc", "\u3000ca c\t", "acb"])])
+    for name in texts.columns:
+        pattern = F.regexp_replace(name, rf"\A{C.WS}+|{C.TAIL}", "")
+        assert texts.filter(~C.strip(name).eqNullSafe(pattern)).count() == 0
+    assert texts.select(C.strip(F.lit(None).cast("string"))).first()[0] is None
+    assert "regexp" not in texts.select(C.strip("t0"))._jdf.queryExecution().analyzed().toString()

@@ -48,6 +48,27 @@ def test_readers_get_every_row_once(spark, tmp_path):
     assert {r.text for r in store.missing(texts, "p").collect()} == {"unknown"}
 
 
+def test_texts_are_read_once_for_keys_and_once_for_the_model(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    first = spark.createDataFrame([(i, f"text {i % 60}") for i in range(80)], TEXTS).mapInArrow(counted, TEXTS)
+    store = VectorStore(spark, str(tmp_path / "v"))
+
+    def reads(*args):
+        before = read.value
+        store.add(first, lengths, 2, "p", *args)
+        return read.value - before
+    assert reads("1") == 160 and asked(store, "p") == {"1": 60}
+    assert reads("2") == 80 and reads("1") == 160 and asked(store, "p") == {"1": 60}      # nothing is absent; a batch run again replaces itself
+    before = read.value
+    got = store.embed(first, 2, "p").collect()
+    assert read.value - before == 160 and len(got) == 80 and all(r.embedding == [float(len(r.text)), 2.0] for r in got)
+
+
 def test_a_wrong_vector_is_an_error(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "v"))
     texts = spark.createDataFrame([(1, "a")], TEXTS)
