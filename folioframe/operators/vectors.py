@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import strip
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, fits, materialize
 
 # rows that share a text before their join is spread over SALTS tasks
 HOT_ROWS = 100_000
@@ -54,7 +54,10 @@ class VectorStore:
         absent = materialize(rows.filter("key IS NOT NULL").select("key").distinct().join(held.select("key"), "key", "left_anti"), "absent-keys")
         if absent.isEmpty():
             return absent.withColumn("text", F.lit(None).cast("string"))
-        return rows.join(broadcast_if_small(absent), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        if fits(absent):
+            return rows.join(F.broadcast(absent), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        # copies are dropped in each task before texts travel, so that a hot text does not meet in one
+        return rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text")).join(absent, "key", "left_semi")
 
     def add(self, texts: DataFrame, embedder, dims: int, profile: str, batch: str, text: str = "text") -> None:
         """Embed what the profile lacks and keep it as one batch; a batch that is run again replaces itself."""

@@ -69,6 +69,30 @@ def test_texts_are_read_once_for_keys_and_once_for_the_model(spark, tmp_path):
     assert read.value - before == 160 and len(got) == 80 and all(r.embedding == [float(len(r.text)), 2.0] for r in got)
 
 
+def test_a_text_of_more_keys_than_are_broadcast_travels_once(spark, tmp_path, monkeypatch):
+    from folioframe import session
+    from folioframe.operators import vectors
+    for module in (session, vectors):
+        monkeypatch.setattr(module, "fits", lambda *a: False, raising=False)
+    rows = [(i, "hot") for i in range(500)] + [(500 + i, f" text {i % 20}") for i in range(40)] + [(900, None), (901, "\t")]
+    texts = spark.createDataFrame(rows, TEXTS).repartition(4)
+    store = VectorStore(spark, str(tmp_path / "v"))
+    store.add(texts.filter("id < 510 OR id >= 900"), lengths, 2, "p", "1")
+    assert asked(store, "p") == {"1": 11}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        missing = store.missing(texts, "p")
+        assert sorted(r.text for r in missing.collect()) == sorted(f"text {i}" for i in range(10, 20))
+        plan = missing._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.index("Exchange hashpartitioning(key") < plan.index("partial_first(text")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for batch in ("2", "3", "2"):
+        store.add(texts, lengths, 2, "p", batch)
+    assert asked(store, "p") == {"1": 11, "2": 10}
+
+
 def test_a_wrong_vector_is_an_error(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "v"))
     texts = spark.createDataFrame([(1, "a")], TEXTS)
