@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import index as I
 from ..operators.store import LexicalStore
 from ..operators.vectors import VectorStore
-from ..session import shared_dir
+from ..session import broadcast_if_small, shared_dir
 from .data import BM25, WS, corpus, kept_index, questions, sql_strip
 from .registry import query
 
@@ -210,12 +210,17 @@ def ix13(t):
     return I.embed(t.documents, lengths, 2).select("doc_id", F.col("embedding")[0].alias("first"))
 
 
+def labelled(t):
+    """Texts of the labelled documents. Ids are eight bytes each, so more of them than of other rows are sent to the texts, which stay where they are."""
+    return t.documents.join(broadcast_if_small(t.labels.select("doc_id"), 2_000_000), "doc_id", "left_semi").select("text")
+
+
 def embedding_store(t):
     """Labelled documents first, then all of them with German ones in lower case; the second batch is run twice, and once more as a third."""
     def lengths(text):
         return F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"))
     store = VectorStore(t.spark, shared_dir(t.spark, "vectors"))
-    store.add(stored(t), lengths, 2, "lengths-2", "1")
+    store.add(labelled(t), lengths, 2, "lengths-2", "1")
     now = t.documents.select("doc_id", F.when(F.col("lang") == "de", F.lower("text")).otherwise(F.col("text")).alias("text"))
     for name in ("2", "3", "2"):
         store.add(now, lengths, 2, "lengths-2", name)

@@ -93,6 +93,20 @@ def test_a_text_of_more_keys_than_are_broadcast_travels_once(spark, tmp_path, mo
     assert asked(store, "p") == {"1": 11, "2": 10}
 
 
+def test_labels_are_joined_without_moving_texts(spark, sf_dir):
+    from folioframe.catalog import indexes
+    from folioframe.catalog.registry import Tables
+    t = Tables(spark, sf_dir)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = indexes.labelled(t)
+        assert sorted(r.text for r in texts.collect()) == sorted(r.text for r in t.documents.join(t.labels, "doc_id").select("text").collect())
+        assert "hashpartitioning" not in texts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_a_wrong_vector_is_an_error(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "v"))
     texts = spark.createDataFrame([(1, "a")], TEXTS)
